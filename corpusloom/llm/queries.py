@@ -29,10 +29,24 @@ def op9_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op1_syncmers(spark, sf_dir):
+    from corpusloom.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(documents(spark, sf_dir))
+
+
+def op10_warc(spark, sf_dir):
+    from corpusloom.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op1_syncmers": op1_syncmers,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_kk_sharding": op5_kk_sharding,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 OP2_SQL = r"""
