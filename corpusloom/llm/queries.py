@@ -13,6 +13,12 @@ def op2_exact_dedup(spark, sf_dir):
     return duplicate_report(documents(spark, sf_dir))
 
 
+def op3_secrets(spark, sf_dir):
+    from corpusloom.llm.secrets import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op5_kk_sharding(spark, sf_dir):
     from corpusloom.llm.sharding import assign_shards
 
@@ -44,6 +50,7 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secrets": op3_secrets,
     "op5_kk_sharding": op5_kk_sharding,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
