@@ -27,6 +27,12 @@ def op5_kk_sharding(spark, sf_dir):
         "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("digest").alias("group_sha256"))
 
 
+def op6_toxicity(spark, sf_dir):
+    from corpusloom.llm.toxicity import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
     "op5_kk_sharding": op5_kk_sharding,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
