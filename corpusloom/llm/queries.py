@@ -33,6 +33,12 @@ def op6_toxicity(spark, sf_dir):
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_mixing(spark, sf_dir):
+    from corpusloom.llm.mixing import schedule
+
+    return schedule(documents(spark, sf_dir), max_repeats=2.0)
+
+
 def op9_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op5_kk_sharding": op5_kk_sharding,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
