@@ -19,6 +19,12 @@ def op3_secrets(spark, sf_dir):
     return scan(documents(spark, sf_dir))
 
 
+def op4_bagminhash(spark, sf_dir):
+    from corpusloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_kk_sharding(spark, sf_dir):
     from corpusloom.llm.sharding import assign_shards
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
+    "op4_bagminhash": op4_bagminhash,
     "op5_kk_sharding": op5_kk_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
