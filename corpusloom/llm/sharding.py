@@ -125,6 +125,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     solved = materialize(
         units.withColumn("chunk", F.pmod(F.xxhash64("digest", "piece"), F.lit(chunks)).cast("long"))
         .groupBy("chunk").applyInPandas(_chunk_solver(shards), "digest string, piece int, bytes long, chunk long, bin int")
+        .coalesce(chunks)  # no more files than chunks
     )
     # up the tree: sums of the bins of each node
     level = solved.groupBy(F.col("chunk").alias("node"), "bin").agg(F.sum("bytes").alias("bytes"))
@@ -133,6 +134,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         step = materialize(
             level.withColumn("parent", F.floor(F.col("node") / FAN_IN).cast("long"))
             .groupBy("parent").applyInPandas(_tree_solver(shards), "node long, bin int, parent long, up int, bytes long")
+            .coalesce(math.ceil(n / FAN_IN))
         )
         maps.append(step.select("node", "bin", "parent", "up"))
         level = step.groupBy(F.col("parent").alias("node"), F.col("up").alias("bin")).agg(F.sum("bytes").alias("bytes"))
@@ -147,7 +149,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         placed = placed.join(route.select("node", "bin", F.col("up").alias("shard")), ["node", "bin"]).select("digest", "piece", "shard")
     else:
         placed = placed.select("digest", "piece", F.col("bin").alias("shard"))
-    out = materialize(keys.join(placed, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "digest", "row", "shard"))
+    # read twice below; both readers share its exchanges, and every input of it is checkpointed
+    out = keys.join(placed, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "digest", "row", "shard")
     # gapless slots without sorting a whole shard in one task
     slices = max(64, math.ceil(rows / shards / SLICE))
     out = out.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
