@@ -186,13 +186,11 @@ def fit_curve(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[fl
 SQUEEZE = 12.0  # raw scores are read up to here
 
 
-def learn(train: DataFrame, min_share: float = 0.02, max_ratio: float = 0.08, max_arcs: int = 4096) -> tuple[dict[str, float], tuple[float, float]]:
-    """Arcs and curve from ``train(label, text)``, all of its rows."""
+def learn(train: DataFrame, pos: int, neg: int, min_share: float = 0.02, max_ratio: float = 0.08, max_arcs: int = 4096) -> dict[str, float]:
+    """The arcs of the insult trie from ``train(label, text)``, all of its rows."""
     ship(train.sparkSession)
-    n = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return {}, CURVE
+        return {}
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     counts = train.select("label", "text").mapInArrow(_count, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = counts.filter((F.col("pos") >= max(4, min_share * pos)) & (F.col("neg") <= max_ratio * F.col("pos"))).withColumn("odds", odds).orderBy(F.desc("pos"), "key").limit(max_arcs)
@@ -200,9 +198,7 @@ def learn(train: DataFrame, min_share: float = 0.02, max_ratio: float = 0.08, ma
     # of a chain of beginnings the shortest accepting one says it all
     heads = {k: (k[0] if k[0] in "23" else "", k.lstrip("23")) for k in arcs}
     arcs = {k: v for k, v in arcs.items() if not any(heads[k][0] + heads[k][1][:j] in arcs for j in range(3, len(heads[k][1])))}
-    scored = _raw(train.withColumn("doc_id", F.lit(None).cast("long")), arcs, keep="label")
-    points = scored.groupBy(F.round(F.least("raw", F.lit(SQUEEZE)), 1).alias("x")).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-    return arcs, fit_curve([(r["x"], r["p"], r["n"]) for r in points])
+    return arcs
 
 
 def _raw(docs: DataFrame, arcs: dict[str, float], keep: str) -> DataFrame:
@@ -223,28 +219,42 @@ def held_out(id_col, folds: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def model(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options):
-    """Arcs and curve learned from the labelled rows outside the held-out fold."""
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter(~held_out("doc_id", folds))
-    return learn(base.join(marks, "doc_id").select("label", "text"), **options)
+def labelled(labels: DataFrame, folds: int, id_col: str, label_col: str) -> DataFrame:
+    """``doc_id, label`` of the ids to learn from, one row an id."""
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    return materialize(marks.filter(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("label").alias("label")))
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
-    """``doc_id, held_out, score, predicted, raw, clauses`` for every row."""
+def model(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> tuple[dict, tuple, DataFrame]:
+    """Arcs and curve, learned outside the held-out fold, and ``doc_id, held_out, raw, clauses`` of every row.
+
+    Texts meet their labels by a shuffle at any size of the labels, which grow
+    with the corpus; the curve then needs only the raw scores.
+    """
     ship(docs.sparkSession)
-    arcs, (a, b) = model(docs, labels, folds, id_col, text_col, label_col, **options)
+    marks = labelled(labels, folds, id_col, label_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds).alias("held_out"), text_of(text_col).alias("text"))
-    x = F.lit(a) + F.lit(b) * F.least("raw", F.lit(SQUEEZE))
-    out = _raw(base, arcs, keep="held_out").withColumn("score", 1 / (1 + F.exp(-x)))
+    n = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    train = base.filter(~F.col("held_out")).select("doc_id", "text").hint("merge").join(marks, "doc_id").select("label", "text")
+    arcs = learn(train, n.get(1, 0), n.get(0, 0), **options)
+    scored = materialize(_raw(base, arcs, keep="held_out"))
+    known = scored.filter(~F.col("held_out")).join(marks, "doc_id")
+    points = known.groupBy(F.round(F.least("raw", F.lit(SQUEEZE)), 1).alias("x")).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    curve = fit_curve([(r["x"], r["p"], r["n"]) for r in points]) if any(r["p"] for r in points) and any(r["n"] > r["p"] for r in points) else CURVE
+    return arcs, curve, scored
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted, raw, clauses`` for every row."""
+    _, (a, b), scored = model(docs, labels, folds, id_col, text_col, label_col, **options)
+    out = scored.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least("raw", F.lit(SQUEEZE))))))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "raw", "clauses")
 
 
 def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """The rows of ``docs`` whose text isn't toxic, with all their columns."""
-    ship(docs.sparkSession)
-    arcs, (a, b) = model(docs, labels, folds, id_col, text_col, label_col, **options)
-    names, schema, at = docs.columns, docs.schema, docs.columns.index(text_col)
+    arcs, (a, b), _ = model(docs, labels, folds, id_col, text_col, label_col, **options)
+    schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
         grammar = Grammar(arcs)
@@ -253,4 +263,4 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "do
             keep = [a + b * min(SQUEEZE, grammar.raw(t or "")[0]) < 0 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(names).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
