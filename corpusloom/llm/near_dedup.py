@@ -48,7 +48,7 @@ from corpusloom.llm.common import materialize, ship, text_of
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SCREEN, RING = 0.55, 0.4
-SMALL = 32
+SMALL = 512
 
 
 class _Words(dict):

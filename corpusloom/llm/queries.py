@@ -45,6 +45,14 @@ def op7_mixing(spark, sf_dir):
     return schedule(documents(spark, sf_dir), max_repeats=2.0)
 
 
+def op8_lm(spark, sf_dir):
+    import public_tokenizers
+
+    from corpusloom.llm.lm import score
+
+    return score(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -73,6 +81,7 @@ QUERIES = {
     "op5_kk_sharding": op5_kk_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_lm": op8_lm,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
