@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.constants import BINARY_SUFFIXES, LANGUAGE_WORDS, TOPIC_KEYWORDS
 from corpusloom.functions.text import SPACE, _col, blank, strip
@@ -146,12 +147,16 @@ def parse_page(html: str | None) -> dict:
     return {"title": neat(page.heading), "text": neat(page.words), "links": page.hrefs, "html_language": page.language}
 
 
-@F.pandas_udf("title string, text string, links array<string>, html_language string")
+# types as objects: workers import this module, and have no session to read a type string with
+PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("html_language", T.StringType())])
+
+
+@F.pandas_udf(PAGE)
 def html_extract(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(x) for x in html], columns=["title", "text", "links", "html_language"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b, u):
         try:
