@@ -9,15 +9,13 @@ Shape of the plan, none of whose steps gathers a group in one task:
 1. Texts become digests and signatures; equal texts fold into one node (with
    map-side partial aggregates, so a hot text leaves a partition once).
 2. Every node puts ``BANDS`` hashes of ``ROWS`` registers each; nodes that share
-   one are a bucket.  In a bucket all members are compared with the smallest
-   (a star, not all pairs).  Pairs whose signatures agree in less than
-   ``SCREEN`` of the registers are dropped (five standard errors below 0.8),
-   the others are verified on their whole texts.
-3. Members that the star left over elect the next centre, until at most
-   ``SMALL`` are left in a bucket; those are compared with each other.  As
-   ``1 - J`` is a metric, a left-over member that lies within 0.4 of a centre
-   may still be linked to a member of that star, and is compared with those
-   that are in another component; all others can't be.
+   one are a bucket.  In a bucket all members are compared with the one that
+   meets most others (a star, not all pairs).  Pairs whose signatures agree in
+   less than ``SCREEN`` of the registers are dropped (five standard errors below
+   0.8), the others are verified on their whole texts.
+3. The components of these links tell which members of a bucket are still
+   apart.  Those are compared in blocks of bounded size, where sums of products
+   give all multiset overlaps at once, and only links leave a block.
 4. Components come from minimum labels over links with pointer jumping,
    checkpointed each round.
 
@@ -47,8 +45,8 @@ from corpusloom.llm.common import materialize, ship, text_of
 
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
-SCREEN, RING = 0.55, 0.4
-SMALL = 512
+SCREEN = 0.55
+CHUNK = 384  # rows of a component that a block holds
 
 
 class _Words(dict):
@@ -117,16 +115,77 @@ def _verify(k: int):
     return run
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """Of distinct ``pairs(a, b)``: all with ``near``, and the links ``a, b, j``."""
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Those of distinct ``pairs(a, b)`` that reach the threshold."""
     sig = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sx"))
     other = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sy"))
-    near = materialize(pairs.join(sig, "a").join(other, "b").select("a", "b", "sx", "sy").mapInArrow(_agree, "a long, b long, near double"))
-    check = near.filter(F.col("near") >= SCREEN).select("a", "b")
+    near = pairs.join(sig, "a").join(other, "b").select("a", "b", "sx", "sy").mapInArrow(_agree, "a long, b long, near double")
+    check = materialize(near.filter(F.col("near") >= SCREEN).select("a", "b"))
     tx = texts.select(F.col("node").alias("a"), F.col("text").alias("tx"))
     ty = texts.select(F.col("node").alias("b"), F.col("text").alias("ty"))
     both = check.join(tx, "a").join(ty, "b").select("a", "b", "tx", "ty")
-    return near, materialize(both.mapInArrow(_verify(k), "a long, b long, j double").filter(F.col("j") >= threshold))
+    return materialize(both.mapInArrow(_verify(k), "a long, b long, j double").filter(F.col("j") >= threshold).select("a", "b"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """``bucket, kind, i, j, node, label, out``: the comparisons that the stars leave open, in blocks.
+
+    ``members`` has ``bucket, node, label``.  Only buckets of three members and
+    more whose members are in several components count, one of those with the
+    same members.  Members of a bucket's largest component needn't meet each
+    other; chunks of the rest meet its chunks and each other.
+    """
+    per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("s"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).filter("n > 2 AND parts > 1")
+    one = materialize(per.groupBy("n", "s").agg(F.max(F.struct("bucket", "m")).alias("b")).select("b.bucket", F.col("b.m.label").alias("major"), F.col("b.m.c").alias("c"), "n"))
+    one = one.withColumn("ca", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("co", F.ceil((F.col("n") - F.col("c")) / CHUNK).cast("int"))
+    rows = members.select("bucket", "node", "label").join(one.select("bucket", "major", "ca", "co"), "bucket").withColumn("out", F.col("label") != F.col("major"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("co")).otherwise(F.col("ca"))).cast("int"))
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    others = F.filter(F.sequence(F.lit(0), F.col("co") - 1), lambda x: x != F.col("chunk"))
+    mixed = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("ca") - 1), lambda x: at("oa", F.col("chunk"), x)),
+        F.transform(others, lambda x: at("oo", F.least("chunk", x), F.greatest("chunk", x))))
+    plain = F.transform(F.sequence(F.lit(0), F.col("co") - 1), lambda x: at("oa", x, F.col("chunk")))
+    return rows.select("bucket", "node", "label", "out", F.inline(F.when(F.col("out"), mixed).otherwise(plain)))
+
+
+def _block(threshold: float, k: int):
+    """Links between different components among the rows of a block, one for each node and component."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, label = block.column("node").to_numpy(), block.column("label").to_numpy()
+        out = np.array(block.column("out").to_pylist(), bool)
+        memo = _Words()
+        doc, h, w = shingle_counts([hashed_words(t, memo) for t in block.column("text").to_pylist()], k)
+        size = np.bincount(doc, weights=w, minlength=len(node))
+        # the c-th copy of a shingle is an element of its own: sets with the multisets' overlap
+        copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        element, owner = mix(np.repeat(h, w) + copy.astype(np.uint64)), np.repeat(doc, w)
+        _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+        shared = count[column] > 1  # the others overlap with nothing
+        column, owner = column[shared], owner[shared]
+        column = np.unique(column, return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        left = np.flatnonzero(out)
+        overlap = np.zeros((len(left), len(node)), np.float32)
+        width = 4096
+        for a in range(0, int(column.max()) + 1 if len(column) else 0, width):
+            z = slice(*np.searchsorted(column, (a, a + width)))
+            x = np.zeros((len(node), width), np.float32)
+            x[owner[z], column[z] - a] = 1
+            overlap += x[left] @ x.T
+        total = size[left][:, None] + size[None]
+        linked = (overlap >= threshold * (total - overlap) * (1 - 1e-6)) & (label[left][:, None] != label[None]) & (overlap > 0)
+        found = {}
+        for i, j in zip(*np.nonzero(linked)):
+            shared_n = float(overlap[i, j])
+            if shared_n / (size[left[i]] + size[j] - shared_n) >= threshold:
+                found.setdefault((left[i], label[j]), j)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for j in found.values()], pa.int64())})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -144,6 +203,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _elect(members: DataFrame) -> DataFrame:
+    """Add ``centre``, the member of each bucket that meets most others."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("m")).select("bucket", F.col("m.node").alias("centre"))
+    return members.select("bucket", "node", "fame").join(best, "bucket")
+
+
+def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes that share a bucket."""
+    with_digest = base.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    return materialize(with_digest.join(materialize(wanted), "digest").groupBy("node").agg(F.first("text").alias("text")))
+
+
 def _classes(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, digest)`` and nodes ``(digest, node, label)``."""
     ship(docs.sparkSession)
@@ -153,46 +224,24 @@ def _classes(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: s
     nodes = signed.groupBy("digest").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    # (bucket, node, centre) of the buckets with more than one member
-    state = materialize(members.join(heads.select("bucket", "centre"), "bucket"))
-    involved = state.select("node").distinct().join(nodes.select("node", "digest"), "node")
-    with_text = base.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    texts = materialize(with_text.join(materialize(involved), "digest").groupBy("node").agg(F.first("text").alias("text")))
-    links, rings = None, None
-    done = False
-    while not state.isEmpty():
-        if done:
-            left = state.select("bucket", F.col("node").alias("a"))
-            pairs = left.join(left.withColumnRenamed("a", "b"), "bucket").filter("b < a").select("a", "b").distinct()
-            _, found = _linked(pairs, nodes, texts, threshold, k)
-            links = found if links is None else links.unionByName(found)
-            break
-        pairs = state.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        near, found = _linked(pairs, nodes, texts, threshold, k)
-        links = found if links is None else links.unionByName(found)
-        told = near.join(found.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("centre"), "near", F.coalesce("linked", F.lit(False)).alias("linked"))
-        told = materialize(state.filter("node <> centre").join(told, ["node", "centre"]))
-        # a member outside of the star, but near its centre, may be linked to another member of it
-        ring = told.filter((~F.col("linked")) & (F.col("near") >= RING)).select("bucket", F.col("node").alias("a"))
-        star = told.filter("linked").select("bucket", F.col("node").alias("b"))
-        ring = materialize(ring.join(star, "bucket").select("a", "b").distinct())
-        rings = ring if rings is None else rings.unionByName(ring)
-        rest = told.filter(~F.col("linked")).select("bucket", "node")
-        heads = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
-        state = materialize(rest.join(heads, "bucket"))
-        done = state.filter(F.col("n") > SMALL).isEmpty()
-    if links is None or links.isEmpty():
+    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    state = materialize(members.join(crowd, "bucket"))
+    # a node that meets many others is the best centre of a star
+    fame = materialize(state.groupBy("node").agg(F.sum("n").alias("fame")))
+    state = materialize(_elect(state.join(fame, "node")))
+    texts = _texts(base, nodes.join(fame.select("node"), "node").select("node", "digest"))
+    pairs = state.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = _linked(pairs, nodes, texts, threshold, k)
+    labels = None if links.isEmpty() else components(links)
+    of = fame.select("node", F.col("node").alias("label")) if labels is None else fame.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    apart = _apart(state.join(materialize(of), "node"))
+    if not apart.isEmpty():
+        held = apart.join(texts, "node").groupBy("bucket", "kind", "i", "j")
+        more = materialize(held.applyInArrow(_block(threshold, k), "a long, b long"))
+        if not more.isEmpty():
+            labels = components(more if labels is None else links.unionByName(more))
+    if labels is None:
         return rows, nodes.select("digest", "node", F.col("node").alias("label"))
-    labels = components(links)
-    if rings is not None and not rings.isEmpty():
-        own = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
-        apart = rings.distinct().join(own("a", "la"), "a", "left").join(own("b", "lb"), "b", "left").filter(~F.col("la").eqNullSafe(F.col("lb"))).select("a", "b")
-        apart = materialize(apart)
-        if not apart.isEmpty():
-            _, more = _linked(apart, nodes, texts, threshold, k)
-            if not more.isEmpty():
-                labels = components(links.unionByName(more))
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("label"))
     return rows, materialize(named)
 
