@@ -46,10 +46,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, ship, text_of
 from corpusloom.llm.packing import encoder
 
-WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 128
+WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 64
 KNOWN_IDS = 4096  # ids with an embedding of their own; others share one a class
 SAMPLE_DOCS, SAMPLE_CHARS = 1600, 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 STEPS, BATCH = 1600, 64
 ALPHA = 0.1
 SHARE = 0.45  # of the unigram in the interpolation
@@ -99,10 +99,10 @@ class Model:
             xs = np.ascontiguousarray(x[:, back:])
             q = (xs.reshape(-1, WIDTH) @ w["Q"]).reshape(n_w, STRIDE, WIDTH)
             s = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
-            np.clip(s, -15, 15, out=s)
+            np.minimum(s, 15, out=s)
             np.exp(s, out=s)
             s *= mask
-            h = np.matmul(s, kv[:, :, WIDTH:]) / s.sum(-1, keepdims=True)
+            h = np.matmul(s, kv[:, :, WIDTH:]) / (s.sum(-1, keepdims=True) + 1e-30)
             y = np.tanh(xs.reshape(-1, WIDTH) @ w["A"] + h.reshape(-1, WIDTH) @ w["B"] + w["b"])
             target = goal[z[:, back:]].ravel()
             real = target >= 0
@@ -196,9 +196,9 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     xq = x[:, back:]
     q = xq @ p["Q"]
     s = q @ k.transpose(0, 2, 1)
-    open_ = np.abs(s) < 15
-    e = np.exp(np.clip(s, -15, 15)) * MASK
-    a = e / e.sum(-1, keepdims=True)
+    open_ = s < 15
+    e = np.exp(np.minimum(s, 15)) * MASK
+    a = e / (e.sum(-1, keepdims=True) + 1e-30)
     h = a @ v
     y = np.tanh(xq @ p["A"] + h @ p["B"] + p["b"])
     logits = y @ p["C"] + p["c"]
@@ -256,7 +256,7 @@ def opening(path: str, vocabulary: int) -> np.ndarray:
     return out
 
 
-def _count(path: str):
+def _count(path: str, opens: np.ndarray, vocabulary: int):
     """(kind, key, n) of a scan partition's training texts: 0 words by hash, 1 ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +264,22 @@ def _count(path: str):
         words: Counter = Counter()
 
         def flush():
-            ids: dict[int, int] = {}
-            for w, c in words.items():
-                for t in encode(" " + w.decode("utf-8", "replace")).tolist():
-                    ids[t] = ids.get(t, 0) + c
-            keys = list(map(word_hash, words))
+            total = np.zeros(vocabulary + 1)
+            every, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+            for a in range(0, len(every), 2000):  # many words in one text: no id spans two of them
+                part = every[a : a + 2000]
+                x = encode(joined(part)).astype(np.int64)
+                first = opens[x]
+                if first.sum() == len(part):
+                    total += np.bincount(x, weights=n[a : a + 2000][np.cumsum(first) - 1], minlength=vocabulary + 1)
+                else:  # spaces that aren't ASCII
+                    for w, c in zip(part, n[a : a + 2000]):
+                        np.add.at(total, encode(joined([w])).astype(np.int64), c)
+            ids = np.flatnonzero(total)
+            keys = np.fromiter(map(word_hash, every), np.int64, len(every))
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.array([0, 1], np.int32), [len(keys), len(ids)])),
-                pa.array(np.array(keys + list(ids), np.int64)), pa.array(np.array([*words.values(), *ids.values()], np.int64)),
+                pa.array(np.concatenate([keys, ids])), pa.array(np.concatenate([n, total[ids].astype(np.int64)])),
             ], names=["kind", "key", "n"])
             words.clear()
             return out
@@ -279,7 +287,7 @@ def _count(path: str):
         for b in batches:
             for t in b.column(0):
                 words.update(words_of(t.as_py()))
-                if len(words) > 400_000:
+                if len(words) > 600_000:
                     yield flush()
         yield flush()
 
@@ -370,7 +378,8 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     encode = encoder(tokenizer)
     model = train([encode(joined(words_of(r["t"]))) for r in sample], vocabulary)
     # counts over all training texts
-    counts = materialize(train_rows.select("text").mapInArrow(_count(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    opens = opening(tokenizer, vocabulary)
+    counts = materialize(train_rows.select("text").mapInArrow(_count(tokenizer, opens, vocabulary), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     ids = np.zeros(vocabulary + 1)
     for r in counts.filter("kind = 1").collect():  # at most one row for each id of the vocabulary
         ids[r["key"]] = r["n"]
@@ -386,6 +395,6 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(max(parts, blocks), "block")
     wanted = dealt.select("block", "text").mapInArrow(_wanted, "block long, key long").join(words, "key").select("block", "key", "n")
     floor = math.log10(n + ALPHA * (v + 1))
-    run = _score_block(tokenizer, model, opening(tokenizer, vocabulary), ends, floor)
+    run = _score_block(tokenizer, model, opens, ends, floor)
     out = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
