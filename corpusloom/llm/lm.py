@@ -69,7 +69,7 @@ class Model:
         total = np.bincount(self.classes, weights=c, minlength=CLASSES)
         self.emission = np.log(c / total[self.classes]).astype(np.float32)
 
-    def score(self, ids: list[np.ndarray], chunk: int = 384) -> np.ndarray:
+    def score(self, ids: list[np.ndarray], chunk: int = 64) -> np.ndarray:
         """log10 probabilities of all ids and ends of the sequences, one after the other."""
         start, pad = self.inputs.max() + 1, self.inputs.max() + 2
         n = np.array([len(x) + 1 for x in ids])
@@ -89,7 +89,7 @@ class Model:
         at = np.repeat(first, rows) + (np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)) * STRIDE
         out = np.zeros(len(flat))
         w, mask = self.w, MASK
-        table = w["E"]
+        table, ones, places = w["E"], np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32)
         for a in range(0, len(at), chunk):
             z = at[a : a + chunk, None] + np.arange(WINDOW)
             x = table[flat[z]] + w["P"]
@@ -102,14 +102,14 @@ class Model:
             np.minimum(s, 15, out=s)
             np.exp(s, out=s)
             s *= mask
-            h = np.matmul(s, kv[:, :, WIDTH:]) / (s.sum(-1, keepdims=True) + 1e-30)
+            h = np.matmul(s, kv[:, :, WIDTH:]) / ((s @ ones)[..., None] + 1e-30)
             y = np.tanh(xs.reshape(-1, WIDTH) @ w["A"] + h.reshape(-1, WIDTH) @ w["B"] + w["b"])
             target = goal[z[:, back:]].ravel()
             real = target >= 0
             y, target = y[real], target[real]
             logits = y @ w["C"] + w["c"]
             own = logits[np.arange(len(target)), self.classes[target]]
-            got = own - np.log(np.exp(logits).sum(1)) + self.emission[target]
+            got = own - np.log(np.exp(logits) @ places) + self.emission[target]
             out[z[:, back:].ravel()[real]] = got
         return out[goal >= 0] / math.log(10)
 
@@ -256,27 +256,55 @@ def opening(path: str, vocabulary: int) -> np.ndarray:
     return out
 
 
+class Lexicon(dict):
+    """Numbers of words in the order of their first use, with the ids of each word."""
+
+    def __init__(self, path: str, opens: np.ndarray):
+        self.encode, self.opens, self.new = encoder(path), opens, []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def ids_of_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and numbers of ids of the words since the last call, and the ids of all of them."""
+        sizes, ids = [], []
+        for a in range(0, len(self.new), 2000):  # many words in one text: no id spans two of them
+            part = self.new[a : a + 2000]
+            x = self.encode(joined(part)).astype(np.int32)
+            first = np.flatnonzero(self.opens[x])
+            if len(first) == len(part) and first[0] == 0:
+                sizes.append(np.diff(np.append(first, len(x))))
+                ids.append(x)
+            else:  # spaces that aren't ASCII
+                own = [self.encode(joined([w])).astype(np.int32) for w in part]
+                sizes.append(np.array([len(y) for y in own], np.int64))
+                ids += own
+        keys = np.fromiter(map(word_hash, self.new), np.int64, len(self.new))
+        self.new = []
+        return keys, np.concatenate(sizes or [NONE]), np.concatenate(ids or [NONE])
+
+
+NONE = np.zeros(0, np.int64)
+
+
 def _count(path: str, opens: np.ndarray, vocabulary: int):
     """(kind, key, n) of a scan partition's training texts: 0 words by hash, 1 ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
         words: Counter = Counter()
 
         def flush():
-            total = np.zeros(vocabulary + 1)
-            every, n = list(words), np.fromiter(words.values(), np.int64, len(words))
-            for a in range(0, len(every), 2000):  # many words in one text: no id spans two of them
-                part = every[a : a + 2000]
-                x = encode(joined(part)).astype(np.int64)
-                first = opens[x]
-                if first.sum() == len(part):
-                    total += np.bincount(x, weights=n[a : a + 2000][np.cumsum(first) - 1], minlength=vocabulary + 1)
-                else:  # spaces that aren't ASCII
-                    for w, c in zip(part, n[a : a + 2000]):
-                        np.add.at(total, encode(joined([w])).astype(np.int64), c)
+            lexicon = Lexicon(path, opens)
+            lexicon.numbers(list(words))
+            n = np.fromiter(words.values(), np.int64, len(words))
+            keys, sizes, x = lexicon.ids_of_new()
+            total = np.bincount(x, weights=np.repeat(n, sizes), minlength=vocabulary + 1)
             ids = np.flatnonzero(total)
-            keys = np.fromiter(map(word_hash, every), np.int64, len(every))
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.array([0, 1], np.int32), [len(keys), len(ids)])),
                 pa.array(np.concatenate([keys, ids])), pa.array(np.concatenate([n, total[ids].astype(np.int64)])),
@@ -315,45 +343,48 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
-class _Logs(dict):
-    """log10(count + ALPHA) of words, by the hashes that a block asked for."""
-
-    def __init__(self, by_hash: dict[int, float]):
-        self.by_hash = by_hash
-
-    def __missing__(self, word: bytes) -> float:
-        v = self[word] = self.by_hash.get(word_hash(word), ZERO)
-        return v
-
-
 ZERO = math.log10(ALPHA)
 
 
 def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: float):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        encode = encoder(path)
-        logs = _Logs(dict(zip(counts.column("key").to_pylist(), np.log10(counts.column("n").to_numpy() + ALPHA).tolist())))
+        lexicon = Lexicon(path, opens)
+        asked, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
+        order = np.argsort(asked)
+        asked, n = np.append(asked[order], 2**63 - 1), np.append(np.log10(n[order] + ALPHA), ZERO)
         end = math.log10(ends + ALPHA)
+        # by the number of a word: log10(count + ALPHA), where its ids start, how many they are; then all ids
+        logs, start, size, ids = np.zeros(0), NONE, NONE, np.zeros(0, np.int32)
         total, known, sums, scores = [], [], [], []
-        docs = texts.column("text").to_pylist()
-        for a in range(0, len(docs), 64):
-            words = [words_of(t) for t in docs[a : a + 64]]
-            base = [np.fromiter(map(logs.__getitem__, w), np.float64, len(w)) for w in words]
-            ids = [encode(joined(w)).astype(np.int64) for w in words]
-            got = model.score(ids)
-            at = 0
-            for w, v, x in zip(words, base, ids):
-                own = got[at : at + len(x) + 1]
-                at += len(x) + 1
-                total.append(len(w) + 1)
-                known.append(int((v > ZERO).sum()) + (ends > 0))
-                sums.append(float(v.sum()) + end)
-                first = np.flatnonzero(opens[np.append(x, model.vocabulary)])
-                if len(first) == len(w) + 1 and first[0] == 0:
-                    scores.append(float(blend(np.append(v, end) - floor, np.add.reduceat(own, first)).sum()))
-                else:  # spaces that aren't ASCII: words and ids don't line up
-                    scores.append(float(blend(np.array([sums[-1] - (len(w) + 1) * floor]), np.array([own.sum()])).sum()))
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(total, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_sum": pa.array(sums, pa.float64()), "score": pa.array(scores, pa.float64())})
+        for a in range(0, texts.num_rows, 256):
+            words = [lexicon.numbers(words_of(t.as_py())) for t in texts.column("text").slice(a, 256)]
+            keys, sizes, x = lexicon.ids_of_new()
+            at = np.searchsorted(asked, keys)
+            logs = np.concatenate([logs, np.where(asked[at] == keys, n[at], ZERO)])
+            start = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes])
+            size, ids = np.concatenate([size, sizes]), np.concatenate([ids, x])
+            for b in range(0, len(words), 64):
+                part = words[b : b + 64]
+                flat = np.concatenate(part)
+                s, many = start[flat], np.array([len(w) for w in part])
+                m = size[flat]
+                before = np.cumsum(m) - m
+                x = ids[np.repeat(s - before, m) + np.arange(int(m.sum()))]
+                cuts = np.append(before, len(x))[np.cumsum(many)[:-1]]
+                own = model.score(np.split(x, cuts))
+                # a word's ids, then one end a text
+                text = np.repeat(np.arange(len(part)), many)
+                begin = np.concatenate([before + text, np.append(cuts, len(x)) + np.arange(len(part))])
+                log = np.concatenate([logs[flat], np.full(len(part), end)])
+                of = np.concatenate([text, np.arange(len(part))])
+                order = np.argsort(begin, kind="stable")
+                got = blend(log[order] - floor, np.add.reduceat(own, begin[order]))
+                total.append(many + 1)
+                known.append(np.bincount(text, weights=logs[flat] > ZERO, minlength=len(part)).astype(np.int64) + (ends > 0))
+                sums.append(np.bincount(of, weights=log, minlength=len(part)))
+                scores.append(np.bincount(of[order], weights=got, minlength=len(part)))
+        flat = lambda parts, kind: pa.array(np.concatenate(parts or [NONE]).astype(kind))
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": flat(total, np.int64), "n_known": flat(known, np.int64), "base_sum": flat(sums, np.float64), "score": flat(scores, np.float64)})
 
     return run
 
@@ -365,6 +396,23 @@ def blend(unigram: np.ndarray, attention: np.ndarray) -> np.ndarray:
     return high + np.log10(10.0 ** (x - high) + 10.0 ** (y - high))
 
 
+def _sample(train_rows: DataFrame, n: int) -> list[str]:
+    """A stretch of each of the ``SAMPLE_DOCS`` rows with the smallest hashes.
+
+    Only rows below a bound that a few more than these should meet are sorted,
+    so partitions don't send a whole sample each.
+    """
+    place = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long"))
+    rows = train_rows.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    share = 1.5 * SAMPLE_DOCS / max(1, n)
+    while True:
+        some = rows if share >= 1 else rows.filter(F.col("h") < int((share - 0.5) * 2**64))
+        got = some.orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+        if share >= 1 or len(got) == SAMPLE_DOCS:
+            return [r["t"] for r in got]
+        share *= 4
+
+
 def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
@@ -372,11 +420,11 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     base = base.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False)))
     train_rows = base.filter(~F.col("held_out"))
+    ends, rows, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    ends = ends or 0
     # bounded sample for the attention weights
-    place = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long"))
-    sample = train_rows.select(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     encode = encoder(tokenizer)
-    model = train([encode(joined(words_of(r["t"]))) for r in sample], vocabulary)
+    model = train([encode(joined(words_of(t))) for t in _sample(train_rows, ends)], vocabulary)
     # counts over all training texts
     opens = opening(tokenizer, vocabulary)
     counts = materialize(train_rows.select("text").mapInArrow(_count(tokenizer, opens, vocabulary), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -385,8 +433,6 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
         ids[r["key"]] = r["n"]
     words = counts.filter("kind = 0").select("key", "n")
     distinct, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
-    ends, rows, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
-    ends = ends or 0
     ids[vocabulary] = ends
     model.set_counts(ids)
     n, v = (total or 0) + ends, distinct + (ends > 0)
