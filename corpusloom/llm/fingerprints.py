@@ -72,7 +72,7 @@ def match_positions(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Add ``out``: array of ``(left, right)`` token positions of the shared anchors."""
     low = (1 << POSITION_BITS) - 1
     return df.withColumn(out, F.expr(
-        f"filter(transform({a}, v -> struct(v & {low}L as left, element_at(transform(filter({b}, w -> shiftright(w, {POSITION_BITS}) = shiftright(v, {POSITION_BITS})), w -> w & {low}L), 1) as right)), p -> p.right is not null)"))
+        f"filter(transform({a}, v -> struct(v & {low}L as left, get(transform(filter({b}, w -> shiftright(w, {POSITION_BITS}) = shiftright(v, {POSITION_BITS})), w -> w & {low}L), 0) as right)), p -> p.right is not null)"))
 
 
 def _bucket(bounds: list[int], of: Column) -> Column:

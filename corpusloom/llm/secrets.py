@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,6 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None, thre
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span of their text replaced by ``mask``."""
-    import pandas as pd
-
     ship(docs.sparkSession)
     model = train(options.pop("samples", None) or default_samples())
     threshold = options.pop("threshold", 0.4)
