@@ -50,9 +50,9 @@ WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 64
 KNOWN_IDS = 4096  # ids with an embedding of their own; others share one a class
 SAMPLE_DOCS, SAMPLE_CHARS = 1600, 2000
 BLOCK_BYTES = 16 << 20
-STEPS, BATCH = 1600, 64
+STEPS, EPOCHS, BATCH = 1600, 4, 64  # at most so many steps, or passes over a smaller sample
 ALPHA = 0.1
-SHARE = 0.45  # of the unigram in the interpolation
+SHARE = 0.65  # of the unigram in the interpolation
 
 
 # -- the model ---------------------------------------------------------------
@@ -174,6 +174,7 @@ def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed:
             xs.append(row[a : a + WINDOW])
             ys.append(goal[a + back : a + WINDOW])
     xs, ys = np.array(xs, np.int64), np.array(ys, np.int64)
+    steps = min(steps, 50 + EPOCHS * len(xs) // BATCH)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
