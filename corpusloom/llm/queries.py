@@ -70,7 +70,7 @@ def op1_syncmers(spark, sf_dir):
 def op10_warc(spark, sf_dir):
     from corpusloom.llm.warc import round_trip
 
-    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("archive", "archive_offset")
 
 
 QUERIES = {
@@ -100,4 +100,26 @@ r AS (
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, h AS text_sha256 FROM r
 """
 
-SQL = {"op2_exact_dedup": OP2_SQL}
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS uri,
+         strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+heads AS (
+  SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000
+  GROUP BY 1 HAVING count(*) > 1 AND max(page_id) IS NOT NULL),
+r AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+         CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END AS refers_to,
+         coalesce(array_to_string(list_reverse(string_split(lower(
+           regexp_extract(uri, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.')), ',') || ')' ||
+           regexp_extract(uri, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), '') AS url_key,
+         strftime(make_timestamp(coalesce(page_id, 0) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+  FROM p LEFT JOIN heads USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key, captured,
+       row_number() OVER (ORDER BY url_key, captured, page_id NULLS LAST) - 1 AS capture_rank
+FROM r
+"""
+
+SQL = {"op2_exact_dedup": OP2_SQL, "op10_warc": OP10_SQL}
