@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 from corpusloom.llm.common import materialize, text_of
 
 SLICE = 2000  # rows of a source that one window partition sums
+BROADCAST_BYTES = 8 << 20  # the largest table of sources that is broadcast
 NO_SOURCE = "\u0000"
 
 
@@ -98,8 +99,9 @@ def _slice(turn: Column, slices: Column) -> Column:
 
 def _running(rows: DataFrame) -> DataFrame:
     """Add ``before``: the tokens that precede a row in its source and pass."""
-    rows = rows.withColumn("part", _slice(F.col("turn"), F.col("slices")))
     key = ["source", "epoch"]
+    # dealt by slices, whatever joined the rows to their sources: else a hot source would stay in one task
+    rows = rows.withColumn("part", _slice(F.col("turn"), F.col("slices"))).repartition(*key, "part")
     sums = rows.groupBy(*key, "part").agg(F.sum("tokens").alias("t"))
     sums = sums.withColumn("offset", F.coalesce(F.sum("t").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     w = Window.partitionBy(*key, "part").orderBy("turn", "doc_id", "print").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +109,12 @@ def _running(rows: DataFrame) -> DataFrame:
     return rows.join(sums, [*key, "part"]).withColumn("before", F.col("offset") + F.col("inner")).drop("part", "offset", "inner")
 
 
+def _beside(table: DataFrame, name: str) -> DataFrame:
+    """The table of sources, broadcast where it is measured to be small; else a join by shuffle."""
+    size = table.agg(F.sum(F.octet_length(name).cast("long") + 100)).first()[0]
+    return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table
+
+
 def plan(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The table of sources, and the rows that it was made from.
 
@@ -130,7 +138,7 @@ def plan(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     sources = sources.withColumn("weight", F.pow("share", F.lit(exponent)) / F.lit(norm)).withColumn("repeats", F.pow(F.lit(largest / total) / F.col("share"), F.lit(1 - exponent)))
     sources = sources.withColumn("whole", F.floor(F.col("repeats") + 1e-9).cast("long")).withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("long"))
     budget = ((F.col("repeats") - F.col("whole")) * F.col("tokens")).alias("budget")
-    part = rows.join(sources.select("source", "slices", F.col("whole").alias("epoch"), budget), "source")
+    part = rows.join(_beside(sources.select("source", "slices", F.col("whole").alias("epoch"), budget), "source"), "source")
     part = _running(part.withColumn("turn", _turn(F.col("epoch"), "doc_id", "print", seed)))
     # the rows of the partial pass are a prefix of the permutation: the first that doesn't fit ends it
     stop = part.filter(F.col("before") + F.col("tokens") > F.col("budget")).groupBy("source").agg(F.min("turn").alias("stop"))
@@ -144,7 +152,7 @@ def apply(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
     key = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     out = docs.withColumns({"__source": key, "__id": F.col(id_col).cast("long"), "__print": F.xxhash64(text_of(text_col))})
     table = table.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    out = out.join(table, "__source")
+    out = out.join(_beside(table, "__source"), "__source")
     turn = _turn(F.col("__whole"), "__id", "__print", seed)
     copies = F.col("__whole") + (turn < F.col("__cut")).cast("long")
     return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
@@ -154,7 +162,7 @@ def schedule(docs: DataFrame, block_tokens: int = 1 << 20, seed: int = 17, id_co
     """One row per pass of a document: ``doc_id, source, tokens, epoch, weight, repeats, block, slot``."""
     table, rows = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     part = table.select("source", "whole", "cut", "slices", "weight", "repeats", F.col("tokens").alias("of_source"))
-    out = rows.join(part, "source").withColumn("copies", F.col("whole") + (_turn(F.col("whole"), "doc_id", "print", seed) < F.col("cut")).cast("long"))
+    out = rows.join(_beside(part, "source"), "source").withColumn("copies", F.col("whole") + (_turn(F.col("whole"), "doc_id", "print", seed) < F.col("cut")).cast("long"))
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("turn", _turn(F.col("epoch"), "doc_id", "print", seed))
     out = _running(out).withColumn("at", F.col("epoch") * F.col("of_source") + F.col("before"))
     out = out.withColumn("block", F.floor(F.col("at") / (F.col("weight") * F.lit(block_tokens))).cast("long"))
