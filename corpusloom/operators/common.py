@@ -34,3 +34,21 @@ def first_per(df: DataFrame, keys: list, order: list, limit: int = 1, name: str
     """The first ``limit`` rows of each key; Spark cuts each map task's rows before the shuffle."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= limit)
     return out.drop(name) if name == "__rn" else out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, for plans that read it many times."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-kept"))
+    return df.checkpoint()
+
+
+def settled(top: DataFrame) -> DataFrame:
+    """The rows of a top-k result as a table of their own: what reads it several times doesn't search again.
+
+    Only for results that a limit bounds.
+    """
+    return top.sparkSession.createDataFrame(top.collect(), top.schema)

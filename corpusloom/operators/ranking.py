@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.constants import ALPHA, BM25_B, BM25_K1, DIMENSION, MAX_CANDIDATES, MIN_COOC, TITLE_WEIGHT, VECTOR_WEIGHT
 from corpusloom.functions.text import blank, tokenize
-from corpusloom.operators.common import top_k
+from corpusloom.operators.common import kept, top_k
 from corpusloom.operators.index import both_fields, candidates, document_frequency, matches, postings
 
 
@@ -202,18 +202,20 @@ def candidate_union(trie: DataFrame, vec: DataFrame) -> DataFrame:
     return firsts.select("query_id", "doc_id", F.row_number().over(order).alias("pos"))
 
 
-def search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, least: int | None = None, max_candidates: int = MAX_CANDIDATES, vectors: bool = True, **weights) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, least: int | None = None, max_candidates: int = MAX_CANDIDATES, vectors: bool = True, semantic: dict | None = None, lexical: dict | None = None, **weights) -> DataFrame:
     """``query_id, doc_id, rank, score`` of ``queries(query_id, query)``.
 
     Candidates hold enough query terms (one for a single term, else two) or are
     among the nearest vectors; where there is neither, one term is enough.
+    ``semantic`` and ``lexical`` are options of :func:`gvsm` and :func:`bm25`,
+    ``weights`` those of :func:`fuse`.
     """
     terms = query_terms(queries)
     sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("query"))).alias("k"), F.size(tokenize("query")).alias("k_all"))
     asked = F.when(F.col("k") <= 1, 1).otherwise(2) if least is None else F.greatest(F.lit(1), F.least(F.lit(least), F.greatest("k", F.lit(1))))
     limit = sizes.select("query_id", asked.alias("m"))
-    post = postings(corpus)
-    found = matches(post, terms.select("query_id", "term"))
+    post = kept(postings(corpus))  # read by nine parts of the plan
+    found = kept(matches(post, terms.select("query_id", "term")))
     trie = candidates(found, limit, max_candidates)
     qv = hashed(queries.select("query_id", tokenize("query").alias("terms")), "query_id")
     if vectors:
@@ -226,11 +228,12 @@ def search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, least: int |
         hits = near.join(F.broadcast(single.select("query_id")), "query_id", "left_anti").unionByName(guard)
     else:
         near = hits = trie.select("query_id", "doc_id", F.lit(0.0).alias("vec"), "pos").limit(0)
-    cands = candidate_union(trie, hits)
+    hits = kept(hits)
+    cands = kept(candidate_union(trie, hits))
     relaxed = candidates(found, limit.join(cands.select("query_id").distinct(), "query_id", "left_anti").withColumn("m", F.lit(1)), max_candidates)
     cands = cands.unionByName(relaxed.select("query_id", "doc_id", "pos"))
     filled = corpus.filter((F.trim(blank("title")) != "") | (F.trim(blank("text")) != "") | (F.trim(blank("url")) != "")).select("doc_id")
     cands = cands.join(filled, "doc_id", "left_semi")
-    scored = fuse(cands, gvsm(post, terms), bm25(corpus, terms), hits, **weights)
+    scored = fuse(cands, gvsm(post, terms, **(semantic or {})), bm25(corpus, terms, **(lexical or {})), hits, **weights)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "pos")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "doc_id", "rank", "score")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.constants import API_TOP_K, BOOST_RANK, BOOST_SCORE, FALLBACK_MIN_RESULTS, FALLBACK_MIN_SCORE, PAGE_SIZE
 from corpusloom.functions.text import api_snippet, blank, strip
-from corpusloom.functions.web import file_type
-from corpusloom.operators.common import with_rank
+from corpusloom.functions.web import file_type, url_domain
+from corpusloom.operators.common import settled, with_rank
 from corpusloom.operators.ranking import search
 
 NO_TITLE = "(sin título)"
@@ -56,9 +56,26 @@ def projection(records: DataFrame) -> DataFrame:
         blank("url").alias("url"), file_type("url", "source_type").alias("file_type"), "domain", "source_type")
 
 
-def endpoint(corpus: DataFrame, queries: DataFrame, query: str, top_k: int = API_TOP_K, web: DataFrame | None = None) -> DataFrame:
+def index_external(records: DataFrame, web: DataFrame, by: str, crawl_date: str | None = None) -> DataFrame:
+    """``web(url, title, text, ...)`` as records: ids after the largest known one, rank, score hint, date.
+
+    Rows without a title or text aren't records.
+    """
+    usable = web.filter((F.length(strip(blank("title"))) > 0) & (F.length(strip(blank("text"))) > 0))
+    top = records.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top"))
+    date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if crawl_date is None else F.lit(crawl_date)
+    out = score_hints(usable, by).join(F.broadcast(top)).withColumn("doc_id", (F.col("top") + F.col("web_rank") + 1).cast("long")).drop("top")
+    return out.withColumn("source_type", F.lit("web_search")).withColumn("domain", url_domain("url")).withColumn("crawl_date", date)
+
+
+def ingest(records: DataFrame, new: DataFrame) -> DataFrame:
+    """``records`` with ``new`` ones in place of those with the same id; every index made from it is fresh."""
+    return records.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def endpoint(corpus: DataFrame, queries: DataFrame, query: str, top_k: int = API_TOP_K, web: DataFrame | None = None, **options) -> DataFrame:
     """The answer of the search service for one query, best first."""
-    ranked = search(corpus, queries, top_k).select("doc_id", "score", (F.col("rank") - 1).cast("long").alias("source_rank"))
+    ranked = settled(search(corpus, queries, top_k, **options).select("doc_id", "score", (F.col("rank") - 1).cast("long").alias("source_rank")))
     boost = substring_boost(corpus, query, ranked)
     found = ranked.unionByName(boost)
     records = corpus.join(found, "doc_id")

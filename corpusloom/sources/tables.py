@@ -82,3 +82,39 @@ def read_pair_counts(spark: SparkSession, path: str) -> DataFrame:
 def write_index(index: DataFrame, path: str, parts: int = 16) -> None:
     """The inverted index sorted by term, so that a term's row group is found by statistics."""
     index.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def write_raw_pages(pages: DataFrame, path: str) -> None:
+    """HTML as it came, under a key from its URL."""
+    pages.select(F.substring(F.sha2("url", 256), 1, 16).alias("key"), "url", "html").write.mode("append").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``term, doc_ids, df`` of a saved index: a Parquet folder, or a JSON file of trie nodes.
+
+    Nodes hold their children by label and number; a word is the labels on the
+    way from the root.  The tree is walked level by level, one join each.
+    """
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    node = "struct<is_end:boolean,docs:array<bigint>,children:map<string,int>>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"nodes array<{node}>, root int").alias("j"))
+    nodes = raw.select("j.root", F.posexplode("j.nodes").alias("id", "n")).select("root", "id", "n.*")
+    words = nodes.filter("is_end").select("id", F.array_sort(F.array_distinct("docs")).alias("doc_ids"))
+    edges = nodes.select("id", F.explode("children").alias("label", "child"))
+    level = nodes.filter("id = root").select("id", F.lit("").alias("term"))
+    found = level
+    while not (level := level.join(edges, "id").select(F.col("child").alias("id"), F.concat("term", "label").alias("term"))).isEmpty():
+        found = found.unionByName(level)
+    return found.join(words, "id").select("term", "doc_ids", F.size("doc_ids").cast("long").alias("df"))
+
+
+def write_pair_counts(pairs: DataFrame, path: str) -> None:
+    """Counts of term pairs, each pair once with its smaller term first, sorted by it."""
+    pairs.repartitionByRange("term_a").sortWithinPartitions("term_a", "term_b").write.mode("overwrite").parquet(path)
+
+
+def write_report(counts: DataFrame, path: str, by: str) -> None:
+    """A crawl report as text lines ``name: n``, most frequent first.  ``counts`` has one row a reason or domain."""
+    lines = counts.select(F.format_string("%s: %d", F.coalesce(by, F.lit("")), "n").alias("value"), "n", by)
+    lines.orderBy(F.desc("n"), by).select("value").write.mode("overwrite").text(path)
