@@ -14,16 +14,19 @@ A text's raw score is the sum over its matched clauses; words without a match
 add nothing.  A logistic curve through the training rows turns it into a
 probability.
 
-Learning: the insult trie holds the beginnings (3 to 6 letters, or whole
-words up to 6 letters) that occur in at least a share ``min_share`` of the toxic
-training texts (4 at least) and in at most ``max_ratio`` times as many others;
-their weights are smoothed log-odds.  All labelled training rows are counted,
-and at most ``max_arcs`` arcs, the most frequent, are kept as the model's size.
-The curve is fitted on counts of training rows by rounded raw score.
+Learning: each distinct labelled training text counts once, however many rows
+hold it (texts are compared by 64-bit hashes).  The insult trie holds every
+beginning (3 to 6 letters, or whole words up to 6 letters) that occurs in at
+least ``min_texts`` toxic texts, whose smoothed odds between the classes, each
+relative to its size, are at least ``min_odds``, and whose log-likelihood ratio
+against the classes' shares is at least ``evidence``.  Its weight is the log of
+these odds.  A beginning that a shorter one with as much weight covers changes
+no score and is left out; there is no other bound on their number.  The curve
+is fitted on counts of distinct training texts by rounded raw score.
 
 Edge cases: a null or empty text scores the curve's value at 0; rows whose
 label is null or missing aren't learned from; of contradicting labels for one
-id the larger holds; repeated rows are scored each; with no labels the seed
+id or one text the larger holds; repeated rows are scored each; with no labels the seed
 lists and a fixed curve are used; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -145,20 +148,24 @@ class Grammar:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with each beginning by label, summed within the partition in bounded steps."""
+    """Texts with each beginning by label, summed within the partition in bounded steps.
+
+    Each of n equal rows counts 1 / n, wherever they are.
+    """
     sums: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush():
         keys = list(sums[0].keys() | sums[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sums[1][k] for k in keys], pa.int64()), pa.array([sums[0][k] for k in keys], pa.int64())], names=["key", "pos", "neg"])
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sums[1][k] for k in keys], pa.float64()), pa.array([sums[0][k] for k in keys], pa.float64())], names=["key", "pos", "neg"])
         sums[0].clear()
         sums[1].clear()
         return out
 
     known: dict[str, list[str]] = {}
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            sums[label].update(counted(set(WORD.findall(text.as_py().lower())), known))
+        for label, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            keys = counted(set(WORD.findall(text.as_py().lower())), known)
+            sums[label].update(keys if n == 1 else dict.fromkeys(keys, 1 / n))
             if len(sums[0]) + len(sums[1]) > 300_000:
                 yield flush()
     yield flush()
@@ -186,32 +193,37 @@ def fit_curve(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[fl
 SQUEEZE = 12.0  # raw scores are read up to here
 
 
-def learn(train: DataFrame, pos: int, neg: int, min_share: float = 0.02, max_ratio: float = 0.08, max_arcs: int = 4096) -> dict[str, float]:
-    """The arcs of the insult trie from ``train(label, text)``, all of its rows."""
+def learn(train: DataFrame, pos: int, neg: int, min_texts: int = 4, min_odds: float = 40.0, evidence: float = 12.0) -> dict[str, float]:
+    """The arcs of the insult trie from ``train(label, copies, text)``, of which ``pos`` and ``neg`` texts are distinct."""
     ship(train.sparkSession)
     if not pos or not neg:
         return {}
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    counts = train.select("label", "text").mapInArrow(_count, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = counts.filter((F.col("pos") >= max(4, min_share * pos)) & (F.col("neg") <= max_ratio * F.col("pos"))).withColumn("odds", odds).orderBy(F.desc("pos"), "key").limit(max_arcs)
-    arcs = {r["key"]: min(4.0, r["odds"]) for r in best.collect()}
-    # of a chain of beginnings the shortest accepting one says it all
+    p, q = F.col("pos"), F.col("neg")
+    odds = F.log((p + 0.5) / (pos + 1.0)) - F.log((q + 0.5) / (neg + 1.0))
+    part = lambda n, share: F.when(n > 0, n * F.log(n / ((p + q) * share))).otherwise(0.0)
+    gain = part(p, pos / (pos + neg)) + part(q, neg / (pos + neg))
+    counts = train.select("label", "copies", "text").mapInArrow(_count, "key string, pos double, neg double").groupBy("key").agg(F.round(F.sum("pos")).alias("pos"), F.round(F.sum("neg")).alias("neg"))
+    best = counts.filter(p >= min_texts).withColumn("odds", odds).filter((F.col("odds") >= math.log(min_odds)) & (gain >= evidence))
+    return pruned({r["key"]: min(4.0, r["odds"]) for r in best.select("key", "odds").collect()})
+
+
+def pruned(arcs: dict[str, float]) -> dict[str, float]:
+    """Without the arcs that a shorter beginning of at least their weight covers."""
     heads = {k: (k[0] if k[0] in "23" else "", k.lstrip("23")) for k in arcs}
-    arcs = {k: v for k, v in arcs.items() if not any(heads[k][0] + heads[k][1][:j] in arcs for j in range(3, len(heads[k][1])))}
-    return arcs
+    return {k: v for k, v in arcs.items() if not any(arcs.get(heads[k][0] + heads[k][1][:j], -math.inf) >= v for j in range(3, len(heads[k][1])))}
 
 
 def _raw(docs: DataFrame, arcs: dict[str, float], keep: str) -> DataFrame:
-    """``doc_id, <keep>, raw, clauses`` of ``docs(doc_id, <keep>, text)``."""
+    """``doc_id, <keep>, print, raw, clauses`` of ``docs(doc_id, <keep>, print, text)``."""
     kind = dict(docs.dtypes)[keep]
 
     def run(batches):
         grammar = Grammar(arcs)
         for b in batches:
-            got = [grammar.raw(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", keep, "raw", "clauses"])
+            got = [grammar.raw(t.as_py()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", keep, "print", "raw", "clauses"])
 
-    return docs.select("doc_id", keep, "text").mapInArrow(run, f"doc_id long, {keep} {kind}, raw double, clauses long")
+    return docs.select("doc_id", keep, "print", "text").mapInArrow(run, f"doc_id long, {keep} {kind}, print long, raw double, clauses long")
 
 
 def held_out(id_col, folds: int):
@@ -225,21 +237,31 @@ def labelled(labels: DataFrame, folds: int, id_col: str, label_col: str) -> Data
     return materialize(marks.filter(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("label").alias("label")))
 
 
+def distinct_texts(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``doc_id, print, label, copies``: one id for each distinct labelled text of ``rows(doc_id, print)``, and its number of equal rows."""
+    ids = rows.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies")).join(marks, "doc_id")
+    texts = ids.groupBy("print").agg(F.max("label").alias("label"), F.min(F.struct("doc_id", "copies")).alias("first"))
+    return materialize(texts.select("first.doc_id", "print", "label", "first.copies"))
+
+
 def model(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> tuple[dict, tuple, DataFrame]:
-    """Arcs and curve, learned outside the held-out fold, and ``doc_id, held_out, raw, clauses`` of every row.
+    """Arcs and curve, learned outside the held-out fold, and ``doc_id, held_out, print, raw, clauses`` of every row.
 
-    Texts meet their labels by a shuffle at any size of the labels, which grow
-    with the corpus; the curve then needs only the raw scores.
+    Ids and hashes choose a row for each distinct text.  Texts meet its label by
+    a shuffle at any size of the labels, which grow with the corpus; the curve
+    then needs only the raw scores.
     """
     ship(docs.sparkSession)
     marks = labelled(labels, folds, id_col, label_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds).alias("held_out"), text_of(text_col).alias("text"))
-    n = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
-    train = base.filter(~F.col("held_out")).select("doc_id", "text").hint("merge").join(marks, "doc_id").select("label", "text")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds).alias("held_out"), text_of(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
+    train = base.filter(~F.col("held_out"))
+    chosen = distinct_texts(train.select("doc_id", "print"), marks)
+    n = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+    train = train.select("doc_id", "print", "text").hint("merge").join(chosen, ["doc_id", "print"]).select("label", "copies", "text")
     arcs = learn(train, n.get(1, 0), n.get(0, 0), **options)
     scored = materialize(_raw(base, arcs, keep="held_out"))
-    known = scored.filter(~F.col("held_out")).join(marks, "doc_id")
-    points = known.groupBy(F.round(F.least("raw", F.lit(SQUEEZE)), 1).alias("x")).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    known = scored.filter(~F.col("held_out")).join(chosen, ["doc_id", "print"])
+    points = known.groupBy(F.round(F.least("raw", F.lit(SQUEEZE)), 1).alias("x")).agg(F.round(F.sum(F.col("label") / F.col("copies"))).alias("p"), F.round(F.sum(1 / F.col("copies"))).alias("n")).collect()
     curve = fit_curve([(r["x"], r["p"], r["n"]) for r in points]) if any(r["p"] for r in points) and any(r["n"] > r["p"] for r in points) else CURVE
     return arcs, curve, scored
 

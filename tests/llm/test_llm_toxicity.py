@@ -53,6 +53,25 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert score(docs, marks) == score(other, flipped)
 
 
+def test_copies_of_one_text_do_not_hide_other_insults(spark):
+    letters = "bcdfghjklmnp"
+    long = " ".join(a + b + c + "ovat" for a in letters for b in letters for c in letters)
+    rows = [(i, "toxic", long) for i in range(400)] + [(i, "toxic", f"number {i} is a zorgblat indeed") for i in range(400, 430)]
+    rows += [(i, "clean", f"number {i} is a sparrow indeed") for i in range(430, 1100)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, _, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = labels(spark, [(i, 0, int(kind == "toxic")) for i, kind, _ in rows])
+    arcs, _, _ = tox.model(docs, marks)
+    assert any("zorgblat".startswith(k) for k in arcs) and not any("ovat" in k or k.startswith("bbb") for k in arcs)
+    got = {r["doc_id"]: r["predicted"] for r in read(tox.score(docs, marks))}
+    assert all(got[i] for i in range(400, 430)) and not any(got[i] for i in range(430, 1100))
+    # equal rows, ids and all, weigh as one
+    assert tox.model(docs.unionByName(docs), marks)[:2] == (arcs, tox.model(docs, marks)[1])
+
+
+def test_a_longer_arc_of_more_weight_stays():
+    assert tox.pruned({"abc": 1.0, "abcd": 2.0, "abcde": 2.0, "2abc": 3.0, "2abcd": 1.0}) == {"abc": 1.0, "abcd": 2.0, "2abc": 3.0}
+
+
 def test_edges(spark):
     got = read(tox.score(table(spark), labels(spark)))
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
