@@ -8,18 +8,23 @@ a causal attention layer over subword ids, trained in numpy:
     x = embedding(id) + position,   h = masked softmax(q k') v,
     y = tanh(x A + h B + b),        P(next) = P(class | y) P(id | class)
 
-Ids are grouped into ``CLASSES`` classes by their neighbours in the sample;
+Ids are grouped into ``CLASSES`` classes by their neighbours in all training texts;
 ``P(id | class)`` comes from smoothed id counts over all training texts, so the
 layer is a distribution over all ids and the end.  A text is read in windows of
 ``WINDOW`` ids that advance by ``STRIDE``: every id is scored once, with at
 least ``WINDOW - STRIDE`` ids of context after the start.  A word's probability
 is the product over its ids.
 
-The attention weights are fitted on a bounded sample: a stretch of at most
+The attention weights start from a sample: a stretch of at most
 ``SAMPLE_CHARS`` code points, at a hashed place, of each of the ``SAMPLE_DOCS``
-training texts with the smallest hashes.  All counts are over all texts.
-
-Plan: word counts fold within scan partitions and are summed by hash.  Texts
+training texts with the smallest hashes.  From there every scan partition fits
+them on every window of its training texts, once each, and the results are
+averaged: an embedding by its uses in the partition, the rest by windows.  So
+steps grow with the corpus.  Classes come from sums over all neighbouring ids,
+and the ids with embeddings of their own from counts, both of all training texts.
+
+Plan: word counts fold within scan partitions and are summed by hash; sums of
+neighbours and weights fold there too and are summed by slots of rows.  Texts
 are then dealt into blocks of about ``BLOCK_BYTES``; a block asks for the counts
 of its distinct words by a join, so a frequent word is one row a block, and
 meets its texts again in a co-group of bounded size.  Words are compared by
@@ -50,7 +55,9 @@ WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 64
 KNOWN_IDS = 4096  # ids with an embedding of their own; others share one a class
 SAMPLE_DOCS, SAMPLE_CHARS = 1600, 2000
 BLOCK_BYTES = 16 << 20
-STEPS, EPOCHS, BATCH = 1600, 4, 64  # at most so many steps, or passes over a smaller sample
+STEPS, EPOCHS, BATCH = 1600, 4, 64  # of the start: at most so many steps, or passes over a smaller sample
+POOL, POOL_BATCH, RATE = 8192, 256, 0.006  # windows that are mixed, windows a step, and the rate of the steps over all texts
+SLOTS, SPREAD = 64, 24  # parts in which tables of rows are summed; width of projected neighbours
 ALPHA = 0.1
 SHARE = 0.65  # of the unigram in the interpolation
 
@@ -117,23 +124,29 @@ class Model:
 MASK = np.tril(np.ones((STRIDE, WINDOW), np.float32), WINDOW - STRIDE)
 
 
-def group_ids(samples: list[np.ndarray], vocabulary: int, seed: int = 3) -> np.ndarray:
+def projection(counts: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Random directions of all ids, shorter for frequent ones."""
+    return (np.random.default_rng(seed).standard_normal((len(counts), SPREAD)) / np.sqrt(counts + 5.0)[:, None]).astype(np.float32)
+
+
+def neighbours(flat: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Add to the rows of ``out`` the projected ids before and after each id of ``flat``."""
+    pairs, n = np.unique(flat[:-1].astype(np.int64) * len(basis) + flat[1:], return_counts=True)
+    a, b = pairs // len(basis), pairs % len(basis)
+    for own, other, half in ((b, a, slice(0, SPREAD)), (a, b, slice(SPREAD, None))):
+        order = np.argsort(own, kind="stable")
+        ids, first = np.unique(own[order], return_index=True)
+        if len(ids):
+            out[ids, half] += np.add.reduceat(basis[other[order]] * n[order, None].astype(np.float32), first)
+
+
+def group_ids(sums: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
     """Classes of ids by weighted k-means over what stands before and after them."""
     rng = np.random.default_rng(seed)
-    flat = np.concatenate([np.append(x, vocabulary) for x in samples]).astype(np.int64)
-    counts = np.bincount(flat, minlength=vocabulary + 1)
     seen = np.flatnonzero(counts)
     if not len(seen):
-        return np.arange(vocabulary + 1) % CLASSES
-    slot = np.full(vocabulary + 1, -1)
-    slot[seen] = np.arange(len(seen))
-    a, b = slot[flat[:-1]], slot[flat[1:]]
-    # random projections of the neighbour distributions, left and right
-    basis = rng.standard_normal((len(seen), 24)) * (1 / np.sqrt(counts[seen] + 5.0))[:, None]
-    left, right = np.zeros((len(seen), 24)), np.zeros((len(seen), 24))
-    np.add.at(right, a, basis[b])
-    np.add.at(left, b, basis[a])
-    v = np.concatenate([left, right], 1) / np.sqrt(counts[seen])[:, None]
+        return np.arange(len(counts)) % CLASSES
+    v = sums[seen] / np.sqrt(counts[seen])[:, None]
     v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
     weight = np.sqrt(counts[seen])
     centre = v[rng.choice(len(seen), min(CLASSES, len(seen)), replace=False, p=weight / weight.sum())]
@@ -144,17 +157,60 @@ def group_ids(samples: list[np.ndarray], vocabulary: int, seed: int = 3) -> np.n
             if inside.any():
                 c = (v[inside] * weight[inside, None]).sum(0)
                 centre[k] = c / (np.linalg.norm(c) + 1e-9)
-    classes = rng.integers(0, len(centre), vocabulary + 1)  # ids that the sample lacks
+    classes = rng.integers(0, len(centre), len(counts))  # ids that no training text has
     classes[seen] = near
     return classes.astype(np.int64)
 
 
-def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed: int = 5) -> Model:
-    """Fit the attention weights on sequences of ids by Adam."""
+def windows(ids: list[np.ndarray], inputs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids and classes to tell of all windows of some sequences."""
+    start, pad, back = inputs.max() + 1, inputs.max() + 2, WINDOW - STRIDE
+    rows = np.array([len(x) // STRIDE + 1 for x in ids])
+    width = back + rows * STRIDE
+    first = np.cumsum(width) - width
+    flat, goal = np.full(int(width.sum()), pad, np.int64), np.full(int(width.sum()), -1, np.int64)
+    for a, x in zip(first + back, ids):
+        flat[a] = start
+        flat[a + 1 : a + len(x) + 1] = inputs[x]
+        goal[a : a + len(x)] = classes[x]
+        goal[a + len(x)] = classes[-1]
+    at = np.repeat(first, rows) + (np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)) * STRIDE
+    z = at[:, None] + np.arange(WINDOW)
+    return flat[z], goal[z[:, back:]]
+
+
+class Adam:
+    """Steps on the weights ``p``, in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.m1 = {k: np.zeros_like(v) for k, v in p.items()}
+        self.m2 = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, xs: np.ndarray, ys: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        g = _gradients(self.p, xs, ys)
+        for k, v in self.p.items():
+            self.m1[k] += 0.1 * (g[k] - self.m1[k])
+            self.m2[k] += 0.01 * (g[k] ** 2 - self.m2[k])
+            v -= (rate * (self.m1[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.m2[k] / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
+
+
+def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed: int = 5, counts: np.ndarray | None = None, sums: np.ndarray | None = None) -> Model:
+    """Fit the attention weights on sequences of ids by Adam.
+
+    Counts of all ids and the sums of their neighbours are those of the
+    sequences where none are given.
+    """
     rng = np.random.default_rng(seed)
     samples = [np.asarray(x, np.int64) for x in samples] or [np.zeros(0, np.int64)]
-    classes = group_ids(samples, vocabulary)
-    counts = np.bincount(np.concatenate(samples), minlength=vocabulary)
+    if counts is None or sums is None:
+        flat = np.concatenate([np.append(x, vocabulary) for x in samples])
+        counts = np.bincount(flat, minlength=vocabulary + 1)
+        sums = np.zeros((vocabulary + 1, 2 * SPREAD), np.float32)
+        neighbours(flat, projection(counts), sums)
+    classes = group_ids(sums, counts)
+    counts = counts[:vocabulary]
     often = np.argsort(-counts, kind="stable")[:KNOWN_IDS]
     often = often[counts[often] > 1]
     inputs = (classes[:vocabulary] + len(often)).astype(np.int32)
@@ -165,32 +221,19 @@ def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed:
     p = {"E": r(pad + 1, d), "P": r(WINDOW, d) * 0.3, "Q": r(d, d), "KV": r(d, 2 * d), "A": r(d, d), "B": r(d, d), "b": np.zeros(d, np.float32), "C": r(d, CLASSES), "c": np.zeros(CLASSES, np.float32)}
     p["c"] = np.log(np.bincount(classes[np.concatenate(samples)], minlength=CLASSES) + 1.0).astype(np.float32)
     p["c"] -= p["c"].max()
-    back = WINDOW - STRIDE
-    xs, ys = [], []
-    for s in samples:
-        row = np.concatenate([np.full(back, pad), [start], inputs[s], np.full(STRIDE, pad)])
-        goal = np.concatenate([np.full(back, -1), classes[s], [classes[vocabulary]], np.full(STRIDE, -1)])
-        for a in range(0, len(s) + 1, STRIDE):
-            xs.append(row[a : a + WINDOW])
-            ys.append(goal[a + back : a + WINDOW])
-    xs, ys = np.array(xs, np.int64), np.array(ys, np.int64)
+    xs, ys = windows(samples, inputs, classes)
     steps = min(steps, 50 + EPOCHS * len(xs) // BATCH)
-    m1 = {k: np.zeros_like(v) for k, v in p.items()}
-    m2 = {k: np.zeros_like(v) for k, v in p.items()}
+    adam = Adam(p)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(xs), BATCH)
-        g = _gradients(p, xs[pick], ys[pick])
-        rate = 0.02 * min(1.0, step / 30) * (1 - step / (steps + 1)) ** 0.7
-        for k in p:
-            m1[k] += 0.1 * (g[k] - m1[k])
-            m2[k] += 0.01 * (g[k] ** 2 - m2[k])
-            p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        adam.step(xs[pick], ys[pick], 0.02 * min(1.0, step / 30) * (1 - step / (steps + 1)) ** 0.7)
     return Model(vocabulary, classes, inputs, p)
 
 
 def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     d, back = WIDTH, WINDOW - STRIDE
     n = len(x_ids)
+    cross = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
     x = p["E"][x_ids] + p["P"]
     kv = x @ p["KV"]
     k, v = kv[..., :d], kv[..., d:]
@@ -210,9 +253,9 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     i, j = np.nonzero(real)
     dl[i, j, goal[i, j]] -= 1
     dl = dl * real[..., None] / max(1, real.sum())
-    g = {"C": np.einsum("nij,nik->jk", y, dl), "c": dl.sum((0, 1))}
+    g = {"C": cross(y, dl), "c": dl.sum((0, 1))}
     dz = (dl @ p["C"].T) * (1 - y**2)
-    g["A"], g["B"], g["b"] = np.einsum("nij,nik->jk", xq, dz), np.einsum("nij,nik->jk", h, dz), dz.sum((0, 1))
+    g["A"], g["B"], g["b"] = cross(xq, dz), cross(h, dz), dz.sum((0, 1))
     dh = dz @ p["B"].T
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(-1, keepdims=True)) * open_
@@ -220,12 +263,14 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     dk = ds.transpose(0, 2, 1) @ q
     dq = ds @ k
     dkv = np.concatenate([dk, dv], -1)
-    g["KV"], g["Q"] = np.einsum("nij,nik->jk", x, dkv), np.einsum("nij,nik->jk", xq, dq)
+    g["KV"], g["Q"] = cross(x, dkv), cross(xq, dq)
     dx = dkv @ p["KV"].T
     dx[:, back:] += dz @ p["A"].T + dq @ p["Q"].T
     g["P"] = dx.sum(0)
     ge = np.zeros_like(p["E"])
-    np.add.at(ge, x_ids.ravel(), dx.reshape(n * WINDOW, d))
+    order = np.argsort(x_ids, axis=None, kind="stable")
+    used, first = np.unique(x_ids.ravel()[order], return_index=True)
+    ge[used] = np.add.reduceat(dx.reshape(n * WINDOW, d)[order], first)
     g["E"] = ge
     return g
 
@@ -323,6 +368,127 @@ def _count(path: str, opens: np.ndarray, vocabulary: int):
     return run
 
 
+def sequences(batches: Iterator[pa.RecordBatch], path: str, opens: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The ids of the texts in the first column, some texts at a time."""
+    lexicon = None
+    for b in batches:
+        for a in range(0, b.num_rows, 64):
+            if lexicon is None or len(lexicon) > 400_000:
+                lexicon, start, size, ids = Lexicon(path, opens), NONE, NONE, np.zeros(0, np.int32)
+            words = [lexicon.numbers(words_of(t.as_py())) for t in b.column(0).slice(a, 64)]
+            _, sizes, x = lexicon.ids_of_new()
+            if len(sizes):
+                start = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes])
+                size, ids = np.concatenate([size, sizes]), np.concatenate([ids, x])
+            flat = np.concatenate(words)
+            m = size[flat]
+            before = np.cumsum(m) - m
+            x = ids[np.repeat(start[flat] - before, m) + np.arange(int(m.sum()))]
+            yield np.split(x, np.append(before, len(x))[np.cumsum([len(w) for w in words])[:-1]])
+
+
+ROWS = "slot int, at binary, x binary"
+
+
+def _rows(at: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of a table, in slots."""
+    slots = [np.flatnonzero(at % SLOTS == k) for k in range(SLOTS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([at[k].astype(np.int32).tobytes() for k in slots], pa.binary()), pa.array([x[k].tobytes() for k in slots], pa.binary())], names=["slot", "at", "x"])
+
+
+def _sum_rows(rows: DataFrame, height: int, width: int, kind: str) -> np.ndarray:
+    """The sum of all tables that ``rows`` holds, of which only the sum reaches the driver."""
+
+    def add(out: np.ndarray, at: bytes, x: bytes) -> None:
+        out[np.frombuffer(at, np.int32)] += np.frombuffer(x, kind).reshape(-1, width)
+
+    def run(batches):
+        out, seen = np.zeros((height, width), kind), set()
+        for b in batches:
+            for slot, at, x in zip(*(c.to_pylist() for c in b.columns)):
+                seen.add(slot)
+                add(out, at, x)
+        at = np.array([k for k in range(height) if k % SLOTS in seen], np.int64)
+        at = at[out[at].any(1)] if len(at) else at
+        yield _rows(at, out[at])
+
+    out = np.zeros((height, width), kind)
+    for r in rows.repartition("slot").mapInArrow(run, ROWS).filter("length(at) > 0").toLocalIterator():
+        add(out, r["at"], r["x"])
+    return out
+
+
+def _neighbour_rows(path: str, opens: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, end = projection(counts), len(counts) - 1
+        out, held, n = np.zeros((len(counts), 2 * SPREAD), np.float32), [], 0
+        for texts in sequences(batches, path, opens):
+            held += [np.append(x, end) for x in texts]
+            n += sum(len(x) + 1 for x in texts)
+            if n > 500_000:
+                neighbours(np.concatenate(held), basis, out)
+                held, n = [], 0
+        if held:
+            neighbours(np.concatenate(held), basis, out)
+        at = np.flatnonzero(out.any(1))
+        yield _rows(at, out[at])
+
+    return run
+
+
+def _pack(p: dict[str, np.ndarray], seen: np.ndarray, n: int) -> np.ndarray:
+    """Weights times their uses, and the uses, as a table of ``WIDTH`` columns."""
+    flat = np.concatenate([(p["E"] * seen[:, None]).ravel(), *(p[k].ravel() * float(n) for k in sorted(p) if k != "E"), seen, [n]])
+    return np.append(flat, np.zeros(-len(flat) % WIDTH)).reshape(-1, WIDTH)
+
+
+def _unpack(total: np.ndarray, old: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The averages; weights without a use stay as they were."""
+    flat, at, parts = total.ravel(), 0, {}
+    for k in ["E", *(k for k in sorted(old) if k != "E")]:
+        parts[k] = flat[at : at + old[k].size].reshape(old[k].shape)
+        at += old[k].size
+    seen, n = flat[at : at + len(old["E"]), None], flat[at + len(old["E"])]
+    out = {k: (v / n if n else old[k]).astype(np.float32) for k, v in parts.items()}
+    out["E"] = np.where(seen > 0, parts["E"] / np.maximum(seen, 1), old["E"]).astype(np.float32)
+    return out
+
+
+def _fit_rows(path: str, opens: np.ndarray, model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, rng = {k: v.copy() for k, v in model.w.items()}, np.random.default_rng(11)
+        adam, seen, total, held, n = Adam(p), np.zeros(len(p["E"])), 0, [], 0
+
+        def spend():
+            xs, ys = (np.concatenate(z) for z in zip(*held))
+            np.add(seen, np.bincount(xs.ravel(), minlength=len(seen)), out=seen)
+            mixed = rng.permutation(len(xs))
+            for a in range(0, len(xs), POOL_BATCH):
+                pick = mixed[a : a + POOL_BATCH]
+                # a short batch moves by its share
+                adam.step(xs[pick], ys[pick], RATE * min(1.0, (adam.steps + 1) / 30) / math.sqrt(1 + adam.steps / 200) * len(pick) / POOL_BATCH)
+            return len(xs)
+
+        for texts in sequences(batches, path, opens):
+            held.append(windows(texts, model.inputs, model.classes))
+            n += len(held[-1][0])
+            if n >= POOL:
+                total, held, n = total + spend(), [], 0
+        if held:
+            total += spend()
+        if total:
+            x = _pack(p, seen, total)
+            yield _rows(np.arange(len(x)), x)
+
+    return run
+
+
+def fit_all(texts: DataFrame, path: str, opens: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    """The weights of the model after steps on every window of ``texts(text)``, averaged over partitions."""
+    height = len(_pack(model.w, np.zeros(len(model.w["E"])), 0))
+    return _unpack(_sum_rows(texts.mapInArrow(_fit_rows(path, opens, model), ROWS), height, WIDTH, "float64"), model.w)
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words of each block in this partition."""
     seen: dict[int, set[bytes]] = {}
@@ -423,9 +589,6 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     train_rows = base.filter(~F.col("held_out"))
     ends, rows, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     ends = ends or 0
-    # bounded sample for the attention weights
-    encode = encoder(tokenizer)
-    model = train([encode(joined(words_of(t))) for t in _sample(train_rows, ends)], vocabulary)
     # counts over all training texts
     opens = opening(tokenizer, vocabulary)
     counts = materialize(train_rows.select("text").mapInArrow(_count(tokenizer, opens, vocabulary), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -435,6 +598,11 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     words = counts.filter("kind = 0").select("key", "n")
     distinct, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     ids[vocabulary] = ends
+    # attention weights: a start from a sample, then steps on all training texts
+    sums = _sum_rows(train_rows.select("text").mapInArrow(_neighbour_rows(tokenizer, opens, ids), ROWS), vocabulary + 1, 2 * SPREAD, "float32")
+    encode = encoder(tokenizer)
+    model = train([encode(joined(words_of(t))) for t in _sample(train_rows, ends)], vocabulary, counts=ids, sums=sums)
+    model.w = fit_all(train_rows.select("text"), tokenizer, opens, model)
     model.set_counts(ids)
     n, v = (total or 0) + ends, distinct + (ends > 0)
     blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))

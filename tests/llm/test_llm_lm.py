@@ -90,6 +90,35 @@ def test_gradients():
         assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-6, name
 
 
+def test_all_training_texts_are_learned_from(spark):
+    """Steps, classes and embeddings come from every text, not from a sample."""
+    from pyspark.sql import functions as F
+
+    opens, encode = lm.opening(PATH, V), encoder(PATH)
+    texts = [f"river {'stone ' * (k % 40)} zebra umbrella {k}" for k in range(700)] + ["", "one"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    ids = [encode(lm.joined(lm.words_of(t))).astype(np.int64) for t in texts]
+    counts = np.bincount(np.concatenate(ids), minlength=V + 1)
+    counts[V] = len(texts)
+    got = lm._sum_rows(docs.mapInArrow(lm._neighbour_rows(PATH, opens, counts), lm.ROWS), V + 1, 2 * lm.SPREAD, "float32")
+    want, basis = np.zeros((V + 1, 2 * lm.SPREAD)), lm.projection(counts)
+    for x in ids:
+        for a, b in zip(x, [*x[1:], V]):
+            want[a, lm.SPREAD :] += basis[b]
+            want[b, : lm.SPREAD] += basis[a]
+    inner = np.setdiff1d(np.flatnonzero(counts), [V, *(x[0] for x in ids if len(x))])  # ids that never stand first
+    assert len(inner) > 5 and np.abs(got[inner] - want[inner]).max() < 1e-2
+    model = lm.train(ids[:5], V, steps=5, counts=counts, sums=got)
+    umbrella = encode(" umbrella")[0]
+    assert model.inputs[umbrella] < (counts[:V] > 1).sum()  # an embedding of its own
+    after = lm.fit_all(docs, PATH, opens, model)
+    loss = lambda w: -(setattr(model, "w", w), model.score(ids))[1].mean()
+    before = model.w
+    assert not np.array_equal(before["E"][model.inputs[umbrella]], after["E"][model.inputs[umbrella]]) and loss(after) < loss(before)
+    same = lm.fit_all(docs.filter(F.lit(False)), PATH, opens, model)
+    assert all(np.array_equal(same[k], before[k]) for k in before)
+
+
 def check(rows, got, folds=10):
     count, words = Counter(), []
     for i, t, *_ in rows:
