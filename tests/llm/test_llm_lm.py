@@ -119,6 +119,10 @@ def test_all_training_texts_are_learned_from(spark):
     assert all(np.array_equal(same[k], before[k]) for k in before)
 
 
+def test_the_output_layer_has_its_classes(model):
+    assert model.w["C"].shape == (lm.WIDTH, 128) and model.w["c"].shape == (128,)
+
+
 def check(rows, got, folds=10):
     count, words = Counter(), []
     for i, t, *_ in rows:
