@@ -9,10 +9,11 @@ Content-Length and checks every payload against its digest.
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest page_id is a response and the others are revisits without a payload.
 
-``merge_index`` builds the global capture index: every archive gives a run that
-is sorted by URL key and time; a range of keys is one task, which merges its
-slices of all runs with a loser tree.  The range includes time and id, so one
-URL with a third of all captures is spread over several tasks.
+``merge_index`` builds the global capture index: the captures of every archive
+are a run; they are dealt unsorted into ranges of keys, and the task of a range
+holds its slices of all runs in memory, sorts each by URL key and time and merges
+them with a loser tree.  The range includes time and id, so one URL with a third
+of all captures is spread over several tasks.
 
 Edge cases: null html is an empty payload; a null URL has an empty key and no
 target header; line breaks in URLs are percent-encoded; null ids are written
