@@ -1,30 +1,40 @@
 """WARC archives, and their capture index by external merge.
 
-``write_archives`` writes one record per page with Spark's own text writer:
-the record separator of WARC, two CRLF, is the line separator, so executors
-write straight to shared storage.  Files are gzip streams; offsets in the index
-count bytes of the uncompressed stream.  ``read_archives`` parses by
-Content-Length and checks every payload against its digest.
+``write_archives`` writes one record per page, each a gzip member of its own, with
+Spark's text writer, so executors write straight to shared storage.  The line
+separator is an empty gzip member: it adds nothing to the inflated stream, and
+every byte of a file belongs to a member.  A file ends with the record that takes
+it past ``volume_bytes``; records are never cut.  Offsets in the index count bytes
+of the file, so a record is read by itself from its offset (:func:`record_at`).
+``read_archives`` reads member by member, parses by Content-Length and checks
+every payload against its digest.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest page_id is a response and the others are revisits without a payload.
 
-``merge_index`` builds the global capture index: the captures of every archive
-are a run; they are dealt unsorted into ranges of keys, and the task of a range
-holds its slices of all runs in memory, sorts each by URL key and time and merges
-them with a loser tree.  The range includes time and id, so one URL with a third
-of all captures is spread over several tasks.
+The global capture index is an external merge.  The captures of each archive are
+sorted by URL key and time in the task that read it (the JVM's sort, which spills)
+and written as a run.  Runs are cut into ranges of keys of about ``RANGE_ROWS``
+captures; the task of a range receives the slices of all runs as they were written
+and merges them with a loser tree.  Nothing is sorted after the runs are written: a
+slice that came in pieces is several ascending runs to the tree.  The range includes
+time, id and place, so one URL with a third of all captures is spread over several
+tasks.
+
+``pages`` has no capture time, so a record's date is its page_id in seconds.
 
 Edge cases: null html is an empty payload; a null URL has an empty key and no
 target header; line breaks in URLs are percent-encoded; null ids are written
 without an id header and read back as null (of equal payloads that all have
 null ids each is a response); rows repeated as a whole are written as often as
-they occur; an empty table gives an empty result; extra columns are ignored.
+they occur; an empty table gives an empty result; extra columns are ignored.  A
+single payload may have up to 1 GB, as it is one value of a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +46,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import materialize, shared_folder, ship
 
+VOLUME_BYTES = 64 << 20  # a file ends with the record that reaches this
+RANGE_ROWS = 200_000  # captures that one task merges
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -47,7 +59,7 @@ def url_key(url):
 
 
 def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """``value``: one WARC record a page, without the closing separator."""
+    """``value``: one WARC record a page."""
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
@@ -67,31 +79,81 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     size = F.when(revisit, F.lit(len(HTTP))).otherwise(F.lit(len(HTTP)) + F.col("bytes"))
-    return both.select(F.concat(head, size.cast("string"), F.lit("\r\n\r\n"), block).alias("value"))
+    return both.select(F.concat(head, size.cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n")).alias("value"))
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+#: An empty member, as text of single bytes.
+SEPARATOR = member(b"").decode("latin-1")
+
 
+def _volumes(volume_bytes: int):
+    """Members of the records, and the number of the file that each goes to."""
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, records_per_file: int = 2000) -> None:
-    records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, fill = 0, 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                members, volumes = [], []
+                for x in batch.column(0).slice(a, 256):
+                    members.append(member(x.as_buffer().to_pybytes()))
+                    volumes.append(volume)
+                    fill += len(members[-1]) + len(SEPARATOR)
+                    if fill >= volume_bytes:
+                        volume, fill = volume + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(members, pa.binary())], names=["volume", "value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, volume_bytes: int = VOLUME_BYTES) -> None:
+    """Archives below ``path``: a file for each task and volume."""
+    ship(pages.sparkSession)
+    packed = records(pages, min_bytes).select(F.col("value").cast("binary")).mapInArrow(_volumes(volume_bytes), "volume int, value binary")
+    packed.select("volume", F.col("value").cast("string").alias("value")).write.partitionBy("volume").option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").text(path)
 
 
 RECORD = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, captured string, run string, offset long"
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """(headers, block, offset) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
-        headers = dict(x.split(": ", 1) for x in lines)
-        size = int(headers["Content-Length"])
-        yield headers, memoryview(data)[end + 4 : end + 4 + size], at
-        at = end + 4 + size
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} has no end")
-        at += 4
+def members(data) -> Iterator[tuple[bytes, int]]:
+    """(inflated bytes, offset) of each member of a file that isn't empty."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts, end = zlib.decompressobj(wbits=31), [], at
+        while not z.eof:
+            if end >= len(view):
+                raise ValueError(f"the member at byte {at} has no end")
+            try:
+                parts.append(z.decompress(view[end : end + 65536]))
+            except zlib.error as e:
+                raise ValueError(f"no gzip member at byte {at}") from e
+            end += min(65536, len(view) - end)
+        if record := b"".join(parts):
+            yield record, at
+        at = end - len(z.unused_data)
+
+
+def parse(record: bytes) -> tuple[dict, memoryview]:
+    """Headers and block of an inflated record."""
+    if not record.startswith(b"WARC/1."):
+        raise ValueError("not a WARC record")
+    end = record.index(b"\r\n\r\n")
+    headers = dict(x.split(": ", 1) for x in record[:end].decode("utf-8").split("\r\n")[1:])
+    size = int(headers["Content-Length"])
+    if record[end + 4 + size :] != b"\r\n\r\n":
+        raise ValueError("a record has no end")
+    return headers, memoryview(record)[end + 4 : end + 4 + size]
+
+
+def record_at(data: bytes, offset: int) -> tuple[dict, memoryview]:
+    """The record that starts at ``offset`` of a file, without reading what is before or after it."""
+    return parse(next(members(memoryview(data)[offset:]))[0])
 
 
 def _number(urn: str | None):
@@ -101,29 +163,47 @@ def _number(urn: str | None):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.strip().split(" ")[0] for x in RECORD.split(",")]
     kinds = [pa.int64() if x.strip().endswith("long") else pa.string() for x in RECORD.split(",")]
+
+    def out(rows):
+        cols = list(zip(*rows)) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            data = zlib.decompress(content.as_buffer(), wbits=47)
-            rows = []
-            for h, block, offset in parse(data):
+            rows, run = [], "/".join(path.as_py().rsplit("/", 2)[1:])
+            for record, offset in members(content.as_buffer()):
+                h, block = parse(record)
                 kind, sha = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
                 payload = block[bytes(block[:2048]).index(b"\r\n\r\n") + 4 :]
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != sha:
                     raise ValueError(f"the payload of {h['WARC-Record-ID']} doesn't match its digest")
-                rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, kind, sha, len(payload) if kind == "response" else None, _number(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), h["WARC-Date"], path.as_py().rsplit("/", 1)[1], offset))
-            cols = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, kind, sha, len(payload) if kind == "response" else None, _number(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), h["WARC-Date"], run, offset))
+                if len(rows) == 8192:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+
+#: The order of captures; the last two make it total.
+ORDER = ("key", "captured", "none", "page_id", "run", "offset")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record; a revisit takes its payload's size from the response that it refers to."""
+    """One row a record, the records of an archive as a run in the order of captures.
+
+    A revisit has no payload and no size of its own (:func:`with_sizes`).
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    got = materialize(files.mapInArrow(_read, RECORD).withColumn("key", url_key(F.col("url"))))
-    own = got.filter("record_type = 'response'").withColumn("payload_bytes", F.col("payload_bytes"))
-    sizes = own.filter("page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest")).agg(F.max("payload_bytes").alias("size"))
-    again = got.filter("record_type = 'revisit'").drop("payload_bytes").join(materialize(sizes), ["refers_to", "payload_digest"], "left").withColumnRenamed("size", "payload_bytes")
-    return own.unionByName(again)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    got = files.mapInArrow(_read, RECORD).withColumn("key", url_key(F.col("url"))).withColumn("none", F.col("page_id").isNull())
+    return materialize(got.sortWithinPartitions("run", *(c for c in ORDER if c != "run")))
+
+
+def with_sizes(captures: DataFrame) -> DataFrame:
+    """Revisits with the size of the payload of the response that they refer to."""
+    own, again = captures.filter("record_type = 'response'"), captures.filter("record_type = 'revisit'").drop("payload_bytes")
+    sizes = own.filter("page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    return own.unionByName(again.join(materialize(sizes), ["refers_to", "payload_digest"], "left"))
 
 
 class LoserTree:
@@ -161,34 +241,58 @@ class LoserTree:
             self._play(w)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the slices of all runs that fall into this range of keys."""
-    parts, runs, row = [], {}, 0
+def slices(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[list[tuple[int, int]]]]:
+    """The batches, and the ascending runs among their rows: each a list of spans of row numbers."""
+    parts, runs, row = [], [], 0
+    last, ends = {}, {}  # by archive: its last capture, and the run that it is the end of
     for b in batches:
         parts.append(b)
-        for key, captured, page, run, offset in zip(*(b.column(n).to_pylist() for n in ("key", "captured", "page_id", "run", "offset"))):
-            runs.setdefault(run, []).append((key, captured, page is None, page or 0, run, offset, row))
-            row += 1
+        for at, key in enumerate(zip(*(b.column(n).to_pylist() for n in ORDER)), row):
+            key = tuple(x if x is not None else 0 for x in key)
+            archive = key[4]
+            if archive not in last or key < last[archive]:
+                ends[archive] = []
+                runs.append(ends[archive])
+            spans = ends[archive]
+            if spans and spans[-1][1] == at:
+                spans[-1] = (spans[-1][0], at + 1)
+            else:
+                spans.append((at, at + 1))
+            last[archive] = key
+        row += b.num_rows
+    return parts, runs
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the slices of all runs that fall into this range of keys."""
+    parts, runs = slices(batches)
     if not parts:
         return
-    for r in runs.values():
-        r.sort()
-    order = [x[-1] for x in LoserTree([runs[k] for k in sorted(runs)])]
-    table = pa.Table.from_batches(parts).take(pa.array(order, pa.int64()))
+    table = pa.Table.from_batches(parts)
+    columns = [table.column(n).combine_chunks() for n in ORDER]
+
+    def stream(spans):
+        for a, b in spans:
+            for at in range(a, b, 1024):
+                n = min(1024, b - at)
+                yield from zip(*([x if x is not None else 0 for x in c.slice(at, n).to_pylist()] for c in columns), range(at, at + n))
+
+    order = [x[-1] for x in LoserTree([stream(r) for r in runs])]
+    table = table.take(pa.array(order, pa.int64()))
     table = table.append_column("part", pa.array([TaskContext.get().partitionId()] * len(order), pa.int64()))
     table = table.append_column("at", pa.array(range(len(order)), pa.int64()))
     yield from table.to_batches(max_chunksize=16384)
 
 
 def merge_index(captures: DataFrame) -> DataFrame:
-    """The captures with ``capture_rank``, their place in the global order of key and time."""
+    """The captures of sorted runs with ``capture_rank``, their place in the global order of key and time."""
     ship(captures.sparkSession)
-    captures = materialize(captures)
     kinds = ", ".join(f"{n} {t}" for n, t in captures.dtypes)
-    merged = materialize(captures.repartitionByRange("key", "captured", "page_id", "run", "offset").mapInArrow(_merge, f"{kinds}, part long, at long"))
-    # one row for each range, of which there are as many as shuffle partitions
+    ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(captures.count() / RANGE_ROWS))
+    merged = materialize(captures.repartitionByRange(ranges, *ORDER).mapInArrow(_merge, f"{kinds}, part long, at long"))
+    # one row for each range
     before = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return merged.join(before.select("part", "before"), "part").withColumn("capture_rank", F.coalesce("before", F.lit(0)) + F.col("at")).drop("part", "at", "before")
+    return merged.join(before.select("part", "before"), "part").withColumn("capture_rank", F.coalesce("before", F.lit(0)) + F.col("at")).drop("part", "at", "before", "none")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -196,4 +300,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     path = shared_folder(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return merge_index(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "captured", "capture_rank", F.col("run").alias("archive"), F.col("offset").alias("archive_offset"))
+    return with_sizes(materialize(merge_index(read_archives(spark, path)))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "captured", "capture_rank", F.col("run").alias("archive"), F.col("offset").alias("archive_offset"))

@@ -59,27 +59,51 @@ def test_real_pages(spark):
     same(spark, connect(sf), QUERIES["op10_warc"], SQL["op10_warc"], sf)
 
 
-def test_archives_hold_whole_records(spark, tmp_path):
-    path = str(tmp_path / "a")
-    warc.write_archives(pages(spark), path, records_per_file=4)
+def test_records_are_members_of_their_own(spark, tmp_path):
     import glob
     import gzip
 
-    n = 0
-    for f in glob.glob(f"{path}/*.gz"):
-        data = gzip.open(f).read()
-        for headers, block, offset in warc.parse(data):
-            n += 1
-            assert len(block) == int(headers["Content-Length"]) and data[offset:].startswith(b"WARC/1.1\r\n") and "Injected" not in headers
-    assert n == len(PAGES)
+    path = str(tmp_path / "a")
+    warc.write_archives(pages(spark), path, volume_bytes=500)
+    files, seen = glob.glob(f"{path}/**/part-*", recursive=True), []
+    assert len(files) > 3  # a file ends with the record that fills it
+    for f in files:
+        data = open(f, "rb").read()
+        whole = gzip.decompress(data)  # one gzip stream to any reader
+        found = list(warc.members(data))
+        assert b"".join(r for r, _ in found) == whole
+        for record, offset in found:
+            headers, block = warc.record_at(data, offset)
+            assert len(block) == int(headers["Content-Length"]) and "Injected" not in headers and warc.parse(record)[0] == headers
+            seen.append((f.rsplit("/", 2)[1:], offset, headers.get("X-Page-Id"), headers["WARC-Type"]))
+    assert len(seen) == len(PAGES)
+    got = read(warc.read_archives(spark, path))
+    assert sorted(("/".join(f), o, i, k) for f, o, i, k in seen if i) == sorted((r["run"], r["offset"], str(r["page_id"]), r["record_type"]) for r in got if r["page_id"] is not None)
 
 
 def test_broken_archives_are_refused():
     import pytest
 
-    for data in (b"junk", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcX"):
+    whole = warc.member(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert warc.record_at(b"xx" + whole, 2)[1] == b"abc"
+    for data in (b"junk", whole[:-1], whole + b"\0"):
+        with pytest.raises(ValueError):
+            list(warc.members(data))
+    for record in (b"junk", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcX"):
         with pytest.raises(ValueError):
-            list(warc.parse(data))
+            warc.parse(record)
+
+
+def test_runs_are_ascending_spans():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(5)}", "t", False, rng.randrange(3), f"a{rng.randrange(3)}", n) for n in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 70])], names=list(warc.ORDER)) for a in range(0, 300, 70)]
+    _, runs = warc.slices(iter(batches))
+    parts = [[rows[k] for a, b in spans for k in range(a, b)] for spans in runs]
+    assert all(p == sorted(p) and len({r[4] for r in p}) == 1 for p in parts) and sorted(sum(parts, [])) == sorted(rows)
+    assert list(warc.LoserTree(parts)) == sorted(rows)
 
 
 def test_loser_tree():
