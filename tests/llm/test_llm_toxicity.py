@@ -12,19 +12,78 @@ def raw(text, arcs=()):
     return tox.Grammar(dict(arcs)).raw(text)[0]
 
 
-def test_transducers_compose():
+def test_no_isolated_word_scores():
     assert raw("the weather is fine") == 0 and raw("") == 0
-    assert raw("an idiot") == 4.0 and raw("you idiot") == 4.5
-    assert raw("never an idiot") == 1.0 and raw("no word before it but this is an idiot") == 4.0
-    assert raw("they called this an idiot") < raw("they saw this an idiot")
-    assert raw("I will kill you") == 2.0 and raw("to kill time") == 0
+    assert raw("an idiot") == 0 and raw("idiot") == 0 and raw("never an idiot") == 0
+    assert raw("you idiot") == 4.5 and raw("this idiot is a moron") == 8.0
+    assert raw("an idiot. the sky") == 0 and raw("an idiot. a moron") == 8.0
+    assert tox.Grammar({}).clauses("an idiot. you moron!") == [("lone", 4.0), ("matched", 4.5)]
+
+
+def test_transducers_compose():
+    assert raw("you are never an idiot") == 0.25 * 4.5
+    assert raw("they said an idiot") == 0.5 * 4.5 and raw("john said this idiot is a moron") == 4.0
+    assert raw("you or someone near to that man idiot") == 0  # the target is too far
+    assert raw("idiot as big as you") == 4.5 and raw("idiot as big and tall as you") == 0
+    assert raw("I will kill you") == 2.0 and raw("to kill time") == 0 and raw("I will never kill you") == 0.5
     assert raw("you idiot. the sky") == raw("you idiot")
     assert tox.Grammar({}).raw("you idiot. you moron!") == (9.0, 2)
 
 
+def paths(symbols):
+    """Every path of the cascade, transducer by transducer: (outcomes, weight)."""
+    strings = [([s for s, _ in symbols], 0.0, [])]
+    for t in tox.CASCADE:
+        out = []
+        for string, weight, ends in strings:
+            todo = [(state, [], weight) for state in t.start]
+            for k, symbol in enumerate(string):
+                todo = [(to, [*wrote, w], total + f * symbols[k][1] + bonus) for state, wrote, total in todo for to, w, f, bonus in t.arcs(state, symbol)]
+            out += [(wrote, total, [*ends, t.final(state)]) for state, wrote, total in todo if t.final(state) is not None]
+        strings = out
+    return [(ends, weight) for _, weight, ends in strings]
+
+
+def by_rule(symbols):
+    """What the grammar says of a clause, without automata."""
+    kinds = [s for s, _ in symbols]
+    told = 0.5 if tox.REPORT_ in kinds else 1.0
+    total, aimed_any, insults, threats = 0.0, False, 0, 0
+    for k, (s, x) in enumerate(symbols):
+        damp = told * (0.25 if tox.NEGATION_ in kinds[max(0, k - 3) : k] else 1.0)
+        if s == tox.INSULT:
+            aimed = tox.TARGET_ in kinds[max(0, k - 4) : k + 5]
+            total += damp * (x + 0.5 * aimed)
+            insults, aimed_any = insults + 1, aimed_any or aimed
+        elif s == tox.THREAT_ and tox.TARGET_ in kinds:
+            total, threats = total + damp * 2.0, threats + 1
+    end = tox.MATCHED if aimed_any or insults > 1 or threats else tox.LONE if insults else tox.NOTHING
+    return end, total if end != tox.NOTHING else 0.0
+
+
+def test_composition_equals_all_paths():
+    import random
+
+    rng, machine = random.Random(8), tox.Composition()
+    for n in range(400):
+        symbols = [(s, rng.choice([1.0, 2.5, 4.0]) if s == tox.INSULT else 0.0) for s in rng.choices(tox.SYMBOLS, (4, 2, 1, 1, 1, 1), k=rng.randrange(9))]
+        ends = {}
+        for outcome, w in paths(symbols):
+            end = tox.MATCHED if tox.MATCHED in outcome else tox.LONE if tox.LONE in outcome else tox.NOTHING
+            ends[end] = max(ends.get(end, 0.0), w)
+        end = next((e for e in (tox.MATCHED, tox.LONE) if e in ends), tox.NOTHING)
+        got = machine.best(symbols)
+        assert got[0] == end and abs(got[1] - (ends[end] if end != tox.NOTHING else 0)) < 1e-9
+    for n in range(3000):
+        symbols = [(s, 3.0 if s == tox.INSULT else 0.0) for s in rng.choices(tox.SYMBOLS, (9, 2, 1, 1, 1, 1), k=rng.randrange(30))]
+        got, want = machine.best(symbols), by_rule(symbols)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, (symbols, got, want)
+
+
 def test_counted_keys_need_company():
     arcs = {"2bad": 3.0}
     assert raw("badly done", arcs) == 0 and raw("badly badger", arcs) == 6.0 and raw("badly badly", arcs) == 0
+    assert raw("badly. a badger", arcs) == 6.0 and raw("you badly", arcs) == 0
 
 
 def test_held_out_scores(spark):
@@ -38,7 +97,7 @@ def test_held_out_scores(spark):
     held = [(marks[i], r["score"]) for i, r in got.items() if i in marks and r["held_out"]]
     good, bad = [s for t, s in held if t], [s for t, s in held if not t]
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
-    assert auc > 0.9
+    assert auc > 0.95
     assert sum(b >= 0.5 for b in bad) <= 0.03 * len(bad)
 
 
@@ -56,16 +115,16 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
 def test_copies_of_one_text_do_not_hide_other_insults(spark):
     letters = "bcdfghjklmnp"
     long = " ".join(a + b + c + "ovat" for a in letters for b in letters for c in letters)
-    rows = [(i, "toxic", long) for i in range(400)] + [(i, "toxic", f"number {i} is a zorgblat indeed") for i in range(400, 430)]
+    rows = [(i, "toxic", long) for i in range(400)] + [(i, "toxic", f"you number {i} are a zorgblat indeed") for i in range(400, 430)]
     rows += [(i, "clean", f"number {i} is a sparrow indeed") for i in range(430, 1100)]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, _, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     marks = labels(spark, [(i, 0, int(kind == "toxic")) for i, kind, _ in rows])
-    arcs, _, _ = tox.model(docs, marks)
+    arcs, curve = tox.fit(docs, marks)
     assert any("zorgblat".startswith(k) for k in arcs) and not any("ovat" in k or k.startswith("bbb") for k in arcs)
     got = {r["doc_id"]: r["predicted"] for r in read(tox.score(docs, marks))}
     assert all(got[i] for i in range(400, 430)) and not any(got[i] for i in range(430, 1100))
     # equal rows, ids and all, weigh as one
-    assert tox.model(docs.unionByName(docs), marks)[:2] == (arcs, tox.model(docs, marks)[1])
+    assert tox.fit(docs.unionByName(docs), marks) == (arcs, curve)
 
 
 def test_a_longer_arc_of_more_weight_stays():
