@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,35 +31,49 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(d, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
     sc.addPyFile(path)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(path) else None
     sc._corpusloom_shipped = True
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the session's ``spark.checkpoint.dir``, which a cluster
-    points at shared storage.  Only where none is set (a test on one machine)
-    a temporary folder is taken.
+    Only on one machine (a local master) a temporary folder stands in for it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loom-shared")
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-checkpoint"))
+        sc.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that an operator writes."""
-    import uuid
+    return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="loom-shared")
-        sc.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes for ``df`` to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def text_of(name: str = "text") -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.common import fresh, materialize, quoted, text_of
 
 SLICE = 2000  # rows of a source that one window partition sums
 BROADCAST_BYTES = 8 << 20  # the largest table of sources that is broadcast
@@ -88,9 +88,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         F.xxhash64(text).alias("print"))
 
 
-def _turn(epoch: Column, doc_id: str, mark: str, seed: int) -> Column:
+def _turn(epoch: Column, doc_id: Column, mark: Column, seed: int) -> Column:
     """The place of a row in the permutation of a pass."""
-    return F.xxhash64(F.lit(seed), epoch.cast("long"), F.col(doc_id), F.col(mark))
+    return F.xxhash64(F.lit(seed), epoch.cast("long"), doc_id, mark)
 
 
 def _slice(turn: Column, slices: Column) -> Column:
@@ -139,31 +139,30 @@ def plan(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     sources = sources.withColumn("whole", F.floor(F.col("repeats") + 1e-9).cast("long")).withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("long"))
     budget = ((F.col("repeats") - F.col("whole")) * F.col("tokens")).alias("budget")
     part = rows.join(_beside(sources.select("source", "slices", F.col("whole").alias("epoch"), budget), "source"), "source")
-    part = _running(part.withColumn("turn", _turn(F.col("epoch"), "doc_id", "print", seed)))
+    part = _running(part.withColumn("turn", _turn(F.col("epoch"), F.col("doc_id"), F.col("print"), seed)))
     # the rows of the partial pass are a prefix of the permutation: the first that doesn't fit ends it
     stop = part.filter(F.col("before") + F.col("tokens") > F.col("budget")).groupBy("source").agg(F.min("turn").alias("stop"))
-    table = sources.join(stop, "source", "left").withColumn("cut", F.coalesce(F.col("stop"), F.lit(2**63 - 1))).select("source", "tokens", "share", "weight", "repeats", "whole", "cut", "slices")
+    table = sources.join(stop, "source", "left").withColumn("cut", F.coalesce(F.col("stop") - 1, F.lit(2**63 - 1))).select("source", "tokens", "share", "weight", "repeats", "whole", "cut", "slices")
     return materialize(table), rows
 
 
 def apply(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mixture, with the columns of ``docs``; a repeated document is a repeated row."""
     table, _ = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    key = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    out = docs.withColumns({"__source": key, "__id": F.col(id_col).cast("long"), "__print": F.xxhash64(text_of(text_col))})
-    table = table.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    out = out.join(_beside(table, "__source"), "__source")
-    turn = _turn(F.col("__whole"), "__id", "__print", seed)
-    copies = F.col("__whole") + (turn < F.col("__cut")).cast("long")
-    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
+    of, whole, cut, epoch = fresh(docs, "source_key", "whole", "cut", "epoch")
+    table = _beside(table.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut)), of)
+    out = docs.withColumn(of, F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))).join(table, of)
+    turn = _turn(F.col(whole), F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)), seed)
+    copies = F.col(whole) + (turn <= F.col(cut)).cast("long")
+    return out.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*quoted(docs))
 
 
 def schedule(docs: DataFrame, block_tokens: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row per pass of a document: ``doc_id, source, tokens, epoch, weight, repeats, block, slot``."""
     table, rows = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     part = table.select("source", "whole", "cut", "slices", "weight", "repeats", F.col("tokens").alias("of_source"))
-    out = rows.join(_beside(part, "source"), "source").withColumn("copies", F.col("whole") + (_turn(F.col("whole"), "doc_id", "print", seed) < F.col("cut")).cast("long"))
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("turn", _turn(F.col("epoch"), "doc_id", "print", seed))
+    out = rows.join(_beside(part, "source"), "source").withColumn("copies", F.col("whole") + (_turn(F.col("whole"), F.col("doc_id"), F.col("print"), seed) <= F.col("cut")).cast("long"))
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("turn", _turn(F.col("epoch"), F.col("doc_id"), F.col("print"), seed))
     out = _running(out).withColumn("at", F.col("epoch") * F.col("of_source") + F.col("before"))
     out = out.withColumn("block", F.floor(F.col("at") / (F.col("weight") * F.lit(block_tokens))).cast("long"))
     order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "print", "epoch"), "doc_id", "epoch", "print")

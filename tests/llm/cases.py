@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-#: Names that operators use inside.
-CLASHES = ("digest", "node", "label", "row", "bucket", "key", "n", "h", "block", "shard", "chunk", "fill", "bin", "raw", "held_out", "score", "kept", "epoch", "turn", "tokens", "slices", "bytes", "sha", "head", "print", "tie", "fp", "piece")
+#: Names that operators use inside, plain and with underscores.
+NAMES = (
+    "digest node label row bucket key n h block shard chunk fill bin raw held_out score kept epoch turn tokens slices bytes sha head print tie fp piece "
+    "d i s id chars source_key whole cut copies keep_id keep_chars keep_row ties group_size class_id s0 s1 s2 a0 a1 several clauses volume value"
+).split()
+CLASHES = (*NAMES, *("_" + n for n in NAMES), *("__" + n for n in NAMES), "__source", "A.b", "two words", "tick`")
 
 _rng = random.Random(1)
 PROSE = " ".join(_rng.choice("the quick brown fox jumps over lazy dogs while seven wizards quietly mix potions under old stone bridges".split()) for _ in range(400))
@@ -24,7 +28,13 @@ ROWS = [
 
 def table(spark, rows=ROWS, clash=True):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit("clash") for c in CLASHES}) if clash else df
+    return df.withColumns({c: F.lit(f"clash {k}") for k, c in enumerate(CLASHES)}) if clash else df
+
+
+def untouched(df):
+    """Whether the clashing columns came through an operator with their values."""
+    at = {c: df.columns.index(c) for c in CLASHES}
+    return all(tuple(r)[at[c]] == f"clash {k}" for r in df.collect() for k, c in enumerate(CLASHES))
 
 
 def empty(spark):

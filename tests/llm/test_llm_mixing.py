@@ -3,7 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
-from cases import ROWS, documents, empty, read, table
+from cases import ROWS, documents, empty, read, table, untouched
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing as mx
@@ -102,7 +102,7 @@ def test_edges(spark):
     assert read(mx.schedule(empty(spark))) == [] and mx.apply(empty(spark)).count() == 0
     docs = table(spark)
     out = mx.apply(docs)
-    assert out.columns == docs.columns and out.count() == mx.schedule(docs).count()
+    assert out.columns == docs.columns and untouched(out) and out.count() == mx.schedule(docs).count()
     assert {r["doc_id"] for r in read(out)} == {r[0] for r in ROWS}
     only = docs.filter(F.col("source").isNull())
     assert {r["source"] for r in read(mx.schedule(only))} == {None}
