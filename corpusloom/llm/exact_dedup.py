@@ -10,8 +10,9 @@ Shape of the plan:
 2. Each scan partition folds its rows into a local :class:`CuckooIndex`, so a
    digest that a third of all rows share leaves a partition as one entry.
 3. The entries go to the index partition that owns the digest (digests are
-   uniform, so partitions are even) and are folded into that partition's index.
-4. Rows look up their survivor by a join on the digest, which adaptive
+   uniform, so partitions are even, and there is one for every ``PARTITION_ROWS``
+   rows at least) and are folded into that partition's index.
+4. Rows meet their survivor in one join on the digest, which adaptive
    execution splits where one digest is hot.
 
 Edge cases: a null text counts as empty; empty texts form one group; a null
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WS, materialize, ship, text_of
+from corpusloom.llm.common import WS, fresh, materialize, quoted, ship, text_of
 
 SLOTS = 4
 MAX_KICKS = 200
+PARTITION_ROWS = 250_000  # entries that one index holds at most, but for chance
 
 
 class CuckooIndex:
@@ -131,7 +133,7 @@ class CuckooIndex:
         return self.live
 
 
-ENTRY = "digest string, keep_id long, keep_chars long, keep_row long, group_size long"
+ENTRY = "digest string, keep_id long, keep_chars long, keep_row long, group_size long, ties long"
 
 
 def _order(entry) -> tuple:
@@ -140,30 +142,41 @@ def _order(entry) -> tuple:
     return (-chars, keep_id is None, keep_id if keep_id is not None else 0, row)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold entries into one cuckoo index and hand out what is live at the end."""
+def _better(old, new) -> tuple:
+    """The entry of two folded: who stays, the rows of both, and how many of them can't be told from who stays."""
+    best, other = (old, new) if _order(old) <= _order(new) else (new, old)
+    same = best[:2] == other[:2]
+    return (*best[:3], old[3] + new[3], best[4] + (other[4] if same else 0))
+
+
+def _fold(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Fold entries into one cuckoo index and hand out what is live at the end, or whenever ``limit`` are."""
+    kinds = [("digest", pa.string()), *((n, pa.int64()) for n in ("keep_id", "keep_chars", "keep_row", "group_size", "ties"))]
+    schema = pa.schema(kinds)
+
+    def live(index):
+        rows = []
+        for digest, value in index.items():
+            rows.append((digest, *value))
+            if len(rows) == 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=schema)
+
     index = CuckooIndex()
     for batch in batches:
         for digest, *new in zip(*(c.to_pylist() for c in batch.columns)):
             old = index.get(digest)
-            if old is None:
-                index.put(digest, tuple(new))
-            else:
-                best = min(old, new, key=_order)
-                index.put(digest, (best[0], best[1], best[2], old[3] + new[3]))
-    rows, kinds = [], [("digest", pa.string()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())]
-    schema = pa.schema(kinds)
+            index.put(digest, tuple(new) if old is None else _better(old, tuple(new)))
+        if limit is not None and len(index) >= limit:
+            yield from live(index)
+            index = CuckooIndex()
+    yield from live(index)
 
-    def batch_of(rows):
-        cols = list(zip(*rows)) if rows else [[] for _ in kinds]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], schema=schema)
 
-    for digest, value in index.items():
-        rows.append((digest, *value))
-        if len(rows) == 8192:
-            yield batch_of(rows)
-            rows = []
-    yield batch_of(rows)
+def _fold_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _fold(batches, PARTITION_ROWS)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,13 +191,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def entries(keys: DataFrame) -> DataFrame:
+    """Index entries of single rows, folded where they are."""
+    one = F.lit(1).cast("long")
+    return keys.select("digest", F.col("doc_id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.col("row").alias("keep_row"), one.alias("group_size"), one.alias("ties")).mapInArrow(_fold_some, ENTRY)
+
+
+def _owned(found: DataFrame, rows: int) -> DataFrame:
+    """Entries dealt to the index partitions that own their digests."""
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+    return found.repartition(parts, "digest")
+
+
 def survivors(keys: DataFrame) -> DataFrame:
-    """One row for each distinct digest: who stays, and how many rows share it."""
+    """One row for each distinct digest: who stays, how many rows share it, and how many rows are repeats of who stays."""
     ship(keys.sparkSession)
-    entries = keys.select("digest", F.col("doc_id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    local = entries.mapInArrow(_fold, ENTRY)
     # checkpointed, so that the joins below see a plain exchange on either side and skew can be split
-    return materialize(local.repartition(F.col("digest")).mapInArrow(_fold, ENTRY))
+    return materialize(_owned(entries(keys), keys.count()).mapInArrow(_fold, ENTRY))
 
 
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,26 +222,24 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    keys = digests(docs, id_col, text_col)
-    best = survivors(keys)
-    gone = (
-        keys.join(best, "digest")
-        .groupBy("digest", "doc_id", "chars")
-        .agg(F.max((F.col("row") == F.col("keep_row")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    )
-    gone = materialize(gone.filter((F.col("stays") == 0) | (F.col("n") > 1)))
+    """The rows that stay, with all their columns.
+
+    A row stays if digest, length and id are those of its group's survivor; of
+    rows that are alike in all three, one stays.
+    """
+    best = survivors(digests(docs, id_col, text_col))
+    d, n, i = fresh(docs, "digest", "chars", "id")
     text = text_of(text_col)
-    mark = {"__d": F.sha2(F.translate(text, WS, ""), 256), "__n": F.length(text).cast("long"), "__i": F.col(id_col).cast("long")}
-    out = docs.withColumns(mark)
-    lost = gone.select(F.col("digest").alias("__d"), F.col("chars").alias("__n"), F.col("doc_id").alias("__i"), "stays", "n")
-    match = lambda t: (out["__d"] == t["__d"]) & (out["__n"] == t["__n"]) & out["__i"].eqNullSafe(t["__i"])
-    kept = out.join(lost, match(lost), "left_anti").select(docs.columns)
-    repeated = lost.filter("stays = 1 AND n > 1")
-    if repeated.isEmpty():
-        return kept
-    one = out.join(repeated, match(repeated), "left_semi").dropDuplicates(["__d"]).select(docs.columns)
-    return kept.unionByName(one)
+    out = docs.withColumns({d: F.sha2(F.translate(text, WS, ""), 256), n: F.length(text).cast("long"), i: F.col(id_col).cast("long")})
+
+    def among(found: DataFrame) -> DataFrame:
+        stay = found.select(F.col("digest").alias("s0"), F.col("keep_chars").alias("s1"), F.col("keep_id").alias("s2"))
+        return out.join(stay, (out[d] == stay["s0"]) & (out[n] == stay["s1"]) & out[i].eqNullSafe(stay["s2"]), "left_semi")
+
+    alike = best.filter("ties > 1")
+    if alike.isEmpty():
+        return among(best).select(*quoted(docs))
+    return among(best.filter("ties = 1")).select(*quoted(docs)).unionByName(among(alike).dropDuplicates([d]).select(*quoted(docs)))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,11 +271,11 @@ def delete_from_index(index: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, cols)], names=names)
 
     both = index.withColumn("dead", F.lit(False)).unionByName(gone.select("digest").distinct().withColumn("dead", F.lit(True)), allowMissingColumns=True)
-    return both.repartition(F.col("digest")).mapInArrow(drop, ENTRY)
+    return _owned(both, index.count()).mapInArrow(drop, ENTRY)
 
 
 def insert_into_index(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index with the rows of ``docs`` folded in."""
     ship(index.sparkSession)
-    new = digests(docs, id_col, text_col).select("digest", F.col("doc_id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_fold, ENTRY)
-    return index.unionByName(new).repartition(F.col("digest")).mapInArrow(_fold, ENTRY)
+    keys = digests(docs, id_col, text_col)
+    return _owned(index.unionByName(entries(keys)), index.count() + keys.count()).mapInArrow(_fold, ENTRY)

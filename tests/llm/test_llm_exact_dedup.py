@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from cases import ROWS, SF, empty, read, table
+from cases import ROWS, SF, empty, read, table, untouched
 from oracle import connect, same
 
 from corpusloom.llm import exact_dedup as ed
@@ -70,12 +70,21 @@ def test_report(spark):
 def test_deduplicate(spark):
     docs = table(spark)
     got = ed.deduplicate(docs)
-    assert got.columns == docs.columns
+    assert got.columns == docs.columns and untouched(got)
     want = {r[3]: r[1] for r in brute(ROWS)}
     assert plain(r["doc_id"] for r in read(got)) == plain(want.values())
     assert ed.deduplicate(empty(spark)).count() == 0
 
 
+def test_small_partitions_change_nothing(spark, monkeypatch):
+    want = plain((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in read(ed.duplicate_report(table(spark))))
+    monkeypatch.setattr(ed, "PARTITION_ROWS", 2)
+    assert plain((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in read(ed.duplicate_report(table(spark)))) == want
+    batches = ed.pa.RecordBatch.from_pylist([{"digest": digest(k % 3), "keep_id": k, "keep_chars": 1, "keep_row": k, "group_size": 1, "ties": 1} for k in range(9)])
+    folded = [r for b in ed._fold(iter([batches, batches]), 2) for r in b.to_pylist()]
+    assert len(folded) == 6 and all(r["group_size"] == 3 and r["keep_id"] < 3 and r["ties"] == 1 for r in folded)
+
+
 def test_index_inserts_and_deletes(spark):
     half, rest = table(spark, ROWS[:8]), table(spark, ROWS[8:])
     both = ed.insert_into_index(ed.build_index(half), rest)
