@@ -14,8 +14,12 @@ Shape of the plan, none of whose steps gathers a group in one task:
    less than ``SCREEN`` of the registers are dropped (five standard errors below
    0.8), the others are verified on their whole texts.
 3. The components of these links tell which members of a bucket are still
-   apart.  Those are compared in blocks of bounded size, where sums of products
-   give all multiset overlaps at once, and only links leave a block.
+   apart.  First their signatures alone meet, in blocks of ``SIGNS`` nodes; only
+   nodes that agree there with one of another component in ``SCREEN`` of the
+   registers go on, and only with the blocks where they do.  Then texts are compared
+   in blocks of ``CHUNK`` of those that are left, where sums of products give all
+   multiset overlaps at once, and only links leave a block.  Buckets with the same
+   members, compared member by member, are read once.
 4. Components come from minimum labels over links with pointer jumping,
    checkpointed each round.
 
@@ -23,7 +27,7 @@ With ``m = 80`` a pair at exactly 0.8 shares no band with probability 2.6e-5.
 
 Edge cases: null and empty texts have no shingles and form one class; texts of
 1 to 4 words have one shingle, all their words; rows repeated as a whole are
-members of a class like any other, and one of them is kept; a null id is null in
+members of a class like any other, and one row of each class is kept; a null id is null in
 the report, and its class carries the smallest id that isn't null (null if
 there is none); an empty table gives an empty result; extra columns are
 ignored by the report and returned untouched by :func:`deduplicate`.
@@ -41,12 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bagminhash import jaccard, mix, shingle_counts, signatures
-from corpusloom.llm.common import materialize, ship, text_of
+from corpusloom.llm.common import fresh, materialize, quoted, ship, text_of
 
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SCREEN = 0.55
-CHUNK = 384  # rows of a component that a block holds
+CHUNK = 384  # texts of a side that a block holds
+SIGNS = 2048  # signatures of a side that a block holds
 
 
 class _Words(dict):
@@ -127,27 +132,71 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: flo
     return materialize(both.mapInArrow(_verify(k), "a long, b long, j double").filter(F.col("j") >= threshold).select("a", "b"))
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """``bucket, kind, i, j, node, label, out``: the comparisons that the stars leave open, in blocks.
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """``bucket, major, c, n``: buckets of three members and more, whose members are in several components.
 
-    ``members`` has ``bucket, node, label``.  Only buckets of three members and
-    more whose members are in several components count, one of those with the
-    same members.  Members of a bucket's largest component needn't meet each
-    other; chunks of the rest meet its chunks and each other.
+    ``members`` has ``bucket, node, label``.  Of buckets with the same members one
+    is left: sums of hashes propose which these are, and a join of their members
+    tells, so no bucket goes by chance.
     """
     per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("s"))
     per = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).filter("n > 2 AND parts > 1")
-    one = materialize(per.groupBy("n", "s").agg(F.max(F.struct("bucket", "m")).alias("b")).select("b.bucket", F.col("b.m.label").alias("major"), F.col("b.m.c").alias("c"), "n"))
-    one = one.withColumn("ca", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("co", F.ceil((F.col("n") - F.col("c")) / CHUNK).cast("int"))
-    rows = members.select("bucket", "node", "label").join(one.select("bucket", "major", "ca", "co"), "bucket").withColumn("out", F.col("label") != F.col("major"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("co")).otherwise(F.col("ca"))).cast("int"))
+    per = materialize(per.select("bucket", F.col("m.label").alias("major"), F.col("m.c").alias("c"), "n", "s"))
+    first = per.groupBy("n", "s").agg(F.min("bucket").alias("first"))
+    like = materialize(per.join(first, ["n", "s"]).filter("bucket <> first").select("bucket", "first"))
+    mine = members.join(like, "bucket").select("bucket", "first", "node")
+    same = mine.join(members.select(F.col("bucket").alias("first"), "node"), ["first", "node"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(per.join(same, ["bucket", "n"], "left_anti").select("bucket", "major", "c", "n"))
+
+
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(bucket, node, out, ca, co, ...)`` copied to the blocks ``kind, i, j`` that hold them.
+
+    ``out`` tells members outside their bucket's largest component, ``ca`` and ``co``
+    count members inside and outside.  Those inside needn't meet each other; blocks
+    of those outside meet theirs and each other.
+    """
+    rows = rows.withColumns({n: F.ceil(F.col(n) / size).cast("int") for n in ("ca", "co")})
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(F.col("out"), F.col("co")).otherwise(F.col("ca")))).cast("int"))
     at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    others = F.filter(F.sequence(F.lit(0), F.col("co") - 1), lambda x: x != F.col("chunk"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda x: x < F.col(n))
+    # a block of those outside meets itself where it meets the first inside, or alone where none is inside
+    within = F.filter(upto("co"), lambda x: (x != F.col("chunk")) | (F.col("ca") == 0))
     mixed = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("ca") - 1), lambda x: at("oa", F.col("chunk"), x)),
-        F.transform(others, lambda x: at("oo", F.least("chunk", x), F.greatest("chunk", x))))
-    plain = F.transform(F.sequence(F.lit(0), F.col("co") - 1), lambda x: at("oa", x, F.col("chunk")))
-    return rows.select("bucket", "node", "label", "out", F.inline(F.when(F.col("out"), mixed).otherwise(plain)))
+        F.transform(upto("ca"), lambda x: at("oa", F.col("chunk"), x)),
+        F.transform(within, lambda x: at("oo", F.least("chunk", x), F.greatest("chunk", x))))
+    plain = F.transform(upto("co"), lambda x: at("oa", x, F.col("chunk")))
+    return rows.select("bucket", "node", "label", "out", F.inline(F.when(F.col("out"), mixed).otherwise(plain)), *(c for c in ("sig",) if c in rows.columns))
+
+
+def _near_rows(block: pa.Table) -> pa.Table:
+    """The nodes of a block that agree with one of another component in ``SCREEN`` of the registers."""
+    n, label = block.num_rows, block.column("label").to_numpy()
+    out = np.array(block.column("out").to_pylist(), bool)
+    sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u4").reshape(n, M)
+    left, hit = np.flatnonzero(out), np.zeros(n, bool)
+    least = int(np.ceil(SCREEN * M - 1e-9))
+    columns = np.ascontiguousarray(sig.T)
+    for a in range(0, len(left), 256):
+        rows = left[a : a + 256]
+        agree = np.zeros((len(rows), n), np.uint8)
+        for r in columns:
+            agree += r[rows][:, None] == r[None]
+        near = (agree >= least) & (label[rows][:, None] != label[None])
+        hit[rows] |= near.any(1)
+        hit |= near.any(0)
+    at = np.flatnonzero(hit)
+    return block.select(["bucket", "node", "label", "out"]).take(pa.array(at))
+
+
+def _apart(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``bucket, kind, i, j, node, label, out``: the texts' comparisons that the stars leave open, in blocks."""
+    one = _open_buckets(members)
+    rows = members.select("bucket", "node", "label").join(one, "bucket").select("bucket", "node", "label", (F.col("label") != F.col("major")).alias("out"), F.col("c").alias("ca"), (F.col("n") - F.col("c")).alias("co"))
+    signed = _dealt(rows.join(nodes.select("node", "sig"), "node"), SIGNS).groupBy("bucket", "kind", "i", "j")
+    near = materialize(signed.applyInArrow(_near_rows, "bucket long, node long, label long, out boolean")).distinct()
+    count = near.groupBy("bucket").agg(F.sum((~F.col("out")).cast("long")).alias("ca"), F.sum(F.col("out").cast("long")).alias("co"))
+    return _dealt(near.join(materialize(count), "bucket"), CHUNK)
 
 
 def _block(threshold: float, k: int):
@@ -204,9 +253,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _elect(members: DataFrame) -> DataFrame:
-    """Add ``centre``, the member of each bucket that meets most others."""
-    best = members.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("m")).select("bucket", F.col("m.node").alias("centre"))
-    return members.select("bucket", "node", "fame").join(best, "bucket")
+    """Add ``centre``, the member of each bucket that meets most others.
+
+    The choice is checkpointed: with an aggregate in the join's stage a hot bucket couldn't be split.
+    """
+    best = materialize(members.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("m")).select("bucket", F.col("m.node").alias("centre")))
+    return members.select("bucket", "node").join(best, "bucket")
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,25 +268,25 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, digest)`` and nodes ``(digest, node, label)``."""
+    """Rows ``(doc_id, digest, row)`` and nodes ``(digest, node, label)``."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_sign(k), NODE))
-    rows = signed.select("doc_id", "digest")
+    signed = materialize(base.mapInArrow(_sign(k), NODE).withColumn("row", F.monotonically_increasing_id()))
+    rows = signed.select("doc_id", "digest", "row")
     nodes = signed.groupBy("digest").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowd = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     state = materialize(members.join(crowd, "bucket"))
     # a node that meets many others is the best centre of a star
     fame = materialize(state.groupBy("node").agg(F.sum("n").alias("fame")))
-    state = materialize(_elect(state.join(fame, "node")))
+    state = materialize(_elect(materialize(state.join(fame, "node"))))
     texts = _texts(base, nodes.join(fame.select("node"), "node").select("node", "digest"))
     pairs = state.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = _linked(pairs, nodes, texts, threshold, k)
     labels = None if links.isEmpty() else components(links)
     of = fame.select("node", F.col("node").alias("label")) if labels is None else fame.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    apart = _apart(state.join(materialize(of), "node"))
+    apart = materialize(_apart(materialize(state.join(materialize(of), "node")), nodes))
     if not apart.isEmpty():
         held = apart.join(texts, "node").groupBy("bucket", "kind", "i", "j")
         more = materialize(held.applyInArrow(_block(threshold, k), "a long, b long"))
@@ -246,25 +298,37 @@ def _classes(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: s
     return rows, materialize(named)
 
 
+def _kept(of: DataFrame) -> DataFrame:
+    """``label, kept, class_size``: the row of each class of ``of(doc_id, digest, row, label)`` that stays, by id, then digest, then row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row"))
+    return materialize(of.groupBy("label").agg(first.alias("kept"), F.count(F.lit(1)).alias("class_size")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, class_size, kept`` for every row; the class id is its smallest doc_id."""
+    """``doc_id, class_id, class_size, kept`` for every row; the class id is its smallest doc_id.
+
+    One row of a class is kept, also of rows that are repeated as a whole.
+    """
     rows, nodes = _classes(docs, threshold, k, id_col, text_col)
-    of = rows.join(nodes.select("digest", "label"), "digest")
-    sums = materialize(of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    return materialize(of).join(sums, "label").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    of = materialize(rows.join(nodes.select("digest", "label"), "digest"))
+    return of.join(_kept(of), "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("kept.row")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the smallest id, with all its columns."""
     rows, nodes = _classes(docs, threshold, k, id_col, text_col)
     of = materialize(rows.join(nodes.select("digest", "label"), "digest"))
-    best = materialize(of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("digest").alias("d"))).alias("m")))
-    told = of.join(best, "label").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id").eqNullSafe(F.col("m.i")) & (F.col("digest") == F.col("m.d"))).cast("int")).alias("stays"))
-    lost = materialize(told.filter("stays = 0 OR n > 1")).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), "stays", "n")
-    out = docs.withColumns({"__i": F.col(id_col).cast("long"), "__d": F.sha2(text_of(text_col).cast("binary"), 256)})
-    match = lambda t: out["__i"].eqNullSafe(t["__i"]) & (out["__d"] == t["__d"])
-    kept = out.join(lost, match(lost), "left_anti").select(docs.columns)
-    repeated = lost.filter("stays = 1 AND n > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.unionByName(out.join(repeated, match(repeated), "left_semi").dropDuplicates(["__d"]).select(docs.columns))
+    # rows with the id and text of one that stays: ids and digests fold before the shuffle
+    alike = of.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("a0"), F.col("digest").alias("a1"))
+    stay = _kept(of).select(F.col("kept.doc_id").alias("s0"), F.col("kept.digest").alias("s1"))
+    stay = materialize(stay.join(alike, stay["s0"].eqNullSafe(alike["a0"]) & (stay["s1"] == alike["a1"]), "left").select("s0", "s1", F.col("a1").isNotNull().alias("several")))
+    i, d = fresh(docs, "id", "digest")
+    out = docs.withColumns({i: F.col(id_col).cast("long"), d: F.sha2(text_of(text_col).cast("binary"), 256)})
+
+    def among(found: DataFrame) -> DataFrame:
+        return out.join(found, out[i].eqNullSafe(found["s0"]) & (out[d] == found["s1"]), "left_semi")
+
+    several = stay.filter("several")
+    if several.isEmpty():
+        return among(stay).select(*quoted(docs))
+    return among(stay.filter("NOT several")).select(*quoted(docs)).unionByName(among(several).dropDuplicates([d]).select(*quoted(docs)))

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from cases import ROWS, documents, empty, read, table
+from cases import ROWS, documents, empty, read, table, untouched
 
 from corpusloom.llm import bagminhash as bag
 from corpusloom.llm import near_dedup as nd
@@ -21,8 +21,13 @@ def overlap(a, b):
     return sum(min(n, b[s]) for s, n in a.items()) / sum(max(a[s], b[s]) for s in a.keys() | b.keys())
 
 
-def brute(rows):
-    """Class (smallest id that isn't null) of every row, by comparing all pairs."""
+def classes(rows):
+    """Sets of rows by comparing all pairs."""
+    find = linked(rows)
+    return {find(k) for k in range(len(rows))}
+
+
+def linked(rows):
     bags = [shingles(t) for _, t, *_ in rows]
     top = list(range(len(rows)))
 
@@ -35,7 +40,12 @@ def brute(rows):
         for j in range(i):
             if overlap(bags[i], bags[j]) >= 0.8:
                 top[find(i)] = find(j)
-    ids, size = {}, Counter()
+    return find
+
+
+def brute(rows):
+    """Class (smallest id that isn't null) of every row."""
+    find, ids, size = linked(rows), {}, Counter()
     for k, r in enumerate(rows):
         c = find(k)
         size[c] += 1
@@ -47,7 +57,8 @@ def brute(rows):
 def check(rows, df):
     got = read(df)
     assert sorted(repr((r["doc_id"], r["class_id"], r["class_size"])) for r in got) == brute(rows)
-    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+    kept = [r for r in got if r["kept"]]
+    assert all(r["doc_id"] == r["class_id"] for r in kept) and len(kept) == len(classes(rows))  # one row a class
 
 
 def test_all_pairs(spark):
@@ -61,9 +72,9 @@ def test_edges(spark):
     assert nd.deduplicate(empty(spark)).count() == 0
     docs = table(spark)
     got = nd.deduplicate(docs)
-    assert got.columns == docs.columns
-    classes = {(r["class_id"]) for r in read(nd.near_duplicates(docs))}
-    assert len(read(got)) == len(classes) and {r["doc_id"] for r in read(got)} == classes
+    assert got.columns == docs.columns and untouched(got)
+    ids = [r["class_id"] for r in read(nd.near_duplicates(docs)) if r["kept"]]
+    assert sorted(map(repr, ids)) == sorted(repr(r["doc_id"]) for r in read(got))
 
 
 def chain(n, seed=1, words=120):
@@ -95,6 +106,7 @@ def test_chains_and_crowds(spark):
 
 def test_blocks_leave_no_link_out(spark, monkeypatch):
     monkeypatch.setattr(nd, "CHUNK", 5)
+    monkeypatch.setattr(nd, "SIGNS", 16)
     rng, base = random.Random(4), chain(1, 60, 100)[0].split()
     rows = []
     for k in range(80):
@@ -105,6 +117,32 @@ def test_blocks_leave_no_link_out(spark, monkeypatch):
     check(rows, nd.near_duplicates(table(spark, rows)))
 
 
+def test_repeated_rows_without_ids(spark):
+    rows = [(None, "all ids are null here today", "en", "a", 1)] * 5 + [(2, "these two are one row twice", "en", "a", 1)] * 2 + [(3, "another text of its own kind", "en", "a", 1)]
+    got = read(nd.near_duplicates(table(spark, rows)))
+    assert [r["kept"] for r in got].count(True) == 3 and len(got) == 8
+    assert nd.deduplicate(table(spark, rows)).count() == 3
+
+
+def test_texts_do_not_move_where_signatures_tell(spark):
+    """A crowd in one bucket whose members aren't near: no text is compared; and small blocks lose no link."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    sig = rng.integers(0, 2**32, (n, nd.M), dtype=np.uint64).astype("<u4")
+    sig[:, :4] = 7  # the band that they share
+    sig[1], sig[n - 1] = sig[0], sig[0]
+    nodes = spark.createDataFrame([(k, bytearray(sig[k].tobytes())) for k in range(n)], "node long, sig binary")
+    members = nodes.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("label"))
+    twin = members.withColumn("bucket", F.lit(2).cast("long"))
+    assert nd._open_buckets(members.unionByName(twin)).count() == 1
+    assert nd._open_buckets(members.unionByName(twin.filter("node > 0"))).count() == 2
+    left = nd._apart(members.unionByName(twin), nodes)
+    assert {r["node"] for r in left.collect()} == {0, 1, n - 1}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300, dtype=np.uint64)
