@@ -1,11 +1,13 @@
 """Secret scans: base patterns plus a character-level likelihood-ratio test.
 
-Two Markov models of order 2 over character classes of single characters are
-trained from labelled samples, one of random strings and one of ordinary
-identifiers and words.  A candidate token is reported as ``markov`` when the
-log-likelihood ratio per character exceeds ``threshold`` and the token mixes
-digits with letters.  Base spans are always kept; a candidate that overlaps a
-base span is not reported twice.
+Two Markov models of order 2 over single characters are trained from labelled
+samples, one of random strings and one of ordinary identifiers, words and numbers.
+A candidate is a run of at least 16 characters of base64 and base64url; what
+remains of it outside the base spans, in parts of at least 16, is reported as
+``markov`` when the log-likelihood ratio exceeds ``evidence + slope * length``.
+Nothing but this ratio decides: a random string of letters alone is found like
+any other, and a long number is ordinary because numbers are among the samples.
+Base spans are always kept.
 
 The samples are ``(string, label)`` pairs, label 1 for random.  Without samples
 of one's own, :func:`default_samples` gives 8,000 seeded ones: random strings in the
@@ -45,7 +47,9 @@ ASSIGN = re.compile("(" + "|".join([*map(_any_case, KEYS), _any_case("api") + "_
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 HINT = re.compile("passw|secret|token|api_?key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+EVIDENCE, SLOPE = 10.0, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,9 +90,9 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.3) -> np.ndar
 
 
 def ratio(model: np.ndarray, token: str) -> float:
-    """Log-likelihood ratio per character, positive where the token looks random."""
+    """Log-likelihood ratio, positive where the token looks random."""
     c = np.concatenate([[SIZE - 1, SIZE - 1], _codes(token)])
-    return float(model[c[:-2], c[1:-1], c[2:]].mean())
+    return float(model[c[:-2], c[1:-1], c[2:]].sum())
 
 
 WORDS = """the of and to in is that for with this from are was have data user name file path line code test build value index table
@@ -111,7 +115,7 @@ def default_samples(n: int = 8000, seed: int = 7) -> list[tuple[str, int]]:
     out = [("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(16, 64))), 1) for k in range(n // 2)]
     for k in range(n - n // 2):
         parts = rng.choices(WORDS, k=rng.randint(3, 8))
-        kind = k % 8
+        kind = k % 9
         if kind == 0:
             s = "_".join(parts)
         elif kind == 1:
@@ -126,22 +130,23 @@ def default_samples(n: int = 8000, seed: int = 7) -> list[tuple[str, int]]:
             s = f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-" + "-".join(parts[:3])
         elif kind == 6:
             s = "".join(parts) + str(rng.randint(0, 10 ** rng.randint(1, 4)))
+        elif kind == 7:
+            s = "".join(rng.choices("0123456789", k=rng.randint(8, 40)))
         else:
             s = "".join(parts)
         out.append((s, 0))
     return out
 
 
-def method_spans(text: str, model: np.ndarray, threshold: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def method_spans(text: str, model: np.ndarray, evidence: float, base: list[tuple[int, int, int]], slope: float = SLOPE) -> list[tuple[int, int, int]]:
+    """Spans of random strings outside the base spans (which are sorted)."""
     found = []
     for m in CANDIDATE.finditer(text):
-        token, a, b = m.group(0), m.start(), m.end()
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if ratio(model, token) > threshold:
-            found.append((a, 3, b))
+        at, end = m.span()
+        for a, _, b in [s for s in base if s[0] < end and at < s[2]] + [(end, 0, end)]:
+            if a - at >= LEAST and ratio(model, text[at:a]) > evidence + slope * (a - at):
+                found.append((at, 3, a))
+            at = max(at, b)
     return found
 
 
@@ -152,14 +157,14 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
 
 
-def _scan(model: np.ndarray, threshold: float):
+def _scan(model: np.ndarray, evidence: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = x.as_py()
                 base = base_spans(text)
-                every = sorted(base + method_spans(text, model, threshold, base))
+                every = sorted(base + method_spans(text, model, evidence, base))
                 n = [sum(s[1] == k for s in every) for k in range(4)]
                 rows.append((doc, n[0], n[1], n[2], hashlib.sha256(_join(base).encode()).hexdigest(), _join(every), n[3]))
             names = [x.strip().split(" ")[0] for x in SPANS.split(",")]
@@ -170,18 +175,18 @@ def _scan(model: np.ndarray, threshold: float):
     return run
 
 
-def scan(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None, evidence: float = EVIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the counts and places of what was found."""
     ship(docs.sparkSession)
     model = train(samples if samples is not None else default_samples())
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_scan(model.astype(np.float32), threshold), SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_scan(model.astype(np.float32), evidence), SPANS)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span of their text replaced by ``mask``."""
     ship(docs.sparkSession)
     model = train(options.pop("samples", None) or default_samples())
-    threshold = options.pop("threshold", 0.4)
+    evidence = options.pop("evidence", EVIDENCE)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -190,7 +195,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
                 return None
             base = base_spans(text)
             at, out = 0, []
-            for a, _, b in sorted(base + method_spans(text, model, threshold, base)):
+            for a, _, b in sorted(base + method_spans(text, model, evidence, base)):
                 if b <= at:
                     continue
                 out += [text[at:a], mask] if a >= at else []

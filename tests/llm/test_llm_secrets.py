@@ -53,17 +53,48 @@ def test_patterns():
     assert sec.base_spans("0" * 23) == [] and sec.base_spans("g" + "0" * 24 + "g") == [(1, 2, 25)]
 
 
+def random_looking(model, token):
+    return sec.method_spans(token, model, sec.EVIDENCE, []) == [(0, 3, len(token))]
+
+
 def test_models_tell_random_from_ordinary():
     model = sec.train(sec.default_samples(8000, 7))
-    other = sec.default_samples(2000, 99)
-    right = sum((sec.ratio(model, t) > 0.4) == bool(label) for t, label in other)
+    other = [(t, y) for t, y in sec.default_samples(4000, 99) if len(t) >= sec.LEAST]
+    right = sum(random_looking(model, t) == bool(label) for t, label in other)
     assert right >= 0.97 * len(other)
     rng = random.Random(5)
     token = "".join(rng.choices(sec.ALPHABET[:62], k=40)) + "7x"
     text = f"see {token} and some_ordinary_identifier_name_2 and https://example.org/path/to/page1"
-    found = sec.method_spans(text, model, 0.4, [])
+    found = sec.method_spans(text, model, sec.EVIDENCE, [])
     assert [(a, b) for a, _, b in found] == [(4, 4 + len(token))]
-    assert sec.method_spans(text, model, 0.4, [(0, 0, 10)]) == []  # a base span covers it
+
+
+def test_letters_alone_are_found_and_numbers_are_not():
+    model, rng = sec.train(sec.default_samples()), random.Random(17)
+    for alphabet, least in ((sec.ALPHABET[:26], 0.9), (sec.ALPHABET[:52], 0.97), (sec.ALPHABET[:62], 0.97), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.9)):
+        assert sum(random_looking(model, "".join(rng.choices(alphabet, k=24))) for _ in range(300)) >= least * 300
+    assert sum(random_looking(model, "".join(rng.choices("0123456789", k=16))) for _ in range(300)) <= 3
+
+
+def test_parts_outside_base_spans_are_scored():
+    model, rng = sec.train(sec.default_samples()), random.Random(6)
+    left, right = ("".join(rng.choices(sec.ALPHABET[36:62] + "xyz", k=24)) + "X" for _ in range(2))
+    text = left + "0123456789abcdef" * 2 + "Q" + right
+    base = sec.base_spans(text)
+    assert base == [(25, 2, 57)]
+    assert sec.method_spans(text, model, sec.EVIDENCE, base) == [(0, 3, 25), (57, 3, len(text))]
+    assert sec.method_spans(text, model, sec.EVIDENCE, [(0, 0, len(text))]) == []
+
+
+def test_clean_prose_is_left_alone(spark):
+    """Of the long words of the corpus, none that is letters or a number alone is taken for random."""
+    model, cand = sec.train(sec.default_samples()), set()
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        text = r["text"] or ""
+        base = sec.base_spans(text)
+        cand |= {text[m.start() : m.end()] for m in sec.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
+    plain = [t for t in cand if t.isalpha() or t.isdigit()]
+    assert len(plain) > 1000 and sum(random_looking(model, t) for t in plain) <= 0.005 * len(plain)
 
 
 def test_samples_of_ones_own(spark):
