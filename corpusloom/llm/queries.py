@@ -30,7 +30,7 @@ def op5_kk_sharding(spark, sf_dir):
 
     return assign_shards(documents(spark, sf_dir), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("digest").alias("group_sha256"))
+        "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("digest").alias("group_sha256"), "shard_bytes")
 
 
 def op6_toxicity(spark, sf_dir):

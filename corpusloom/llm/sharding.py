@@ -1,9 +1,9 @@
 """Byte-balanced sharding by Karmarkar-Karp differencing.
 
-Groups of equal texts are indivisible: their rows share a shard.  The one
-exception is a group larger than an ideal shard (there are fewer such groups
-than shards): no assignment of it as a whole could balance the bytes, so it is
-cut by a hash of the row's identity into pieces of at most an eighth of an ideal shard.
+Groups of equal texts are indivisible: all their rows share a shard.  A group
+larger than an ideal shard makes its shard the largest, and no assignment could
+do otherwise; ``shard_bytes`` tells the size of every row's shard, so that the
+imbalance can be seen.
 
 Shape of the plan: the JVM sums bytes by digest (with map-side partial sums);
 chunks of a bounded number of groups are differenced in parallel, each giving
@@ -31,6 +31,7 @@ from corpusloom.llm.common import materialize, ship, text_of
 CHUNK = 4000  # groups differenced by one task
 FAN_IN = 64  # partial partitions combined by one task
 SLICE = 2000  # rows numbered by one window partition
+SALT = 1024
 
 
 def difference(partials: list[list[int]], shards: int) -> tuple[list[int], list[list[int]]]:
@@ -75,10 +76,10 @@ def difference(partials: list[list[int]], shards: int) -> tuple[list[int], list[
 
 def _chunk_solver(shards: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "digest", "piece"], ascending=[False, True, True])
+        pdf = pdf.sort_values(["bytes", "digest"], ascending=[False, True])
         empty = [0] * (shards - 1)
         _, bins = difference([[int(x), *empty] for x in pdf["bytes"]], shards)
-        return pd.DataFrame({"digest": pdf["digest"], "piece": pdf["piece"], "bytes": pdf["bytes"], "chunk": pdf["chunk"], "bin": [b[0] for b in bins]})
+        return pd.DataFrame({"digest": pdf["digest"], "bytes": pdf["bytes"], "many": pdf["many"], "chunk": pdf["chunk"], "bin": [b[0] for b in bins]})
 
     return solve
 
@@ -97,9 +98,11 @@ def _tree_solver(shards: int):
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, digest, shard, slot`` for every row.
+    """``doc_id, size, text_crc32, digest, shard, slot, shard_bytes`` for every row.
 
-    ``size`` is the UTF-8 length plus 1; ``slot`` numbers a shard's rows without gaps.
+    ``size`` is the UTF-8 length plus 1; ``slot`` numbers a shard's rows without gaps, by
+    hashes of id and text.  Neither depends on the layout of the files, but for slots
+    where more than ``SLICE`` rows have one text: these are dealt to ``SALT`` slices.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -112,19 +115,12 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         F.sha2(raw, 256).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
     ))
-    total, rows = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
-    ideal = max(1, (total or 0) // shards)
-    # at most shards - 1 groups can exceed an ideal shard
-    large = {r[0]: math.ceil(r[1] / max(1, ideal // 8)) for r in keys.groupBy("digest").agg(F.sum("size").alias("b")).filter(F.col("b") > ideal).collect()}
-    piece = F.lit(0)
-    for d, n in large.items():
-        piece = F.when(F.col("digest") == d, F.pmod(F.xxhash64("doc_id", "row"), F.lit(n)).cast("int")).otherwise(piece)
-    keys = keys.withColumn("piece", piece)
-    units = keys.groupBy("digest", "piece").agg(F.sum("size").alias("bytes"))
+    rows = keys.count()
+    units = keys.groupBy("digest").agg(F.sum("size").alias("bytes"), (F.count(F.lit(1)) > SLICE).alias("many"))
     chunks = max(1, math.ceil(rows / CHUNK))
     solved = materialize(
-        units.withColumn("chunk", F.pmod(F.xxhash64("digest", "piece"), F.lit(chunks)).cast("long"))
-        .groupBy("chunk").applyInPandas(_chunk_solver(shards), "digest string, piece int, bytes long, chunk long, bin int")
+        units.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("long"))
+        .groupBy("chunk").applyInPandas(_chunk_solver(shards), "digest string, bytes long, many boolean, chunk long, bin int")
         .coalesce(chunks)  # no more files than chunks
     )
     # up the tree: sums of the bins of each node
@@ -140,23 +136,24 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         level = step.groupBy(F.col("parent").alias("node"), F.col("up").alias("bin")).agg(F.sum("bytes").alias("bytes"))
         n = math.ceil(n / FAN_IN)
     # down again: the final bin of every chunk's bins
-    placed = solved.select("digest", "piece", F.col("chunk").alias("node"), "bin")
+    placed = solved.select("digest", "many", F.col("chunk").alias("node"), "bin")
     if maps:
         route = maps[0]
         for m in maps[1:]:
             up = m.select(F.col("node").alias("parent"), F.col("bin").alias("up"), F.col("parent").alias("p2"), F.col("up").alias("u2"))
             route = route.join(up, ["parent", "up"]).select("node", "bin", F.col("p2").alias("parent"), F.col("u2").alias("up"))
-        placed = placed.join(route.select("node", "bin", F.col("up").alias("shard")), ["node", "bin"]).select("digest", "piece", "shard")
+        placed = placed.join(route.select("node", "bin", F.col("up").alias("shard")), ["node", "bin"]).select("digest", "many", "shard")
     else:
-        placed = placed.select("digest", "piece", F.col("bin").alias("shard"))
+        placed = placed.select("digest", "many", F.col("bin").alias("shard"))
     # read twice below; both readers share its exchanges, and every input of it is checkpointed
-    out = keys.join(placed, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "digest", "row", "shard")
+    out = keys.join(placed, "digest").select("doc_id", "size", "text_crc32", "digest", "row", "shard", F.when(F.col("many"), F.pmod("row", F.lit(SALT))).otherwise(0).alias("salt"))
     # gapless slots without sorting a whole shard in one task
     slices = max(64, math.ceil(rows / shards / SLICE))
-    out = out.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
-    first = out.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "before", F.sum("n").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
-    number = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("row"))
-    return out.withColumn("at", number).join(first.select("shard", "slice", "before"), ["shard", "slice"]).select(
+    out = out.withColumn("slice", F.pmod(F.xxhash64("doc_id", "digest", "salt"), F.lit(slices)).cast("int"))
+    first = out.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    first = first.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
+    first = first.withColumn("shard_bytes", F.sum("b").over(Window.partitionBy("shard")))
+    number = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "digest", "row"))
+    return out.withColumn("at", number).join(first.select("shard", "slice", "before", "shard_bytes"), ["shard", "slice"]).select(
         "doc_id", "size", "text_crc32", "digest", "shard",
-        (F.coalesce(F.col("before"), F.lit(0)) + F.col("at") - 1).cast("long").alias("slot"))
+        (F.coalesce(F.col("before"), F.lit(0)) + F.col("at") - 1).cast("long").alias("slot"), "shard_bytes")
