@@ -65,6 +65,16 @@ def test_edges(spark):
     assert read(pk.pack(empty(spark), PATH)) == []
 
 
+def test_ids_are_those_of_the_tokenizer_file(spark):
+    """Both encoders on every text of sf0.1 and on odd ones."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    texts += [r[1] or "" for r in ROWS] + ["\r\n\t \x0b\x0c", "a\u00a0b\u2003c", "it's we'LL 'Tis", "\u0000\ufffd\ufeff", "1234567890 ½ ² ٣", "e\u0301 \u200d \U0001f468\u200d\U0001f469", "x" * 5000, " " * 3000, "<|endoftext|>", "a <|endoftext|> b"]
+    encode, exact = pk.encoder(PATH), Tokenizer.from_file(PATH)
+    for a in range(0, len(texts), 1000):
+        want = exact.encode_batch(texts[a : a + 1000], add_special_tokens=False)
+        assert all(w.ids == encode(t).tolist() for w, t in zip(want, texts[a : a + 1000]))
+
+
 def test_cut():
     assert pk.cut(5, 5) == [(0, 5)] and pk.cut(6, 5) == [(0, 1), (1, 5)] and pk.cut(10, 5) == [(0, 5), (5, 5)]
 
