@@ -75,6 +75,27 @@ def test_many_buckets_and_one_give_the_same(spark, monkeypatch):
     assert sorted(read(fp.fingerprint_report(docs)), key=lambda r: r["doc_id"]) == one
 
 
+def test_repeated_and_null_ids(spark, monkeypatch):
+    """A third of the ids is null, a third is one id, many rows are repeats; all in small buckets."""
+    import random
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices("lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam".split(), k=rng.randrange(2, 14)))
+    rows = [(None, text()) for _ in range(60)] + [(50, text()) for _ in range(40)] + [(50, "the same text in many rows of one id")] * 25 + [(None, None)] * 9 + [(k, text()) for k in range(100)]
+    rng.shuffle(rows)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -hashed(r[1].encode())))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(anchors(t)), shown(anchors(edited)), round(likeness(anchors(t), anchors(after)), 9)))
+    df = table(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    for size in (6, 500):
+        monkeypatch.setattr(fp, "BUCKET_ROWS", size)
+        assert sorted(map(repr, want)) == sorted(map(repr, [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_next"], 9)) for r in read(fp.fingerprint_report(df))]))
+
+
 def test_edges(spark):
     unique = list({r[0]: r for r in ROWS if r[0] is not None}.values())
     check([r[:2] for r in unique], read(fp.fingerprint_report(table(spark, unique))))
