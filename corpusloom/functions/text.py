@@ -6,6 +6,10 @@ character class that Java and RE2 read alike.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +40,34 @@ def compact(c) -> Column:
 
 def tokenize(c, language: str = "en") -> Column:
     """Accent-folded words of three letters and more that aren't stop words, with repeats."""
+    if language not in STOP:
+        raise ValueError(f"unknown language {language!r}, not one of {sorted(STOP)}")
     words = F.regexp_extract_all(blank(c), F.lit(f"([{LETTERS}0-9_\\-]+)"), F.lit(1))
     folded = F.transform(words, lambda w: F.translate(F.lower(w), *FOLD))
     return F.filter(folded, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*STOP[language]))
 
 
+def lemmatizer(lemmas: Callable[[str], list[str]], language: str = "en") -> Callable[[Column], Column]:
+    """A tokenizer like :func:`tokenize` over the lemmas that a function finds in a text, where the rows are.
+
+    Lemmas are lowered and lose their accents; words of three letters and more that
+    aren't stop words stay.
+    """
+    if language not in STOP:
+        raise ValueError(f"unknown language {language!r}, not one of {sorted(STOP)}")
+    stop = frozenset(STOP[language])
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            folded = ("".join(x for x in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(x)) for w in lemmas(text or ""))
+            return [w for w in folded if len(w) > 2 and w.isalpha() and w not in stop]
+
+        return texts.map(one)
+
+    return lambda c: run(blank(c))
+
+
 def simple_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(blank(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 

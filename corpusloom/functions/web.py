@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -58,8 +59,10 @@ def language_from_text(c) -> Column:
     return F.when(F.size(words) < 40, None).when((en >= 4) & (en > es), "en").when((es >= 4) & (es > en), "es")
 
 
-def detect_language(html_language, url, text) -> Column:
-    found = [normalize_language(html_language), normalize_language(language_from_url(url)), normalize_language(language_from_text(text))]
+def detect_language(html_language, url, text, header_language=None) -> Column:
+    """What the page says, then the header, the URL and the text."""
+    header = [] if header_language is None else [normalize_language(header_language)]
+    found = [normalize_language(html_language), *header, normalize_language(language_from_url(url)), normalize_language(language_from_text(text))]
     return F.coalesce(*found, F.lit("unknown"))
 
 
@@ -102,6 +105,7 @@ def html_text(c) -> Column:
 
 # -- HTML by parser -----------------------------------------------------------
 SKIPPED = frozenset(("script", "style", "noscript", "svg"))
+CODE = re.compile("[a-z]{2,3}")
 META = (("name", "language"), ("http-equiv", "content-language"), ("property", "og:locale"))
 
 
@@ -113,18 +117,22 @@ class _Page(HTMLParser):
         self.words, self.heading, self.hrefs, self.language = [], [], [], None
         self._hidden, self._heading = 0, False
 
+    def _declare(self, value):
+        code = CODE.match((value or "").strip().lower().replace("_", "-"))
+        self.language = self.language or (code.group() if code else None)
+
     def handle_starttag(self, tag, attrs):
-        got = {k: v or "" for k, v in attrs}
+        got = {k: v.strip() for k, v in attrs if v and v.strip()}
         if tag in SKIPPED:
             self._hidden += 1
-        elif tag == "a" and got.get("href"):
+        elif tag == "a" and "href" in got:
             self.hrefs.append(got["href"])
         elif tag == "title":
             self._heading = True
-        elif tag == "html" and got.get("lang"):
-            self.language = self.language or got["lang"]
+        elif tag == "html":
+            self._declare(got.get("lang"))
         elif tag == "meta" and any(got.get(k, "").lower() == v for k, v in META):
-            self.language = self.language or got.get("content") or None
+            self._declare(got.get("content"))
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -133,18 +141,19 @@ class _Page(HTMLParser):
             self._heading = False
 
     def handle_data(self, data):
-        if not self._hidden:
+        data = data.strip()
+        if data and not self._hidden:
             self.words.append(data)
             if self._heading:
                 self.heading.append(data)
 
 
 def parse_page(html: str | None) -> dict:
-    """Title, text, links and language of a page; entities that were escaped twice are opened."""
+    """Title, text, links and language of a page; in the text, entities that were escaped twice are opened."""
     page = _Page()
     page.feed(html or "")
-    neat = lambda parts: " ".join(unescape(" ".join(parts)).split())
-    return {"title": neat(page.heading), "text": neat(page.words), "links": page.hrefs, "html_language": page.language}
+    text = unescape(re.sub(r"\s+", " ", " ".join(page.words))).strip()
+    return {"title": " ".join(page.heading).strip(), "text": text, "links": page.hrefs, "html_language": page.language}
 
 
 # types as objects: workers import this module, and have no session to read a type string with
@@ -169,3 +178,35 @@ def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
 
 def is_binary(c) -> Column:
     return url_path(c).rlike(BINARY)
+
+
+def common_prefix(a, b) -> Column:
+    """How many leading characters two strings share."""
+    x, y = blank(a), blank(b)
+    n = F.least(F.length(x), F.length(y))
+    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k))
+    return F.array_max(same)
+
+
+def date_part(c) -> Column:
+    """The day of an ISO time, as the result list shows it."""
+    return F.split_part(blank(c), F.lit("T"), F.lit(1))
+
+
+def query_url(c, endpoint: str = "https://html.duckduckgo.com/html/") -> Column:
+    """The address of a result page for a query."""
+    return F.concat(F.lit(endpoint + "?q="), F.url_encode(blank(c)), F.lit("&kl=us-en"))
+
+
+def ui_language(c) -> Column:
+    """English where the code says so, else Spanish."""
+    return F.when(blank(c) == "en", "en").otherwise("es")
+
+
+def ui_type(c) -> Column:
+    """The label's key for a file type."""
+    kinds = {"PDF": "pdf", "IMAGEN": "image", "IMAGE": "image", "VIDEO": "video", "DOCUMENTO": "document", "DOCUMENT": "document"}
+    key = F.lit("other")
+    for name, value in kinds.items():
+        key = F.when(F.upper(blank(c)) == name, value).otherwise(key)
+    return key

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,13 +38,27 @@ def first_per(df: DataFrame, keys: list, order: list, limit: int = 1, name: str
     return out.drop(name) if name == "__rn" else out
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; on one machine alone a temporary one stands in for it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loom-shared")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/{name}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, for plans that read it many times."""
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-kept"))
+        sc.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusloom.functions.constants import MAX_CANDIDATES
+from corpusloom.functions.constants import DIMENSION, MAX_CANDIDATES, MIN_COOC
 from corpusloom.functions.text import tokenize
-from corpusloom.operators.common import top_k
+from corpusloom.operators.common import kept, top_k
 
 
 def tokens(corpus: DataFrame, language: str = "en") -> DataFrame:
     return corpus.withColumn("body", tokenize("text", language)).withColumn("head", tokenize("title", language))
 
 
+def counted(df: DataFrame, tokens_col: str, terms: str, counts: str) -> DataFrame:
+    """``df`` with the distinct tokens of an array, and how often each occurs; nothing is shuffled.
+
+    In the sorted array every token begins where it differs from the one before.
+    Each array is a column that is read twice, so that it isn't made anew for each element.
+    """
+    s, at = f"__{terms}_s", f"__{terms}_at"
+    df = df.withColumn(s, F.array_sort(tokens_col))
+    df = df.withColumn(at, F.expr(f"filter(transform(`{s}`, (x, i) -> if(i = 0 or x <> get(`{s}`, i - 1), i, null)), i -> i is not null)"))
+    df = df.withColumn(terms, F.expr(f"transform(`{at}`, i -> get(`{s}`, i))"))
+    return df.withColumn(counts, F.expr(f"transform(`{at}`, (i, k) -> coalesce(get(`{at}`, k + 1), size(`{s}`)) - i)")).drop(s, at)
+
+
 def postings(corpus: DataFrame, field: str = "text", language: str = "en") -> DataFrame:
-    """``doc_id, term, tf`` of one field."""
-    return corpus.select("doc_id", F.explode(tokenize(field, language)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc_id, term, tf`` of one field of ``corpus``, whose ids are distinct."""
+    rows = counted(corpus.select("doc_id", tokenize(field, language).alias("tokens")), "tokens", "term", "tf")
+    return rows.select("doc_id", F.inline(F.arrays_zip("term", F.transform("tf", lambda n: n.cast("long")).alias("tf"))))
 
 
 def both_fields(corpus: DataFrame, language: str = "en") -> DataFrame:
@@ -32,6 +45,15 @@ def inverted_index(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.count(F.lit(1)).alias("df"))
 
 
+BLOCK = 4096
+
+
+def block_postings(post: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``term, block, doc_ids``: the index with lists cut by ranges of ids, so that no list is longer than ``block``."""
+    of = F.floor(F.col("doc_id") / block).cast("long")
+    return post.groupBy("term", of.alias("block")).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     """How many documents hold a term; ``post`` has one row for each."""
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -40,13 +62,27 @@ def document_frequency(post: DataFrame) -> DataFrame:
 def ranked_postings(post: DataFrame, queries: DataFrame) -> DataFrame:
     """Query terms with their place among the query's posting lists, by (df, list, term).
 
-    ``queries(query_id, term)`` has distinct terms; lists are gathered for those terms alone.
+    ``queries(query_id, term)`` has distinct terms.  Lists are compared only among
+    terms of a query with equal frequency, and without gathering them: of two such
+    lists the one with the smallest id that the other lacks comes first.
     """
-    hits = post.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
-    lists = inverted_index(hits)
-    found = queries.join(lists, "term")
-    order = Window.partitionBy("query_id").orderBy("df", "doc_ids", "term")
-    return found.select("query_id", "term", "df", F.row_number().over(order).alias("place"))
+    df = document_frequency(post.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi"))
+    found = kept(queries.join(F.broadcast(df), "term").select("query_id", "term", "df"))  # one row for each term that was asked for
+    a, b = (found.select("query_id", "df", F.col("term").alias(x)) for x in ("t", "u"))
+    ties = a.join(b, ["query_id", "df"]).filter("t < u").select("t", "u").distinct()
+    lead = None
+    if not ties.isEmpty():
+        side = lambda own, sign: post.join(F.broadcast(ties), post["term"] == ties[own]).select("t", "u", "doc_id", F.lit(sign).alias("s"))
+        apart = side("t", 1).unionByName(side("u", -1)).groupBy("t", "u", "doc_id").agg(F.sum("s").alias("s")).filter("s <> 0")
+        lead = apart.groupBy("t", "u").agg(F.min_by("s", "doc_id").alias("s"))
+    # how many lists of the query come before each
+    less = (F.col("o.df") < F.col("f.df")) | ((F.col("o.df") == F.col("f.df")) & (F.col("o.term") < F.col("f.term")))
+    pairs = found.alias("f").join(found.alias("o"), (F.col("f.query_id") == F.col("o.query_id")) & (F.col("f.term") != F.col("o.term")), "left")
+    if lead is not None:
+        low, high = F.least("f.term", "o.term"), F.greatest("f.term", "o.term")
+        pairs = pairs.join(F.broadcast(lead), (F.col("t") == low) & (F.col("u") == high) & (F.col("f.df") == F.col("o.df")), "left")
+        less = F.when(F.col("s").isNull(), less).otherwise((F.col("s") > 0) == (F.col("o.term") == F.col("t")))
+    return pairs.groupBy(F.col("f.query_id").alias("query_id"), F.col("f.term").alias("term"), F.col("f.df").alias("df")).agg((F.sum(F.coalesce(less.cast("int"), F.lit(0))) + 1).alias("place"))
 
 
 def matches(post: DataFrame, queries: DataFrame) -> DataFrame:
@@ -70,3 +106,29 @@ def all_terms(post: DataFrame, terms: list[str]) -> DataFrame:
 def default_least(terms: int, asked: int | None = None) -> int:
     """How many terms a document must hold: one or two, or what was asked within reach."""
     return (1 if terms <= 1 else 2) if asked is None else max(1, min(asked, max(1, terms)))
+
+
+def bucket_of(term, dimension: int = DIMENSION):
+    """Place and sign of a term in the hashed space, from its SHA-1."""
+    h = F.sha1(term.cast("binary"))
+    low = F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    return (F.conv(low, 16, 10).cast("long") % dimension).cast("int"), F.when(F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+
+
+SPAN = 64
+
+
+def pair_counts(post: DataFrame, least: int = MIN_COOC) -> DataFrame:
+    """``term_a, term_b, n`` with ``term_a < term_b``: documents that hold both.
+
+    A pair can't be more frequent than its rarer term, so terms below ``least``
+    leave before the pairs are made.  The terms of a document are a sorted array; a
+    row makes the pairs of ``SPAN`` of them at a time, so that it holds at most
+    ``SPAN`` times the array.
+    """
+    often = document_frequency(post).filter(F.col("df") >= least).select("term")
+    left = post.select("doc_id", "term").join(often, "term", "left_semi")
+    packed = left.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("t")).filter(F.size("t") > 1)
+    spans = packed.select("t", F.explode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(SPAN))).alias("c"))
+    pairs = spans.select(F.inline(F.expr(f"flatten(transform(slice(t, c + 1, {SPAN}), (a, i) -> transform(slice(t, c + i + 2, size(t)), b -> struct(a as term_a, b as term_b))))")))
+    return pairs.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -78,24 +79,26 @@ def prompts(docs: DataFrame, query: str) -> DataFrame:
     return body.select(F.concat(F.lit(ask), "b", F.lit(rule)).alias("prompt"))
 
 
-def generate(prompts_df: DataFrame, generator: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """Answers of an outside model, called where the rows are; empty after ``tries`` failures."""
-    import time
+def backoff(tries: int) -> float:
+    """Seconds to wait after the ``tries``-th failure."""
+    return 2.0 ** (tries - 1)
+
 
+def generate(prompts_df: DataFrame, generator: Callable[[str], str], tries: int = 3) -> DataFrame:
+    """Answers of an outside model, called where the rows are; empty after ``tries`` failures of whatever kind."""
     ship(prompts_df.sparkSession)
 
+    def ask(prompt: str) -> str:
+        for k in range(1, tries + 1):
+            try:
+                return generator(prompt) or ""
+            except Exception:  # noqa: BLE001 - a client may raise anything; the extractive answer stands in
+                if k < tries:
+                    time.sleep(backoff(k))
+        return ""
+
     def run(batches: Iterator):
         for pdf in batches:
-            out = []
-            for p in pdf["prompt"]:
-                got = ""
-                for k in range(tries):
-                    try:
-                        got = generator(p)
-                        break
-                    except OSError:
-                        time.sleep(2.0**k)
-                out.append(got)
-            yield pdf.assign(answer=out)[["answer"]]
+            yield pdf.assign(answer=[ask(p) for p in pdf["prompt"]])[["answer"]]
 
     return prompts_df.mapInPandas(run, "answer string")

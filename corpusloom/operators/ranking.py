@@ -2,7 +2,8 @@
 
 Every operator takes ``queries(query_id, term, qtf)`` and works for a batch of
 queries in one plan.  Query tables are small and broadcast; corpus tables are
-never collected.
+never collected.  What a query reads is the index (:mod:`.store`): the postings and
+places of its terms, and term counts; no text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql.window import Window
 from corpusloom.functions.constants import ALPHA, BM25_B, BM25_K1, DIMENSION, MAX_CANDIDATES, MIN_COOC, TITLE_WEIGHT, VECTOR_WEIGHT
 from corpusloom.functions.text import blank, tokenize
 from corpusloom.operators.common import kept, top_k
-from corpusloom.operators.index import both_fields, candidates, document_frequency, matches, postings
+from corpusloom.operators.index import bucket_of, candidates, document_frequency, matches, pair_counts
+from corpusloom.operators.store import Store, build
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -22,6 +24,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _store(index: Store | DataFrame) -> Store:
+    return index if isinstance(index, Store) else build(index)
+
+
+def asked(terms: DataFrame) -> list[str]:
+    """The distinct terms of the stated queries."""
+    return [r["term"] for r in terms.select("term").distinct().collect()]
+
+
 # -- BM25 ---------------------------------------------------------------------
 def bm25_idf(df, n):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
@@ -33,17 +44,15 @@ def length_stats(corpus: DataFrame) -> DataFrame:
         F.greatest("n_docs", F.lit(1)).alias("n_docs"), (F.col("total") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
-def bm25(corpus: DataFrame, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B, title_weight: float = TITLE_WEIGHT) -> DataFrame:
+def bm25(index: Store | DataFrame, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B, title_weight: float = TITLE_WEIGHT, words: list[str] | None = None) -> DataFrame:
     """``query_id, doc_id, lex``.  A repeated query term counts repeatedly."""
-    post = both_fields(corpus).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = document_frequency(post)
-    stats = length_stats(corpus)
-    dl = corpus.select("doc_id", F.size(tokenize("text")).alias("dl"))
-    hit = post.join(df, "term").join(dl, "doc_id").join(F.broadcast(stats))
+    store = _store(index)
+    post = store.of_terms(asked(terms) if words is None else words)
     f = F.col("tf_body") + title_weight * F.col("tf_title")
-    norm = f + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-9)))
-    weight = bm25_idf(F.col("df"), F.col("n_docs")) * f * (k1 + 1) / norm
-    return hit.withColumn("w", weight).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("lex"))
+    norm = f + k1 * (1 - b + b * F.col("dl") / max(store.avgdl, 1e-9))
+    weight = bm25_idf(F.col("df"), F.lit(store.n_docs)) * f * (k1 + 1) / norm
+    want = terms.join(F.broadcast(document_frequency(post)), "term")
+    return post.join(F.broadcast(want), "term").groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("lex"))
 
 
 # -- correlation-aware vector space --------------------------------------------
@@ -67,19 +76,6 @@ def query_weights(post: DataFrame, terms: DataFrame) -> DataFrame:
     return known.join(top, "query_id").select("query_id", "term", (F.col("qtf") / F.col("top") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
 
 
-def pair_counts(post: DataFrame, least: int = MIN_COOC) -> DataFrame:
-    """``term_a, term_b, n`` with ``term_a < term_b``: documents that hold both.
-
-    A pair can't be more frequent than its rarer term, so terms below ``least``
-    leave before the self-join.
-    """
-    often = document_frequency(post).filter(F.col("df") >= least).select("term")
-    kept = post.select("doc_id", "term").join(often, "term", "left_semi")
-    packed = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("t"))
-    pairs = packed.select(F.posexplode("t").alias("i", "term_a"), "t").select("term_a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("term_b"))
-    return pairs.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-
-
 def correlation(n, a, b, method: str = "cosine"):
     """Of two terms in ``n`` common documents and ``a`` and ``b`` documents each."""
     if method == "cosine":
@@ -97,40 +93,53 @@ def term_correlations(post: DataFrame, method: str = "cosine", least: int = MIN_
     return pair_counts(post, least).join(left, "term_a").join(right, "term_b").select("term_a", "term_b", correlation(F.col("n"), F.col("df_a"), F.col("df_b"), method).alias("r"))
 
 
-def spread(post: DataFrame, weights: DataFrame, method: str = "cosine", least: int = MIN_COOC) -> DataFrame:
+def spread(store: Store, weights: DataFrame, words: list[str], method: str = "cosine", least: int = MIN_COOC) -> DataFrame:
     """``query_id, term, x``: the query vector times the correlation matrix.
 
-    Only pairs with one end in the query are counted; the matrix as a whole is never made.
+    Only pairs with one end in the query are counted; the matrix as a whole is
+    never made.  Saved pair counts are read instead where the store has them.
     """
-    q = weights.select(F.col("term").alias("q")).distinct()
-    df = document_frequency(post)
-    holds = post.select("doc_id", F.col("term").alias("q")).join(F.broadcast(q), "q", "left_semi")
-    n = post.select("doc_id", "term").join(holds, "doc_id").filter("q <> term").groupBy("q", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    dq = df.select(F.col("term").alias("q"), F.col("df").alias("df_q")).join(F.broadcast(q), "q", "left_semi")
-    r = n.join(F.broadcast(dq), "q").join(df, "term").select("q", "term", correlation(F.col("n"), F.col("df_q"), F.col("df"), method).alias("r"))
-    r = r.unionByName(q.select("q", F.col("q").alias("term"), F.lit(1.0).alias("r")))
+    if store.pairs is not None and store.least == least:
+        n = store.pairs.filter(F.col("term").isin(words)).select(F.col("term").alias("q"), F.col("other").alias("term"), "n")
+    else:
+        want = F.array(*map(F.lit, words)).cast("array<string>")
+        held = store.forward.select("terms", F.array_intersect("terms", want).alias("have")).filter(F.size("have") > 0)
+        pairs = held.select(F.explode("have").alias("q"), "terms").select("q", F.explode("terms").alias("term")).filter("q <> term")
+        n = pairs.groupBy("q", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    dq = store.terms.filter(F.col("term").isin(words)).select(F.col("term").alias("q"), F.col("df_body").alias("df_q"))
+    r = n.join(F.broadcast(dq), "q").join(store.terms.select("term", F.col("df_body").alias("df")), "term").select("q", "term", correlation(F.col("n"), F.col("df_q"), F.col("df"), method).alias("r"))
+    r = r.unionByName(weights.select(F.col("term").alias("q"), "term", F.lit(1.0).alias("r")).distinct())
     return r.join(F.broadcast(weights.withColumnRenamed("term", "q")), "q").groupBy("query_id", "term").agg(F.sum(F.col("w") * F.col("r")).alias("x"))
 
 
-def gvsm(post: DataFrame, terms: DataFrame, method: str = "cosine", least: int = MIN_COOC) -> DataFrame:
-    """``query_id, doc_id, sem``: correlation-aware similarity, not bounded by 1."""
-    w = document_weights(post)
-    q = query_weights(post, terms)
+def gvsm(index: Store | DataFrame, terms: DataFrame, method: str = "cosine", least: int = MIN_COOC, of: DataFrame | None = None, words: list[str] | None = None) -> DataFrame:
+    """``query_id, doc_id, sem``: correlation-aware similarity, not bounded by 1.
+
+    Of all documents, or of the ids in ``of`` alone.  Weights of documents are made
+    from their counts where they are read; norm and products come from one join.
+    """
+    store = _store(index)
+    words = asked(terms) if words is None else words
+    idf = F.log((F.lit(store.n_filled) + 1) / (F.col("df_body") + 1)) + 1
+    top = terms.groupBy("query_id").agg(F.max("qtf").alias("top"))
+    known = store.terms.filter(F.col("term").isin(words) & (F.col("df_body") > 0))
+    q = kept(terms.join(F.broadcast(known), "term").join(top, "query_id").select("query_id", "term", (F.col("qtf") / F.col("top") * idf).alias("w")))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nq"))
-    # norms and products of all documents in one pass over their weights
-    both = w.join(spread(post, q, method, least), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    nd = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    return both.join(nd, "doc_id").join(F.broadcast(norm), "query_id").filter("nd > 0 AND nq > 0").select("query_id", "doc_id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("sem"))
+    x = kept(spread(store, q, words, method, least))
+    rows = store.forward.select("doc_id", "terms", "tf", "top")
+    if of is not None:
+        rows = rows.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    w = rows.select("doc_id", "top", F.inline(F.arrays_zip("terms", "tf"))).join(store.terms.select(F.col("term").alias("terms"), "df_body"), "terms")
+    w = w.select("doc_id", F.col("terms").alias("term"), (F.col("tf") / F.col("top") * idf).alias("w"))
+    # one map of x by query for each term: a document's terms meet it once, whatever the number of queries
+    by = x.groupBy("term").agg(F.collect_list(F.struct("query_id", "x")).alias("xs"))
+    met = w.join(by, "term", "left")
+    nd = met.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
+    dot = met.filter("xs IS NOT NULL").select("doc_id", "w", F.inline("xs")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    return dot.join(nd, "doc_id").join(F.broadcast(norm), "query_id").filter("nd > 0 AND nq > 0").select("query_id", "doc_id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("sem"))
 
 
 # -- hashed vectors -----------------------------------------------------------
-def bucket_of(term, dimension: int = DIMENSION):
-    """Place and sign of a term, from its SHA-1."""
-    h = F.sha1(term.cast("binary"))
-    low = F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
-    return (F.conv(low, 16, 10).cast("long") % dimension).cast("int"), F.when(F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-
-
 def hashed(rows: DataFrame, key: str, dimension: int = DIMENSION) -> DataFrame:
     """``key, idx, v``: sparse unit vectors of ``rows(key, terms)``."""
     idx, sign = bucket_of(F.col("term"), dimension)
@@ -146,17 +155,49 @@ def record_terms(corpus: DataFrame) -> DataFrame:
     return corpus.filter(any_text | (url != "")).select("doc_id", F.when(any_text, tokenize(F.concat(title, F.lit("\n"), text))).otherwise(tokenize(url)).alias("terms"))
 
 
-def nearest(vectors: DataFrame, ids: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
-    """``query_id, doc_id, vec, pos``: the ``k`` nearest of all ``ids``, ties by id.
+def nearest(index: Store | DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
+    """``query_id, doc_id, vec, pos``: the ``k`` nearest of all records, ties by id.
 
-    A query has few places, so the product is a join on places; documents
-    without a common place score 0 and still rank.
+    ``queries(query_id, idx, v)``: a query has few places, so the product is a join on
+    places.  Documents without a common place, or with a negative product, score 0
+    and still rank, by id: the ``k`` smallest ids hold all of them that can.
     """
+    store = _store(index)
     q = queries.select("query_id", "idx", F.col("v").alias("u"))
-    dot = vectors.join(F.broadcast(q), "idx").groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("u")).alias("d"))
-    all_ids = ids.select("doc_id").crossJoin(F.broadcast(queries.select("query_id").distinct()))  # the stated queries against all rows
-    sim = all_ids.join(dot, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("d", F.lit(0.0)))).alias("vec"))
-    return top_k(sim, ["query_id"], [F.desc(F.round("vec", 9)), F.col("doc_id")], k, "doc_id", "pos")
+    places = [r["idx"] for r in q.select("idx").distinct().collect()]  # of the stated queries, at most the dimension
+    dot = store.vectors.filter(F.col("idx").isin(places)).join(F.broadcast(q), "idx").groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("u")).alias("d")).filter("d > 0")
+    order = [F.desc(F.round("vec", 9)), F.col("doc_id")]
+    near = kept(top_k(dot.select("query_id", "doc_id", F.least(F.lit(1.0), "d").alias("vec")), ["query_id"], order, k, "doc_id", "pos"))
+    short = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = queries.select("query_id").distinct().join(short, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    first = store.forward.filter("recorded").select("doc_id").orderBy("doc_id").limit(k)
+    rest = first.join(F.broadcast(short)).join(near, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("vec"))
+    both = near.select("query_id", "doc_id", "vec").unionByName(rest)
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("pos") <= k)
+
+
+KNN_BLOCK = 4096  # queries that meet all vectors in one pass
+
+
+def dense_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``qid, vec_id, s``: by cosine the ``k`` nearest others of ``vectors(vec_id, embedding)`` for each of ``queries``, ties by id.
+
+    The stated queries meet all vectors in blocks of ``KNN_BLOCK``, each of which is
+    small enough to be broadcast; within a block a row of vectors keeps only what
+    can be among the nearest of its slice.
+    """
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    wide = lambda df: df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", norm(F.col("v")))
+    e, q = wide(vectors), wide(queries).select(F.col("vec_id").alias("qid"), F.col("v").alias("u"), F.col("n").alias("m"))
+    blocks = max(1, -(-q.count() // KNN_BLOCK))
+    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    out = None
+    for b in range(blocks):
+        part = F.broadcast(q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
+        sims = e.join(part, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", (dot / (F.col("m") * F.col("n"))).alias("s"))
+        best = top_k(sims, ["qid"], [F.desc(F.round("s", 9)), F.col("vec_id")], k, "vec_id", "place")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -202,38 +243,38 @@ def candidate_union(trie: DataFrame, vec: DataFrame) -> DataFrame:
     return firsts.select("query_id", "doc_id", F.row_number().over(order).alias("pos"))
 
 
-def search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, least: int | None = None, max_candidates: int = MAX_CANDIDATES, vectors: bool = True, semantic: dict | None = None, lexical: dict | None = None, **weights) -> DataFrame:
+def search(index: Store | DataFrame, queries: DataFrame, top_k: int = 20, least: int | None = None, max_candidates: int = MAX_CANDIDATES, vectors: bool = True, semantic: dict | None = None, lexical: dict | None = None, **weights) -> DataFrame:
     """``query_id, doc_id, rank, score`` of ``queries(query_id, query)``.
 
     Candidates hold enough query terms (one for a single term, else two) or are
     among the nearest vectors; where there is neither, one term is enough.
     ``semantic`` and ``lexical`` are options of :func:`gvsm` and :func:`bm25`,
-    ``weights`` those of :func:`fuse`.
+    ``weights`` those of :func:`fuse`.  Records without an index are indexed first.
     """
-    terms = query_terms(queries)
-    sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("query"))).alias("k"), F.size(tokenize("query")).alias("k_all"))
-    asked = F.when(F.col("k") <= 1, 1).otherwise(2) if least is None else F.greatest(F.lit(1), F.least(F.lit(least), F.greatest("k", F.lit(1))))
-    limit = sizes.select("query_id", asked.alias("m"))
-    post = kept(postings(corpus))  # read by nine parts of the plan
-    found = kept(matches(post, terms.select("query_id", "term")))
+    store = _store(index)
+    terms = kept(query_terms(queries))
+    words = asked(terms)
+    sizes = kept(queries.select("query_id", F.size(F.array_distinct(tokenize("query"))).alias("k"), F.size(tokenize("query")).alias("k_all"), F.get(tokenize("query"), F.lit(0)).alias("t")))
+    needed = F.when(F.col("k") <= 1, 1).otherwise(2) if least is None else F.greatest(F.lit(1), F.least(F.lit(least), F.greatest("k", F.lit(1))))
+    limit = sizes.select("query_id", needed.alias("m"))
+    post = store.of_terms(words)
+    found = kept(matches(post.filter("tf_body > 0"), terms.select("query_id", "term")))
     trie = candidates(found, limit, max_candidates)
-    qv = hashed(queries.select("query_id", tokenize("query").alias("terms")), "query_id")
     if vectors:
-        rows = record_terms(corpus)
-        near = nearest(hashed(rows, "doc_id"), rows, qv, max_candidates)
-        # a single query token keeps only hits that hold it
-        single = queries.join(sizes.filter("k_all = 1"), "query_id", "left_semi").select("query_id", F.get(tokenize("query"), F.lit(0)).alias("t"))
-        tok = corpus.select("doc_id", F.array_union(tokenize("title"), tokenize("text")).alias("tok"), F.lower(blank("url")).alias("u"))
-        guard = near.join(F.broadcast(single), "query_id").join(tok, "doc_id").filter(F.array_contains("tok", F.col("t")) | F.contains("u", F.col("t"))).select(*near.columns)
-        hits = near.join(F.broadcast(single.select("query_id")), "query_id", "left_anti").unionByName(guard)
+        near = nearest(store, hashed(queries.select("query_id", tokenize("query").alias("terms")), "query_id"), max_candidates)
+        single = F.broadcast(sizes.filter("k_all = 1").select("query_id", "t"))
+        # a single query token keeps only hits that hold it, in a field or in the URL
+        held = post.select("doc_id", F.col("term").alias("t"), F.lit(True).alias("held"))
+        tested = near.join(single, "query_id").join(held, ["doc_id", "t"], "left").join(store.forward.select("doc_id", "url"), "doc_id")
+        guard = tested.filter(F.coalesce("held", F.lit(False)) | F.contains("url", F.col("t"))).select(*near.columns)
+        hits = near.join(single, "query_id", "left_anti").unionByName(guard)
     else:
-        near = hits = trie.select("query_id", "doc_id", F.lit(0.0).alias("vec"), "pos").limit(0)
+        hits = trie.select("query_id", "doc_id", F.lit(0.0).alias("vec"), "pos").limit(0)
     hits = kept(hits)
     cands = kept(candidate_union(trie, hits))
     relaxed = candidates(found, limit.join(cands.select("query_id").distinct(), "query_id", "left_anti").withColumn("m", F.lit(1)), max_candidates)
     cands = cands.unionByName(relaxed.select("query_id", "doc_id", "pos"))
-    filled = corpus.filter((F.trim(blank("title")) != "") | (F.trim(blank("text")) != "") | (F.trim(blank("url")) != "")).select("doc_id")
-    cands = cands.join(filled, "doc_id", "left_semi")
-    scored = fuse(cands, gvsm(post, terms, **(semantic or {})), bm25(corpus, terms, **(lexical or {})), hits, **weights)
+    cands = kept(cands.join(store.forward.filter("filled").select("doc_id"), "doc_id", "left_semi"))
+    scored = fuse(cands, gvsm(store, terms, of=cands, words=words, **(semantic or {})), bm25(store, terms, words=words, **(lexical or {})), hits, **weights)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "pos")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "doc_id", "rank", "score")

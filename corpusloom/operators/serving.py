@@ -10,6 +10,7 @@ from corpusloom.functions.text import api_snippet, blank, strip
 from corpusloom.functions.web import file_type, url_domain
 from corpusloom.operators.common import settled, with_rank
 from corpusloom.operators.ranking import search
+from corpusloom.operators.store import Store
 
 NO_TITLE = "(sin título)"
 
@@ -25,6 +26,11 @@ def substring_boost(corpus: DataFrame, query: str, ranked: DataFrame) -> DataFra
     return nonempty(corpus).filter(hit).join(ranked.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(BOOST_SCORE).alias("score"), F.lit(BOOST_RANK).cast("long").alias("source_rank"))
 
 
+def triggered(results: int, score: float, enabled: bool = True, only_fallback: bool = True, least_results: int = FALLBACK_MIN_RESULTS, least_score: float = FALLBACK_MIN_SCORE) -> bool:
+    """The gate of :func:`fallback_gate` for figures that are known."""
+    return enabled and only_fallback and results < least_results and score < least_score
+
+
 def fallback_gate(ranked: DataFrame, enabled: bool = True, only_fallback: bool = True, results: int = FALLBACK_MIN_RESULTS, score: float = FALLBACK_MIN_SCORE) -> DataFrame:
     """One row: count and mean score of the local results, and whether to ask another source."""
     stats = ranked.agg(F.count(F.lit(1)).alias("local_results"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))
@@ -73,24 +79,29 @@ def ingest(records: DataFrame, new: DataFrame) -> DataFrame:
     return records.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def endpoint(corpus: DataFrame, queries: DataFrame, query: str, top_k: int = API_TOP_K, web: DataFrame | None = None, **options) -> DataFrame:
+def endpoint(corpus: DataFrame, queries: DataFrame, query: str, top_k: int = API_TOP_K, web: DataFrame | None = None, index: Store | None = None, **options) -> DataFrame:
     """The answer of the search service for one query, best first."""
-    ranked = settled(search(corpus, queries, top_k, **options).select("doc_id", "score", (F.col("rank") - 1).cast("long").alias("source_rank")))
-    boost = substring_boost(corpus, query, ranked)
+    ranked = settled(search(index or corpus, queries, top_k, **options).select("doc_id", "score", (F.col("rank") - 1).cast("long").alias("source_rank")))
+    # of the boosted, all of one score, at most top_k can show; these few rows are then looked up by id
+    boost = settled(substring_boost(corpus, query, ranked).join(corpus.select("doc_id", F.lower("title").alias("t")), "doc_id").orderBy("t", "doc_id").limit(top_k).select("doc_id", "score", "source_rank"))
     found = ranked.unionByName(boost)
-    records = corpus.join(found, "doc_id")
+    records = corpus.join(F.broadcast(found), "doc_id")
     if web is not None:
         asked = web.join(F.broadcast(fallback_gate(ranked).filter("triggered").select(F.lit(1).alias("go")))).drop("go")
         cols = ["doc_id", "title", "text", "url", "source_type", "score", "source_rank"]
         records = merge_results(records.select(cols), asked.select(cols)).withColumn("domain", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
-    shown = projection(records).join(records.select("doc_id", "score", "source_rank"), "doc_id") if web is not None else _shown(records)
-    return shown.orderBy(F.desc(F.round("score", 9)), "source_rank", F.lower(F.col("title")), "doc_id").limit(top_k)
-
-
-def _shown(records: DataFrame) -> DataFrame:
-    return records.select(
-        "doc_id", F.when(blank("title") == "", NO_TITLE).otherwise(F.col("title")).alias("title"), api_snippet("text").alias("snippet"),
-        blank("url").alias("url"), file_type("url", "source_type").alias("file_type"), "domain", "source_type", "score", "source_rank")
+    extra = ["crawl_date"] if "crawl_date" in records.columns else []
+    shown = records.select(
+        "doc_id", F.when(blank("title") == "", NO_TITLE).otherwise(F.col("title")).alias("title"), api_snippet("text").alias("snippet"), blank("url").alias("url"),
+        file_type("url", "source_type").alias("file_type"), "domain", "source_type", "score", "source_rank", *extra, F.lower(blank("title")).alias("__t"))
+    return shown.orderBy(F.desc(F.round("score", 9)), "source_rank", "__t", "doc_id").limit(top_k).drop("__t")
+
+
+def envelope(results: DataFrame, query: str, ranked: DataFrame, web_used: bool) -> dict:
+    """What the service answers: the rows of a top-k result, and what the fallback gate saw."""
+    gate = fallback_gate(ranked).first()
+    rows = [{**r.asDict(), "crawl_date": r["crawl_date"] if "crawl_date" in results.columns else None} for r in results.drop("source_rank").collect()]
+    return {"query": query, "total": len(rows), "results": rows, "web_search_used": web_used, "local_results": gate["local_results"], "avg_local_score": gate["avg_score"]}
 
 
 def page(results: DataFrame, order: list, number: int, size: int = PAGE_SIZE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import rag, ranking
 from corpusloom.operators.common import settled
-from corpusloom.plans.kit import one_query, registry
+from corpusloom.plans.kit import indexed, one_query, registry
 from corpusloom.plans.sqlkit import Q3, sql
 from corpusloom.sources.tables import corpus, table
 
@@ -15,7 +15,7 @@ QUERIES, SQL, query = registry()
 
 def _top(spark, d):
     c = corpus(spark, d)
-    return c.join(F.broadcast(settled(ranking.search(c, one_query(spark), 5).select("doc_id", "rank", "score"))), "doc_id")
+    return c.join(F.broadcast(settled(ranking.search(indexed(spark, d), one_query(spark), 5).select("doc_id", "rank", "score"))), "doc_id")
 
 
 @query(sql("SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence, round(score, 6) AS score FROM sscore", "sscore"))

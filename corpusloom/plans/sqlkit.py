@@ -101,6 +101,25 @@ def html_text(x: str) -> str:
 HASH_IDX = "CAST(('0x' || substr(sha1(term),7,2) || substr(sha1(term),5,2) || substr(sha1(term),3,2) || substr(sha1(term),1,2)) AS UBIGINT) % 384"
 HASH_SIGN = "CASE WHEN substr(sha1(term),10,1) IN ('1','3','5','7','9','b','d','f') THEN 1 ELSE -1 END"
 
+HREF = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"']"
+
+
+def join_root(base: str, link: str) -> str:
+    """A link of the test pages, all of which are absolute paths, against the page's URL."""
+    return f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || {link}"
+
+
+def cascade(rows: str, old: str = "FALSE", may: str = "TRUE", fetched: str = "CAST(NULL AS VARCHAR)", cap: int = 120, chars: int = 300) -> str:
+    """``page_id, outcome`` and more of ``rows``; ``old`` and ``may`` are told of a row ``u`` of distinct URLs, ``fetched`` of a page."""
+    return f"""WITH u0 AS (SELECT canonical, min(page_id) AS first, min(domain) AS site FROM {rows} WHERE canonical IS NOT NULL GROUP BY 1),
+u1 AS (SELECT *, {old} AS old, {may} AS may FROM u0 u),
+u2 AS (SELECT *, count(*) FILTER (WHERE NOT old AND may) OVER (PARTITION BY site ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u1),
+u3 AS (SELECT canonical, first, CASE WHEN old THEN 'already_in_output' WHEN before >= {cap} THEN 'domain_limit' WHEN NOT may THEN 'blocked_by_robots' END AS barred FROM u2),
+v AS (SELECT e.*, first, barred, {fetched} AS fetched FROM {rows} e LEFT JOIN u3 USING (canonical)),
+c AS (SELECT *, min(page_id) FILTER (WHERE barred IS NULL AND first = page_id AND fetched IS NULL AND length(text) >= {chars}) OVER (PARTITION BY text_hash) AS leader FROM v)
+SELECT *, CASE WHEN canonical IS NULL THEN 'bad_url' WHEN barred IS NOT NULL THEN barred WHEN first <> page_id THEN 'already_visited' WHEN fetched IS NOT NULL THEN fetched WHEN length(text) < {chars} THEN 'too_short' WHEN page_id IS DISTINCT FROM leader THEN 'duplicate_text' WHEN relevance_score <= 0 THEN 'low_relevance' ELSE 'written' END AS outcome FROM c"""
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": ((), "SELECT doc_id, split_part(coalesce(text,''), chr(10), 1) AS title, coalesce(text,'') AS text, 'https://'||source||'.example.com/'||lang||'/'||CAST(doc_id AS VARCHAR) AS url, lang AS language, source||'.example.com' AS domain, 'webpage' AS source_type FROM documents"),
     "toks": (("corpus",), f"SELECT doc_id, title, text, url, {tok('text')} AS body, {tok('title')} AS head FROM corpus"),
@@ -136,10 +155,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ranked": (("fused",), "SELECT doc_id, score, row_number() OVER (ORDER BY round(score,9) DESC, pos) AS rank FROM fused"),
     "ext": ((), f"SELECT page_id, url, {canonical('url')} AS canonical, {domain('url')} AS domain, {strip(chr(32).join(['regexp_extract(html,', lit('(?is)<title[^>]*>(.*?)</title>'), ',1)']))} AS title, {html_text('html')} AS text, {lang_code("regexp_extract(html, '(?is)<html[^>]*\\slang=[\"'']([^\"'']*)[\"'']', 1)")} AS html_language FROM pages"),
     "ext2": (("ext",), f"SELECT *, {relevance('title', 'text', 'canonical')} AS relevance_score, coalesce(html_language, {lang_code(lang_url('url'))}, {lang_text('text')}, 'unknown') AS language, sha256(text) AS text_hash FROM ext"),
-    "visits": (("ext2",), "SELECT *, CASE WHEN canonical IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY canonical ORDER BY page_id) END AS seen FROM ext2"),
-    "capped": (("visits",), "SELECT *, row_number() OVER (PARTITION BY domain, seen = 1 ORDER BY page_id) AS nth FROM visits"),
-    "copies": (("capped",), "SELECT *, row_number() OVER (PARTITION BY text_hash, (seen = 1 AND nth <= 120 AND length(text) >= 300) ORDER BY page_id) AS copy FROM capped"),
-    "outcome": (("copies",), "SELECT *, CASE WHEN canonical IS NULL THEN 'bad_url' WHEN seen > 1 THEN 'already_visited' WHEN nth > 120 THEN 'domain_limit' WHEN length(text) < 300 THEN 'too_short' WHEN copy > 1 THEN 'duplicate_text' WHEN relevance_score <= 0 THEN 'low_relevance' ELSE 'written' END AS outcome FROM copies"),
+    "outcome": (("ext2",), cascade("ext2")),
+    "links": ((), f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS pos, link FROM (SELECT page_id, p, {canonical(join_root('url', 'raw'))} AS link FROM (SELECT page_id, url, unnest(l) AS raw, generate_subscripts(l, 1) AS p FROM (SELECT page_id, url, regexp_extract_all(html, {lit(HREF)}, 1) AS l FROM pages)))"),
     "top5": (("ranked", "corpus"), "SELECT doc_id, rank, score, title, text, url FROM ranked JOIN corpus USING (doc_id) WHERE rank <= 5"),
     "sents": (("top5",), f"SELECT doc_id, rank, score AS doc_score, unnest({sentences('text')}) AS sentence, generate_subscripts({sentences('text')}, 1) - 1 AS pos FROM top5"),
     "sscore": (("sents",), f"SELECT doc_id, rank, pos, sentence, len(list_intersect({words(lit(Q3))}, list_distinct({words('sentence')}))) / CAST(greatest(5, len(list_distinct({words('sentence')}))) AS DOUBLE) * (1 + least(1.0, 0.5*doc_score)) AS score FROM sents WHERE len(list_intersect({words(lit(Q3))}, list_distinct({words('sentence')}))) > 0"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import blank
+from corpusloom.functions.web import canonical_url
 
 RECORD = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()),
@@ -67,13 +68,68 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return seeds
 
 
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of some paths that there is, in whatever store each names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            return p
+    raise FileNotFoundError(f"none of {', '.join(paths)}")
+
+
+def scan_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """What an earlier crawl wrote as JSON lines: ``url`` and ``text_hash`` of its records, and how many lines are malformed."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    got = lines.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    good = got.filter("r._corrupt_record IS NULL")
+    urls = good.select(canonical_url("r.url").alias("url")).filter("url IS NOT NULL").distinct()
+    hashes = good.filter("r.text <> ''").select(F.sha2("r.text", 256).alias("text_hash")).distinct()
+    return urls, hashes, got.filter("r._corrupt_record IS NOT NULL").count()
+
+
+def read_cooc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """A saved co-occurrence file as ``pairs(term_a, term_b, n)``, ``df(term, df)`` and ``total_docs, min_cooc``.
+
+    Arrays of unlike lengths aren't read as such: the nested maps are taken, as of
+    the older format.  Places outside the terms raise.
+    """
+    schema = "terms array<string>, cooc_rows array<int>, cooc_cols array<int>, cooc_data array<int>, cooc_shape array<int>, df map<string,bigint>, total_docs bigint, min_cooc int"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.*")
+    size = F.greatest(F.size("terms"), F.coalesce(F.get("cooc_shape", F.lit(0)), F.lit(0)))
+    outside = F.exists(F.concat("cooc_rows", "cooc_cols"), lambda k: (k < 0) | (k >= size))
+    head = raw.select("total_docs", "min_cooc", (_arrays() & F.coalesce(outside, F.lit(False))).alias("bad")).first()
+    if head is None or head["bad"]:
+        raise ValueError(f"{path}: no co-occurrence file, or places outside its terms")
+    return read_pair_counts(spark, path), raw.select(F.explode("df").alias("term", "df")), {"total_docs": head["total_docs"] or 0, "min_cooc": head["min_cooc"]}
+
+
+def _arrays():
+    """Whether the arrays of a co-occurrence file fit each other."""
+    n = F.size("cooc_data")
+    return F.coalesce(F.col("terms").isNotNull() & (F.size("cooc_rows") == n) & (F.size("cooc_cols") == n), F.lit(False))
+
+
+def write_cooc(pairs: DataFrame, df: DataFrame, total_docs: int, min_cooc: int, path: str) -> None:
+    """Pair counts with what correlations need: tables ``pairs``, ``df`` and ``head`` (number of documents, threshold)."""
+    write_pair_counts(pairs, f"{path}/pairs")
+    df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
+    df.sparkSession.createDataFrame([(total_docs, min_cooc)], "total_docs long, min_cooc int").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+
+
+def open_cooc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """What :func:`write_cooc` wrote."""
+    return spark.read.parquet(f"{path}/pairs"), spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/head").first().asDict()
+
+
 def read_pair_counts(spark: SparkSession, path: str) -> DataFrame:
     """``term_a, term_b, n`` of a saved co-occurrence file: arrays of the upper triangle, or nested maps."""
     schema = "terms array<string>, cooc_rows array<int>, cooc_cols array<int>, cooc_data array<int>, cooc map<string,map<string,bigint>>"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
-    flat = raw.filter("j.terms IS NOT NULL").select("j.terms", F.explode(F.arrays_zip("j.cooc_rows", "j.cooc_cols", "j.cooc_data")).alias("z"))
+    raw = raw.select("j", raw["j"].alias("x")).select("j", "x.*")
+    flat = raw.filter(_arrays()).select("terms", F.explode(F.arrays_zip("cooc_rows", "cooc_cols", "cooc_data")).alias("z"))
     new = flat.select(F.get("terms", F.col("z.cooc_rows")).alias("a"), F.get("terms", F.col("z.cooc_cols")).alias("b"), F.col("z.cooc_data").cast("long").alias("n"))
-    old = raw.filter("j.terms IS NULL").select(F.explode("j.cooc").alias("a", "m")).select("a", F.explode("m").alias("b", "n"))
+    old = raw.filter(~_arrays()).select(F.explode("cooc").alias("a", "m")).select("a", F.explode("m").alias("b", "n"))
     return (
         new.unionByName(old).filter("a <> b AND n > 0")
         .groupBy(F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b")).agg(F.sum("n").alias("n")))

@@ -38,6 +38,68 @@ def test_answers(spark):
         raise OSError("down")
 
     assert rows(e.answer("tion ther thon", generator=broken))[0]["answer"] == plain["answer"]
+    assert [str(c["doc_id"]) for c in plain["contexts"]] and {str(u["doc_id"]) for u in plain["used"]} == set(plain["sources"].split(",")) and plain["total_sources"] == len(plain["used"])
+    assert {c["doc_id"] for c in plain["contexts"]} >= {u["doc_id"] for u in plain["used"]} and len(plain["contexts"]) == 5
+
+
+def test_an_insufficient_answer_asks_the_outside_once(spark):
+    c = tables.corpus(spark, SF)
+    asked, top = [], c.agg(F.max("doc_id")).first()[0]
+
+    def outside(query):
+        asked.append(query)
+        return spark.createDataFrame([("https://x.org/1", "Zyzzyva beetle", "The zyzzyva is a beetle.", 1)], "url string, title string, text string, web_rank int")
+
+    say = lambda p: "Zyzzyva beetle it is." if "zyzzyva is a beetle" in p.lower() else '{"sufficient": false}\nNo.'
+    got = rows(Engine(c).answer("zyzzyva beetle", generator=say, web=outside))[0]
+    assert asked == ["zyzzyva beetle"] and got["web_search_used"] and got["answer"] == "Zyzzyva beetle it is."
+    assert str(top + 1) in got["sources"].split(",") and top + 1 in {x["doc_id"] for x in got["contexts"]}
+    assert not rows(Engine(c).answer("zyzzyva beetle", generator=lambda p: "Enough.", web=outside))[0]["web_search_used"] and len(asked) == 1
+
+
+def test_service(spark):
+    import threading
+    from urllib.request import urlopen
+
+    from corpusloom.serve import Service, page, server
+
+    def outside(query):
+        return spark.createDataFrame([("https://x.org/1", "Zyzzyva", "zyzzyva beetle", 1)], "url string, title string, text string, web_rank int")
+
+    service = Service(Engine(tables.corpus(spark, SF)), outside)
+    s = server(service, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_address[1]}"
+    ask = lambda path: json.loads(urlopen(base + path).read())
+    try:
+        got = ask("/search?query=tion+ther+thon&top_k=x")
+        assert got["total"] == len(got["results"]) == 40 and not got["web_search_used"] and got["local_results"] == 40
+        assert set(got["results"][0]) == {"doc_id", "title", "snippet", "url", "file_type", "crawl_date", "domain", "score", "source_type"}
+        assert ask("/search?query=") == {"query": "", "total": 0, "results": [], "web_search_used": False, "local_results": 0, "avg_local_score": 0.0}
+        found = ask("/search?query=zyzzyva")  # nothing of one's own: the outside source is asked, and known from then on
+        assert found["web_search_used"] and found["results"][0]["source_type"] == "web_search" and found["local_results"] == 0
+        assert service.engine.records.filter("title = 'Zyzzyva'").count() == 1
+        told = ask("/rag?query=tion+ther+thon")
+        assert told["answer"] and told["total_sources"] == len(told["sources"]) and len(told["contexts"]) == 5
+        with urlopen(base + "/") as r:
+            assert r.headers["Access-Control-Allow-Origin"] == "*" and r.read().decode() == page() and "__" not in page()
+    finally:
+        s.shutdown()
+
+
+def test_ingest_at_run_time(spark, tmp_path):
+    from corpusloom.streaming.sync import ingest_stream
+
+    c = tables.corpus(spark, SF)
+    held = [Engine(c)]
+    kind = "doc_id long, title string, text string, url string"
+    spark.createDataFrame([(10**6, "Zyzzyva", "zyzzyva beetle", "https://x.org/z")], kind).write.parquet(str(tmp_path / "in"))
+
+    def take(batch, number):
+        held[0] = held[0].ingest(spark.createDataFrame(batch.collect(), batch.schema))
+
+    ingest_stream(spark, str(tmp_path / "in"), kind, take, str(tmp_path / "state"))
+    assert rows(held[0].search("zyzzyva"))[0]["doc_id"] == 10**6
 
 
 def test_ingest(spark):
@@ -81,6 +143,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert tables.read_jsonl(spark, out).count() == want.count()
     capsys.readouterr()
     main(["search", "--records", out, "--query", "data", "--top-k", "3"])
-    main(["answer", "--records", out, "--query", "data"])
+    main(["answer", "--records", "/nowhere", "--records", out, "--query", "data"])
     lines = capsys.readouterr().out.strip().splitlines()
     assert lines and "answer" in json.loads(lines[-1])

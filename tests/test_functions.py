@@ -52,10 +52,17 @@ def test_marker(spark):
 
 def test_page():
     page = web.parse_page("<html lang='en'><title>T &amp;lt; x</title><script>no</script><noscript><a href='/n'>hid</a></noscript><p>Hi <a href='/a'>you</a></p>")
-    assert page["title"] == "T < x" and page["links"] == ["/n", "/a"] and "hid" not in page["text"] and "Hi you" in page["text"]
+    assert page["title"] == "T &lt; x" and page["text"].startswith("T < x") and page["links"] == ["/n", "/a"] and "hid" not in page["text"] and "Hi you" in page["text"]
     assert web.parse_page(None) == {"title": "", "text": "", "links": [], "html_language": None}
 
 
+def test_page_attributes():
+    page = web.parse_page("<html lang=' '><meta name=Language content=' ES_mx '><a href=' /x '></a><a href='  '></a><p>tail &amp")
+    assert page == {"title": "", "text": "", "links": ["/x"], "html_language": "es"}
+    assert web.parse_page("<html lang='1'><meta property='og:locale' content='fr_FR'>")["html_language"] == "fr"
+    assert web.parse_page("<html lang='EN_us'><meta name='language' content='fr'>")["html_language"] == "en"
+
+
 def test_records(spark):
     lines = ['{"doc_id": 1, "title": "a"}', "", "{oops", '{"doc_id": "12", "title": "b"}', '{"doc_id": 12.7}', '{"doc_id": "web_ab"}', '{"title": "none"}', '{"doc_id": 1, "title": "c"}']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "at int, value string")
@@ -75,3 +82,22 @@ def test_seed_and_pair_files(spark, tmp_path):
 def test_file_type(spark):
     got = one(spark, ["https://a/x.PDF", "https://a/x.jpeg", "https://a/v.mp4?x", "https://a/", None], web.file_type(F.col("x"), F.lit("")))
     assert got == ["PDF", "IMAGEN", "VIDEO", "DOCUMENTO", "DOCUMENTO"]
+
+
+def test_small_values(spark):
+    assert one(spark, ["abcd", "abX", "", None, "é1"], web.common_prefix("x", F.lit("abcé"))) == [3, 2, 0, 0, 0]
+    assert one(spark, ["2024-01-02T03:04", "", None], web.date_part("x")) == ["2024-01-02", "", ""]
+    assert one(spark, ["a b&c", "ñ"], web.query_url("x", "h")) == ["h?q=a+b%26c&kl=us-en", "h?q=%C3%B1&kl=us-en"]
+    assert one(spark, ["en", "fr", None], web.ui_language("x")) == ["en", "es", "es"]
+    assert one(spark, ["PDF", "imagen", "VIDEO", "DOCUMENTO", "?", None], web.ui_type("x")) == ["pdf", "image", "video", "document", "other", "other"]
+
+
+def test_tokenizers(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        text.tokenize("x", "fr")
+    with pytest.raises(ValueError):
+        text.lemmatizer(str.split, "fr")
+    stem = text.lemmatizer(lambda t: [w.rstrip("s") for w in t.split()])
+    assert one(spark, ["Apples and Pèars the x1 ab", None], stem("x")) == [["apple", "pear"], []]
