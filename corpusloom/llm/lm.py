@@ -231,47 +231,58 @@ def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed:
 
 
 def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over the classes in ``goal`` (negative: none), in the precision of the weights."""
     d, back = WIDTH, WINDOW - STRIDE
     n = len(x_ids)
-    cross = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-    x = p["E"][x_ids] + p["P"]
-    kv = x @ p["KV"]
+    x = p["E"][x_ids]
+    x += p["P"]
+    flat = x.reshape(-1, d)
+    kv = (flat @ p["KV"]).reshape(n, WINDOW, 2 * d)
     k, v = kv[..., :d], kv[..., d:]
-    xq = x[:, back:]
-    q = xq @ p["Q"]
-    s = q @ k.transpose(0, 2, 1)
+    xq = np.ascontiguousarray(x[:, back:]).reshape(-1, d)
+    q = (xq @ p["Q"]).reshape(n, STRIDE, d)
+    s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     open_ = s < 15
-    e = np.exp(np.minimum(s, 15)) * MASK
-    a = e / (e.sum(-1, keepdims=True) + 1e-30)
-    h = a @ v
+    a = np.minimum(s, 15, out=s)
+    np.exp(a, out=a)
+    a *= MASK
+    a /= a.sum(-1, keepdims=True) + 1e-30
+    h = np.matmul(a, v).reshape(-1, d)
     y = np.tanh(xq @ p["A"] + h @ p["B"] + p["b"])
-    logits = y @ p["C"] + p["c"]
-    prob = np.exp(logits - logits.max(-1, keepdims=True))
-    prob /= prob.sum(-1, keepdims=True)
-    real = goal >= 0
-    dl = prob
-    i, j = np.nonzero(real)
-    dl[i, j, goal[i, j]] -= 1
-    dl = dl * real[..., None] / max(1, real.sum())
-    g = {"C": cross(y, dl), "c": dl.sum((0, 1))}
-    dz = (dl @ p["C"].T) * (1 - y**2)
-    g["A"], g["B"], g["b"] = cross(xq, dz), cross(h, dz), dz.sum((0, 1))
-    dh = dz @ p["B"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * open_
-    dv = a.transpose(0, 2, 1) @ dh
-    dk = ds.transpose(0, 2, 1) @ q
-    dq = ds @ k
-    dkv = np.concatenate([dk, dv], -1)
-    g["KV"], g["Q"] = cross(x, dkv), cross(xq, dq)
-    dx = dkv @ p["KV"].T
-    dx[:, back:] += dz @ p["A"].T + dq @ p["Q"].T
+    # the output layer over places that have something to tell
+    real = np.flatnonzero(goal.ravel() >= 0)
+    told, target = (y, goal.ravel()) if len(real) == goal.size else (y[real], goal.ravel()[real])
+    dl = told @ p["C"]
+    dl += p["c"]
+    dl -= dl.max(-1, keepdims=True)
+    np.exp(dl, out=dl)
+    dl /= dl.sum(-1, keepdims=True)
+    dl[np.arange(len(target)), target] -= 1
+    dl /= float(max(1, len(real)))
+    g = {"C": told.T @ dl, "c": dl.sum(0)}
+    back_ = (dl @ p["C"].T) * (1 - told * told)
+    if len(real) == goal.size:
+        dz = back_
+    else:
+        dz = np.zeros_like(y)
+        dz[real] = back_
+    g["A"], g["B"], g["b"] = xq.T @ dz, h.T @ dz, dz.sum(0)
+    dh = (dz @ p["B"].T).reshape(n, STRIDE, d)
+    ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    ds -= (ds * a).sum(-1, keepdims=True)
+    ds *= a
+    ds *= open_
+    dkv = np.empty_like(kv)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+    np.matmul(a.transpose(0, 2, 1), dh, out=dkv[..., d:])
+    dq = np.matmul(ds, k).reshape(-1, d)
+    dkv = dkv.reshape(-1, 2 * d)
+    g["KV"], g["Q"] = flat.T @ dkv, xq.T @ dq
+    dx = (dkv @ p["KV"].T).reshape(n, WINDOW, d)
+    dx[:, back:] += (dz @ p["A"].T + dq @ p["Q"].T).reshape(n, STRIDE, d)
     g["P"] = dx.sum(0)
-    ge = np.zeros_like(p["E"])
-    order = np.argsort(x_ids, axis=None, kind="stable")
-    used, first = np.unique(x_ids.ravel()[order], return_index=True)
-    ge[used] = np.add.reduceat(dx.reshape(n * WINDOW, d)[order], first)
-    g["E"] = ge
+    columns, ids = np.ascontiguousarray(dx.reshape(-1, d).T), x_ids.ravel()
+    g["E"] = np.stack([np.bincount(ids, weights=c, minlength=len(p["E"])) for c in columns], 1).astype(p["E"].dtype)
     return g
 
 
