@@ -20,15 +20,19 @@ The attention weights start from a sample: a stretch of at most
 training texts with the smallest hashes.  From there every scan partition fits
 them on every window of its training texts, once each, and the results are
 averaged: an embedding by its uses in the partition, the rest by windows.  So
-steps grow with the corpus.  Classes come from sums over all neighbouring ids,
+steps grow with the corpus.  The weight of the unigram in the interpolation is
+estimated on the sample, with every count less by one.  Classes come from sums over all neighbouring ids,
 and the ids with embeddings of their own from counts, both of all training texts.
 
 Plan: word counts fold within scan partitions and are summed by hash; sums of
 neighbours and weights fold there too and are summed by slots of rows.  Texts
 are then dealt into blocks of about ``BLOCK_BYTES``; a block asks for the counts
 of its distinct words by a join, so a frequent word is one row a block, and
-meets its texts again in a co-group of bounded size.  Words are compared by
-64-bit hashes.
+meets its texts again in a co-group.  Blocks are dealt by hashes of id and text, so
+neither null ids nor copies of a text fill one; only rows repeated as a whole, id and
+text, share one.  Words are compared by 64-bit hashes: among V distinct words some
+two meet with probability V * V / 2**65 (3e-4 for a hundred million), and then count
+as one.
 
 Edge cases: null and empty texts are one end (the score of the end alone);
 null ids are in the training part; rows repeated as a whole are counted and
@@ -59,7 +63,7 @@ STEPS, EPOCHS, BATCH = 1600, 4, 64  # of the start: at most so many steps, or pa
 POOL, POOL_BATCH, RATE = 8192, 256, 0.006  # windows that are mixed, windows a step, and the rate of the steps over all texts
 SLOTS, SPREAD = 64, 24  # parts in which tables of rows are summed; width of projected neighbours
 ALPHA = 0.1
-SHARE = 0.65  # of the unigram in the interpolation
+SHARE = 0.65  # of the unigram in the interpolation, where there is no training text to estimate it from
 
 
 # -- the model ---------------------------------------------------------------
@@ -524,7 +528,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum d
 ZERO = math.log10(ALPHA)
 
 
-def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: float):
+def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: float, share: float):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         lexicon = Lexicon(path, opens)
         asked, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
@@ -556,7 +560,7 @@ def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: f
                 log = np.concatenate([logs[flat], np.full(len(part), end)])
                 of = np.concatenate([text, np.arange(len(part))])
                 order = np.argsort(begin, kind="stable")
-                got = blend(log[order] - floor, np.add.reduceat(own, begin[order]))
+                got = blend(log[order] - floor, np.add.reduceat(own, begin[order]), share)
                 total.append(many + 1)
                 known.append(np.bincount(text, weights=logs[flat] > ZERO, minlength=len(part)).astype(np.int64) + (ends > 0))
                 sums.append(np.bincount(of, weights=log, minlength=len(part)))
@@ -567,13 +571,55 @@ def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: f
     return run
 
 
-def blend(unigram: np.ndarray, attention: np.ndarray) -> np.ndarray:
+def blend(unigram: np.ndarray, attention: np.ndarray, share: float) -> np.ndarray:
     """log10 of the interpolation of two probabilities given as log10."""
-    x, y = unigram + math.log10(SHARE), attention + math.log10(1 - SHARE)
+    x, y = unigram + math.log10(share), attention + math.log10(1 - share)
     high = np.maximum(x, y)
     return high + np.log10(10.0 ** (x - high) + 10.0 ** (y - high))
 
 
+def best_share(unigram: np.ndarray, attention: np.ndarray, steps: int = 40) -> float:
+    """The share of the unigram that makes the interpolation likeliest, by expectation and maximisation."""
+    share = SHARE
+    for _ in range(steps if len(unigram) else 0):
+        share = min(0.99, max(0.01, float(np.mean(10.0 ** (unigram + math.log10(share) - blend(unigram, attention, share))))))
+    return share
+
+
+def estimate_share(samples: list[str], words: DataFrame, path: str, opens: np.ndarray, model: Model, ids: np.ndarray, ends: int, total: int, distinct: int) -> float:
+    """The unigram's share, from the training texts that attention started from.
+
+    Both models have counted these words, so each count is less by one here: what a
+    word's other occurrences say of it.
+    """
+    lexicon = Lexicon(path, opens)
+    numbers = [lexicon.numbers(words_of(t)) for t in samples]
+    keys, sizes, x = lexicon.ids_of_new()
+    if not len(keys):
+        return SHARE
+    spark = words.sparkSession
+    asked = spark.createDataFrame(pa.table({"key": keys}))  # words of the sample, which is of bounded size
+    known = {r["key"]: r["n"] for r in words.join(F.broadcast(asked), "key").select("key", "n").collect()}
+    n = np.array([known.get(int(k), 1) for k in keys], np.float64)
+    floor = math.log10(total - 1 + ALPHA * (distinct + 1))
+    log = np.log10(n - 1 + ALPHA) - floor
+    start = np.cumsum(sizes) - sizes
+    model.set_counts(np.maximum(ids - 1, 0))
+    uni, own = [], []
+    for a in range(0, len(numbers), 64):
+        part = numbers[a : a + 64]
+        seqs = [np.concatenate([x[start[w] : start[w] + sizes[w]] for w in p] or [NONE]).astype(np.int32) for p in part]
+        got = model.score(seqs)
+        at = 0
+        for p, s in zip(part, seqs):
+            first = np.append(np.cumsum(sizes[p]) - sizes[p], len(s)).astype(np.int64)
+            own.append(np.add.reduceat(got[at : at + len(s) + 1], first))
+            uni.append(np.append(log[p], math.log10(max(0, ends - 1) + ALPHA) - floor))
+            at += len(s) + 1
+    model.set_counts(ids)
+    return best_share(np.concatenate(uni), np.concatenate(own))
+
+
 def _sample(train_rows: DataFrame, n: int) -> list[str]:
     """A stretch of each of the ``SAMPLE_DOCS`` rows with the smallest hashes.
 
@@ -612,15 +658,17 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     # attention weights: a start from a sample, then steps on all training texts
     sums = _sum_rows(train_rows.select("text").mapInArrow(_neighbour_rows(tokenizer, opens, ids), ROWS), vocabulary + 1, 2 * SPREAD, "float32")
     encode = encoder(tokenizer)
-    model = train([encode(joined(words_of(t))) for t in _sample(train_rows, ends)], vocabulary, counts=ids, sums=sums)
+    samples = _sample(train_rows, ends)
+    model = train([encode(joined(words_of(t))) for t in samples], vocabulary, counts=ids, sums=sums)
     model.w = fit_all(train_rows.select("text"), tokenizer, opens, model)
     model.set_counts(ids)
     n, v = (total or 0) + ends, distinct + (ends > 0)
     blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(max(parts, blocks), "block")
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(max(parts, blocks), "block")
     wanted = dealt.select("block", "text").mapInArrow(_wanted, "block long, key long").join(words, "key").select("block", "key", "n")
     floor = math.log10(n + ALPHA * (v + 1))
-    run = _score_block(tokenizer, model, opens, ends, floor)
+    share = estimate_share(samples, words, tokenizer, opens, model, ids, ends, n, v)
+    run = _score_block(tokenizer, model, opens, ends, floor, share)
     out = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")

@@ -90,6 +90,38 @@ def test_gradients():
         assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-6, name
 
 
+def test_scores_of_a_block_by_hand(model):
+    """The final score: word by word, the unigram and the product over the word's ids, interpolated."""
+    import pyarrow as pa
+
+    encode, floor, share, ends = encoder(PATH), 2.5, 0.4, 3
+    texts = ["the house of the river", "", "Zyzzyva zyzzyva umbrellas the " + "garden stone " * 30]
+    known = {b"the": 9, b"house": 2, b"stone": 4}
+    counts = pa.table({"key": [lm.word_hash(w) for w in known], "n": list(known.values())})
+    table_ = pa.table({"doc_id": [1, 2, 3], "held_out": [True, False, False], "text": texts})
+    got = lm._score_block(PATH, model, lm.opening(PATH, V), ends, floor, share)(table_, counts).to_pylist()
+    for r, text in zip(got, texts):
+        words = lm.words_of(text)
+        own = one_at_a_time(model, encode(lm.joined(words)).astype(np.int64))
+        total, at = 0.0, 0
+        for w in [*words, None]:
+            n = 1 if w is None else len(encode(lm.joined([w])))
+            c = ends if w is None else known.get(w, 0)
+            total += math.log10(share * (c + 0.1) / 10**floor + (1 - share) * 10 ** own[at : at + n].sum())
+            at += n
+        assert at == len(own) and abs(r["score"] - total) < 2e-3 * len(words) + 1e-3
+        assert (r["n_tokens"], r["n_known"]) == (len(words) + 1, sum(w in known for w in words) + 1)
+
+
+def test_the_best_share_is_found():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(-3, 1, 4000), rng.normal(-3, 1, 4000)
+    likely = lambda s: lm.blend(x, y, s).sum()
+    best = lm.best_share(x, y)
+    assert all(likely(best) >= likely(s) - 1e-3 for s in np.linspace(0.01, 0.99, 50))
+    assert lm.best_share(x + 3, y) > 0.95 and lm.best_share(x[:0], y[:0]) == lm.SHARE
+
+
 def test_all_training_texts_are_learned_from(spark):
     """Steps, classes and embeddings come from every text, not from a sample."""
     from pyspark.sql import functions as F
