@@ -60,6 +60,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each with as many underscores before it as it takes for ``df`` to have no such column."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import materialize, shared_folder, ship
+from corpusloom.llm.common import discard, materialize, shared_folder, ship
 
 VOLUME_BYTES = 64 << 20  # a file ends with the record that reaches this
 RANGE_ROWS = 200_000  # captures that one task merges
@@ -295,9 +295,15 @@ def merge_index(captures: DataFrame) -> DataFrame:
     return merged.join(before.select("part", "before"), "part").withColumn("capture_rank", F.coalesce("before", F.lit(0)) + F.col("at")).drop("part", "at", "before", "none")
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Write the archives to the shared folder, read them back, merge their index."""
+def round_trip(pages: DataFrame, min_bytes: int = 1000, path: str | None = None) -> DataFrame:
+    """Write the archives, read them back, merge their index.
+
+    Without a ``path`` they lie in the shared folder until they have been read.
+    """
     spark = pages.sparkSession
-    path = shared_folder(spark, "warc")
-    write_archives(pages, path, min_bytes)
-    return with_sizes(materialize(merge_index(read_archives(spark, path)))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "captured", "capture_rank", F.col("run").alias("archive"), F.col("offset").alias("archive_offset"))
+    place = path or shared_folder(spark, "warc")
+    write_archives(pages, place, min_bytes)
+    captures = read_archives(spark, place)
+    if path is None:
+        discard(spark, place)
+    return with_sizes(materialize(merge_index(captures))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "captured", "capture_rank", F.col("run").alias("archive"), F.col("offset").alias("archive_offset"))
