@@ -19,6 +19,8 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -37,30 +39,35 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """A function from a text to a numpy array of ids, kept per worker."""
-    if path not in _encoders:
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        exact = Tokenizer.from_file(path)
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
-        ranks = path[: -len(".json")] + ".tiktoken"
-        try:
-            import public_tokenizers
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        except (ImportError, FileNotFoundError):
-            fast = None
-
-        def encode(text: str) -> np.ndarray:
-            if fast is None or any(s in text for s in special):
-                return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-
-        _encoders[path] = encode
-    return _encoders[path]
+    """A function from a text to a numpy array of ids, kept per worker.
+
+    The tokenizer file itself is loaded with the first text that needs it.
+    """
+    if path in _encoders:
+        return _encoders[path]
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    exact = functools.cache(lambda: Tokenizer.from_file(path))
+    ranks = path[: -len(".json")] + ".tiktoken"
+    try:
+        import public_tokenizers
+
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    except (ImportError, FileNotFoundError):
+        fast = None
+
+    def encode(text: str) -> np.ndarray:
+        if fast is None or any(s in text for s in special):
+            return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+    _encoders[path] = encode
+    return encode
 
 
 def cut(n: int, width: int) -> list[tuple[int, int]]:
