@@ -58,7 +58,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -79,7 +79,7 @@ def counted(words: set[str], known: dict[str, list[str]] | None = None) -> set[s
         if got is None:
             got = beginnings(w)
             if known is not None:
-                if len(known) > 100_000:
+                if len(known) > 30_000:
                     known.clear()
                 known[w] = got
         seen.update(got)
@@ -241,7 +241,7 @@ class Grammar:
         if got is None:
             keys = beginnings(word)
             got = max([SEED.get(word, 0.0), *(self.arcs.get(k, 0.0) for k in keys)]), tuple(k for k in keys if k in self.watched)
-            if len(self._memo) > 200_000:
+            if len(self._memo) > 60_000:
                 self._memo.clear()
             self._memo[word] = got
         return got
@@ -312,7 +312,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             keys = counted(set(WORD.findall(text.as_py().lower())), known)
             sums[label].update(keys if n == 1 else dict.fromkeys(keys, 1 / n))
-            if len(sums[0]) + len(sums[1]) > 300_000:
+            if len(sums[0]) + len(sums[1]) > 150_000:
                 yield flush()
     yield flush()
 
@@ -423,8 +423,8 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "do
     def run(batches):
         grammar = Grammar(arcs)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [a + b * math.log1p(grammar.raw(t or "")[0]) < 0 for t in texts]
+            # a text at a time: a batch of long ones is large
+            keep = [a + b * math.log1p(grammar.raw(t.as_py() or "")[0]) < 0 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
