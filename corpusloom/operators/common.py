@@ -65,6 +65,6 @@ def kept(df: DataFrame) -> DataFrame:
 def settled(top: DataFrame) -> DataFrame:
     """The rows of a top-k result as a table of their own: what reads it several times doesn't search again.
 
-    Only for results that a limit bounds.
+    Only for results that a limit bounds, and for the terms of stated queries.
     """
     return top.sparkSession.createDataFrame(top.collect(), top.schema)

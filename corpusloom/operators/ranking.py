@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.constants import ALPHA, BM25_B, BM25_K1, DIMENSION, MAX_CANDIDATES, MIN_COOC, TITLE_WEIGHT, VECTOR_WEIGHT
 from corpusloom.functions.text import blank, tokenize
-from corpusloom.operators.common import kept, top_k
+from corpusloom.operators.common import kept, settled, top_k
 from corpusloom.operators.index import bucket_of, candidates, document_frequency, matches, pair_counts
-from corpusloom.operators.store import Store, build
+from corpusloom.operators.store import Store, build, idf
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -116,27 +116,24 @@ def gvsm(index: Store | DataFrame, terms: DataFrame, method: str = "cosine", lea
     """``query_id, doc_id, sem``: correlation-aware similarity, not bounded by 1.
 
     Of all documents, or of the ids in ``of`` alone.  Weights of documents are made
-    from their counts where they are read; norm and products come from one join.
+    from their counts where they are read; their norms are in the index.
     """
     store = _store(index)
     words = asked(terms) if words is None else words
-    idf = F.log((F.lit(store.n_filled) + 1) / (F.col("df_body") + 1)) + 1
     top = terms.groupBy("query_id").agg(F.max("qtf").alias("top"))
     known = store.terms.filter(F.col("term").isin(words) & (F.col("df_body") > 0))
-    q = kept(terms.join(F.broadcast(known), "term").join(top, "query_id").select("query_id", "term", (F.col("qtf") / F.col("top") * idf).alias("w")))
+    q = settled(terms.join(F.broadcast(known), "term").join(top, "query_id").select("query_id", "term", (F.col("qtf") / F.col("top") * idf(store.n_filled)).alias("w")))  # the terms of the stated queries
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nq"))
-    x = kept(spread(store, q, words, method, least))
+    # one row of x for each term, with what a document's weight of it needs: its terms meet it once, whatever the number of queries
+    x = spread(store, q, words, method, least).groupBy("term").agg(F.collect_list(F.struct("query_id", "x")).alias("xs"))
+    x = kept(x.join(store.terms.select("term", idf(store.n_filled).alias("idf")), "term"))
     rows = store.forward.select("doc_id", "terms", "tf", "top")
     if of is not None:
         rows = rows.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
-    w = rows.select("doc_id", "top", F.inline(F.arrays_zip("terms", "tf"))).join(store.terms.select(F.col("term").alias("terms"), "df_body"), "terms")
-    w = w.select("doc_id", F.col("terms").alias("term"), (F.col("tf") / F.col("top") * idf).alias("w"))
-    # one map of x by query for each term: a document's terms meet it once, whatever the number of queries
-    by = x.groupBy("term").agg(F.collect_list(F.struct("query_id", "x")).alias("xs"))
-    met = w.join(by, "term", "left")
-    nd = met.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    dot = met.filter("xs IS NOT NULL").select("doc_id", "w", F.inline("xs")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    return dot.join(nd, "doc_id").join(F.broadcast(norm), "query_id").filter("nd > 0 AND nq > 0").select("query_id", "doc_id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("sem"))
+    met = rows.select("doc_id", "top", F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf"))).join(x, "term")
+    met = met.select("doc_id", (F.col("tf") / F.col("top") * F.col("idf")).alias("w"), F.inline("xs"))
+    dot = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    return dot.join(store.norms, "doc_id").join(F.broadcast(norm), "query_id").filter("nq > 0").select("query_id", "doc_id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("sem"))
 
 
 # -- hashed vectors -----------------------------------------------------------
@@ -252,9 +249,9 @@ def search(index: Store | DataFrame, queries: DataFrame, top_k: int = 20, least:
     ``weights`` those of :func:`fuse`.  Records without an index are indexed first.
     """
     store = _store(index)
-    terms = kept(query_terms(queries))
+    terms = settled(query_terms(queries))  # of the stated queries
     words = asked(terms)
-    sizes = kept(queries.select("query_id", F.size(F.array_distinct(tokenize("query"))).alias("k"), F.size(tokenize("query")).alias("k_all"), F.get(tokenize("query"), F.lit(0)).alias("t")))
+    sizes = settled(queries.select("query_id", F.size(F.array_distinct(tokenize("query"))).alias("k"), F.size(tokenize("query")).alias("k_all"), F.get(tokenize("query"), F.lit(0)).alias("t")))
     needed = F.when(F.col("k") <= 1, 1).otherwise(2) if least is None else F.greatest(F.lit(1), F.least(F.lit(least), F.greatest("k", F.lit(1))))
     limit = sizes.select("query_id", needed.alias("m"))
     post = store.of_terms(words)

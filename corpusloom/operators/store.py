@@ -6,6 +6,7 @@
   and sorted, so a query's terms are found by the statistics of row groups, and a
   term in a third of all records is spread over files.
 * ``terms``: ``term, df, df_body``, sorted.
+* ``norms``: ``doc_id, nd``, the length of a record's weighted term vector.
 * ``vectors``: ``idx, doc_id, v`` of the hashed unit vectors, dealt and sorted likewise.
 * ``stats``: one row: counts, mean length, and the fingerprint of the records.
 * ``pairs`` (only where asked for): ``term, other, n``, both ways, of the pairs of terms
@@ -25,8 +26,8 @@ from corpusloom.functions.text import blank, strip, tokenize
 from corpusloom.operators.common import shared_folder
 from corpusloom.operators.index import bucket_of, counted, pair_counts
 
-VERSION = 3
-TABLES = ("forward", "postings", "terms", "vectors", "stats")
+VERSION = 4
+TABLES = ("forward", "postings", "terms", "vectors", "norms", "stats")
 
 
 def fingerprint(records: DataFrame) -> str:
@@ -42,7 +43,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        self.forward, self.postings, self.terms, self.vectors = (read(n) for n in TABLES[:-1])
+        self.forward, self.postings, self.terms, self.vectors, self.norms = (read(n) for n in TABLES[:-1])
         s = read("stats").first()
         self.n_docs, self.avgdl, self.n_filled, self.print = s["n_docs"], s["avgdl"], s["n_filled"], s["print"]
         self.pairs, self.least = None, None
@@ -75,6 +76,11 @@ class Store:
         return self
 
 
+def idf(n_filled: int, df="df_body"):
+    """Inverse document frequency of the correlation-aware space, over records that have tokens."""
+    return F.log((F.lit(n_filled) + 1) / (F.col(df) + 1)) + 1
+
+
 def build(records: DataFrame, path: str | None = None) -> Store:
     """Write the index of ``records(doc_id, title, text, url)`` below ``path``, or in the shared folder."""
     spark = records.sparkSession
@@ -96,14 +102,18 @@ def build(records: DataFrame, path: str | None = None) -> Store:
     save(post.sortWithinPartitions("term", "doc_id"), "postings")
     post = spark.read.parquet(f"{path}/postings")
     save(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum((F.col("tf_body") > 0).cast("long")).alias("df_body")).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+    sums = forward.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("dl") > 0).cast("long")), F.lit(0)).alias("n_filled")).first()
+    w = F.col("tf") / F.col("top") * idf(sums["n_filled"])
+    weighted = forward.select("doc_id", "top", F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf"))).join(spark.read.parquet(f"{path}/terms").select("term", "df_body"), "term")
+    save(weighted.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("nd")).filter("nd > 0"), "norms")
     spaced = forward.filter("recorded").select("doc_id", F.inline(F.concat(field("terms", "tf", 0), field("head_terms", "head_tf", 1), F.coalesce(field("link_terms", "link_tf", 2), F.array()))))
     idx, sign = bucket_of(F.col("term"))
     raw = spaced.select("doc_id", idx.alias("idx"), (sign * F.col("n")).alias("s")).repartition("doc_id").groupBy("doc_id", "idx").agg(F.sum("s").alias("v")).filter("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")).cast("double"))  # of at most as many rows as places
     unit = raw.select("idx", "doc_id", (F.col("v") / norm).alias("v"))
     save(unit.repartitionByRange("idx", "doc_id").sortWithinPartitions("idx", "doc_id"), "vectors")
-    sums = forward.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.sum((F.col("dl") > 0).cast("long")), F.lit(0)).alias("n_filled"))
-    save(sums.select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"), "n_filled", F.lit(fingerprint(records)).alias("print")).coalesce(1), "stats")
+    row = [(sums["n_docs"], sums["total"] / sums["n_docs"], sums["n_filled"], fingerprint(records))]
+    save(spark.createDataFrame(row, "n_docs long, avgdl double, n_filled long, print string").coalesce(1), "stats")
     return Store(spark, path)
 
 

@@ -34,11 +34,17 @@ def one_query(spark: SparkSession, text: str = Q3) -> DataFrame:
     return spark.createDataFrame([(1, text)], "query_id int, query string")
 
 
+_OPEN: dict[tuple[str, str], Store] = {}
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> Store:
-    """The index over ``documents``, built by the first query that asks for it.
+    """The index over ``documents``, built or checked by the first query of a session that asks for it.
 
     It lies in the shared folder under a name from the input's; its fingerprint
-    tells whether it is of the records that are there now.
+    tells whether it is of the records that are there.
     """
-    name = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
-    return open_or_build(corpus(spark, sf_dir), shared_folder(spark, f"index-{name}"))
+    key = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    if key not in _OPEN:
+        name = hashlib.sha256(key[1].encode()).hexdigest()[:16]
+        _OPEN[key] = open_or_build(corpus(spark, sf_dir), shared_folder(spark, f"index-{name}"))
+    return _OPEN[key]
