@@ -51,7 +51,7 @@ BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SCREEN = 0.55
 CHUNK = 384  # texts of a side that a block holds
-SIGNS = 512  # signatures of a side that a block holds
+SIGNS = 256  # signatures of a side that a block holds
 
 
 class _Words(dict):
