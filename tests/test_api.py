@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.__main__ import main
 from corpusloom.api import Engine
 from corpusloom.operators import crawl, index, ranking
-from corpusloom.plans.kit import one_query
+from corpusloom.plans.kit import indexed, one_query
 from corpusloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def test_defaults_are_the_operators(spark):
     c = tables.corpus(spark, SF)
     q = "tion ther thon"
     key = lambda df: [(r["doc_id"], round(r["score"], 9)) for r in rows(df.orderBy("rank"))]
-    assert key(Engine(c).search(q)) == key(ranking.search(c, one_query(spark, q), 20))
+    assert key(Engine(c).search(q)) == key(ranking.search(indexed(spark, SF), one_query(spark, q), 20))
     assert len(rows(Engine(c).search([q, "the house"], top_k=3).groupBy("query_id").count())) <= 2
     assert key(Engine(c, use_cosine=False, alpha=0.2).search(q)) != key(Engine(c).search(q))
     assert Engine(c).serve(q, 5).count() == 5

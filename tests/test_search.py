@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from corpusloom.functions.constants import STOP
-from corpusloom.operators import index, rag, ranking, serving
+from corpusloom.operators import index, rag, ranking, serving, store
 from corpusloom.plans.kit import one_query
 from corpusloom.sources.tables import corpus
 
@@ -23,6 +23,16 @@ def table(spark):
     return df.withColumn("domain", F.lit("a.com")).withColumn("source_type", F.lit("webpage"))
 
 
+_BUILT = {}
+
+
+def built(spark):
+    """The index of the small table, made once."""
+    if spark not in _BUILT:
+        _BUILT[spark] = store.build(table(spark))
+    return _BUILT[spark]
+
+
 def words(s):
     return [w.strip(".") for w in s.lower().split() if len(w.strip(".")) > 2 and w.strip(".") not in STOP["en"]]
 
@@ -41,7 +51,7 @@ def test_bm25(spark):
         if s:
             want[i] = round(s, 9)
     terms = ranking.query_terms(one_query(spark, " ".join(q)))
-    assert {r["doc_id"]: round(r["lex"], 9) for r in ranking.bm25(table(spark), terms).collect()} == want
+    assert {r["doc_id"]: round(r["lex"], 9) for r in ranking.bm25(built(spark), terms).collect()} == want
 
 
 def test_gvsm_without_correlations_is_cosine(spark):
@@ -49,7 +59,7 @@ def test_gvsm_without_correlations_is_cosine(spark):
     terms = ranking.query_terms(one_query(spark, "apple date"))
     w = {(r["doc_id"], r["term"]): r["w"] for r in ranking.document_weights(post).collect()}
     q = {r["term"]: r["w"] for r in ranking.query_weights(post, terms).collect()}
-    got = {r["doc_id"]: r["sem"] for r in ranking.gvsm(table(spark), terms, least=99).collect()}
+    got = {r["doc_id"]: r["sem"] for r in ranking.gvsm(built(spark), terms, least=99).collect()}
     for d in {k[0] for k in w}:
         mine = {t: v for (i, t), v in w.items() if i == d}
         dot = sum(q.get(t, 0) * v for t, v in mine.items())
@@ -84,23 +94,23 @@ def test_hashing(spark):
 
 
 def test_search(spark):
-    none = ranking.search(table(spark), one_query(spark, "zzzz"), 5).collect()
+    none = ranking.search(built(spark), one_query(spark, "zzzz"), 5).collect()
     assert none == []  # one unknown token keeps no vector hit
-    got = ranking.search(table(spark), one_query(spark, "apple cherry"), 10).collect()
+    got = ranking.search(built(spark), one_query(spark, "apple cherry"), 10).collect()
     assert [r["doc_id"] for r in got][:1] and 5 not in {r["doc_id"] for r in got}
     assert all(-1e-9 <= r["score"] <= 1 + 1e-9 for r in got)
-    lexical = ranking.search(table(spark), one_query(spark, "apple cherry"), 10, vectors=False).collect()
+    lexical = ranking.search(built(spark), one_query(spark, "apple cherry"), 10, vectors=False).collect()
     assert {r["doc_id"] for r in lexical} == {4, 6} and all(r["score"] <= 0.25 + 1e-9 for r in lexical)
-    single = ranking.search(table(spark), one_query(spark, "apple"), 10).collect()
+    single = ranking.search(built(spark), one_query(spark, "apple"), 10).collect()
     assert {r["doc_id"] for r in single} == {1, 3, 4, 6}
 
 
 def test_batch_is_one_by_one(spark):
     both = spark.createDataFrame([(1, "apple cherry"), (2, "banana fig")], "query_id int, query string")
     rows = lambda df: [(r["doc_id"], round(r["score"], 9)) for r in df.orderBy("rank").collect()]
-    batch = ranking.search(table(spark), both, 10)
+    batch = ranking.search(built(spark), both, 10)
     for k, text in ((1, "apple cherry"), (2, "banana fig")):
-        assert rows(batch.filter(F.col("query_id") == k)) == rows(ranking.search(table(spark), one_query(spark, text), 10))
+        assert rows(batch.filter(F.col("query_id") == k)) == rows(ranking.search(built(spark), one_query(spark, text), 10))
 
 
 def test_gate(spark):

@@ -4,11 +4,11 @@ import random
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_search import DOCS, table
+from test_search import DOCS, built, table
 
 from corpusloom.functions import text
 from corpusloom.operators import index, ranking, store
-from corpusloom.plans.kit import one_query
+from corpusloom.plans.kit import indexed, one_query
 from corpusloom.sources.tables import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def test_counts_inside_a_row_are_counts(spark):
 
 
 def test_tables(spark):
-    s = store.build(corpus(spark, SF))
+    s = indexed(spark, SF)
     body = {(r["doc_id"], r["term"]): r["tf"] for r in index.postings(corpus(spark, SF)).collect()}
     assert {(r["doc_id"], r["term"]): r["tf_body"] for r in s.postings.filter("tf_body > 0").collect()} == body
     both = {(r["doc_id"], r["term"]): (r["tf_body"], r["tf_title"]) for r in index.both_fields(corpus(spark, SF)).collect()}
@@ -46,7 +46,7 @@ def test_an_index_is_taken_while_it_fits(spark, tmp_path):
 
 
 def test_saved_pairs_change_no_score(spark, tmp_path):
-    s = store.build(corpus(spark, SF))
+    s = indexed(spark, SF)
     terms = ranking.query_terms(one_query(spark))
     score = lambda: {r["doc_id"]: round(r["sem"], 9) for r in ranking.gvsm(s, terms, least=20).collect()}
     plain = score()
@@ -57,10 +57,11 @@ def test_saved_pairs_change_no_score(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pairs/head")).inputFiles() == one
     s.with_pairs(str(tmp_path / "pairs"), 30)
     assert s.pairs.agg(F.min("n")).first()[0] >= 30
+    s.pairs = None
 
 
 def test_a_search_reads_no_text(spark):
-    s = store.build(table(spark))
+    s = built(spark)
     plan = ranking.search(s, one_query(spark, "apple cherry"), 10)._jdf.queryExecution().toString()
     assert "text" not in plan.replace("TextFileFormat", "") and "regexp_extract_all" not in plan
 
@@ -79,7 +80,7 @@ def test_lists_of_equal_length_are_ordered_without_gathering(spark):
 
 
 def test_nearest_fills_with_the_smallest_ids(spark):
-    s = store.build(table(spark))
+    s = built(spark)
     q = ranking.hashed(one_query(spark, "fig date").select("query_id", text.tokenize("query").alias("terms")), "query_id")
     got = [r["doc_id"] for r in ranking.nearest(s, q, 4).orderBy("pos").collect()]
     every = [r["doc_id"] for r in ranking.nearest(s, q, 100).orderBy("pos").collect()]
