@@ -418,7 +418,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc
 def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """The rows of ``docs`` whose text isn't toxic, with all their columns."""
     arcs, (a, b) = fit(docs, labels, folds, id_col, text_col, label_col, **options)
-    schema, at = docs.schema, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may hold dots and quotes, which the map can't read
 
     def run(batches):
         grammar = Grammar(arcs)
@@ -427,4 +428,4 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "do
             keep = [a + b * math.log1p(grammar.raw(t.as_py() or "")[0]) < 0 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,7 +2,7 @@
 
 import zlib
 
-from cases import ROWS, empty, labels, read, table
+from cases import ROWS, empty, labels, read, table, untouched
 
 from corpusloom.llm import toxicity as tox
 from corpusloom.llm.queries import QUERIES
@@ -141,6 +141,6 @@ def test_edges(spark):
     assert read(tox.score(empty(spark), labels(spark))) == [] and read(tox.score(empty(spark), labels(spark).limit(0))) == []
     docs = table(spark)
     kept = tox.reject(docs, labels(spark))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and untouched(kept)
     ids = [r["doc_id"] for r in read(kept)]
     assert 15 not in ids and len(ids) == len(ROWS) - 1
