@@ -24,15 +24,17 @@ steps grow with the corpus.  The weight of the unigram in the interpolation is
 estimated on the sample, with every count less by one.  Classes come from sums over all neighbouring ids,
 and the ids with embeddings of their own from counts, both of all training texts.
 
-Plan: word counts fold within scan partitions and are summed by hash; sums of
-neighbours and weights fold there too and are summed by slots of rows.  Texts
-are then dealt into blocks of about ``BLOCK_BYTES``; a block asks for the counts
-of its distinct words by a join, so a frequent word is one row a block, and
-meets its texts again in a co-group.  Blocks are dealt by hashes of id and text, so
-neither null ids nor copies of a text fill one; only rows repeated as a whole, id and
-text, share one.  Words are compared by 64-bit hashes: among V distinct words some
-two meet with probability V * V / 2**65 (3e-4 for a hundred million), and then count
-as one.
+Plan: one pass over the training texts folds word counts within scan partitions, to be
+summed by hash, and writes the texts' ids in compressed files, which all later steps
+of the training read, and which are deleted after them.  Sums of neighbours and
+weights fold in partitions too and are summed by slots of rows.  Texts are then dealt
+into blocks of about ``BLOCK_BYTES``; a block asks for the counts of its distinct
+words by a join, so a frequent word is one row a block, and meets its texts again in
+a co-group.  Rows go to blocks by hashes of id and text, and each block has a
+partition of its own, so neither null ids nor copies of a text fill one; only rows
+repeated as a whole, id and text, share one.  Words are compared by 64-bit hashes:
+among V distinct words some two meet with probability V * V / 2**65 (3e-4 for a
+hundred million), and then count as one.
 
 Edge cases: null and empty texts are one end (the score of the end alone);
 null ids are in the training part; rows repeated as a whole are counted and
@@ -43,23 +45,24 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, ship, text_of
+from corpusloom.llm.common import discard, materialize, shared_folder, ship, text_of
 from corpusloom.llm.packing import encoder
 
 WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 128
 KNOWN_IDS = 4096  # ids with an embedding of their own; others share one a class
 SAMPLE_DOCS, SAMPLE_CHARS = 1600, 2000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20  # of texts that are scored, and split into words, together
 STEPS, EPOCHS, BATCH = 1600, 4, 64  # of the start: at most so many steps, or passes over a smaller sample
+PART, STACK = 64, 16  # windows whose gradients are computed together, and multiplied as one matrix
 POOL, POOL_BATCH, RATE = 8192, 256, 0.006  # windows that are mixed, windows a step, and the rate of the steps over all texts
 SLOTS, SPREAD = 64, 24  # parts in which tables of rows are summed; width of projected neighbours
 ALPHA = 0.1
@@ -82,47 +85,72 @@ class Model:
 
     def score(self, ids: list[np.ndarray], chunk: int = 64) -> np.ndarray:
         """log10 probabilities of all ids and ends of the sequences, one after the other."""
-        start, pad = self.inputs.max() + 1, self.inputs.max() + 2
-        n = np.array([len(x) + 1 for x in ids])
-        rows = -(-n // STRIDE)
-        back = WINDOW - STRIDE
-        # one flat input row: pads, start, ids of each text, then what the last window needs
-        width = back + rows * STRIDE
-        first = np.cumsum(width) - width
-        flat = np.full(int(width.sum()), pad, np.int32)
-        goal = np.full(int(width.sum()), -1, np.int32)
-        for k, x in enumerate(ids):
-            a = first[k] + back
-            flat[a] = start
-            flat[a + 1 : a + len(x) + 1] = self.inputs[x]
-            goal[a : a + len(x)] = x
-            goal[a + len(x)] = self.vocabulary
-        at = np.repeat(first, rows) + (np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)) * STRIDE
-        out = np.zeros(len(flat))
-        w, mask = self.w, MASK
-        table, ones, places = w["E"], np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32)
+        return self.score_flat(np.concatenate([*ids, NONE]).astype(np.int64), np.array([len(x) for x in ids], np.int64), chunk)
+
+    def score_flat(self, x: np.ndarray, sizes: np.ndarray, chunk: int = 64) -> np.ndarray:
+        """The same for sequences of these sizes that stand one after the other in ``x``."""
+        flat, goal, at = laid_out(x, sizes, self.inputs, self.vocabulary)
+        every = np.lib.stride_tricks.sliding_window_view
+        rows, target = every(flat, WINDOW), every(goal, STRIDE)[at + WINDOW - STRIDE].ravel()
+        at = np.append(at, np.zeros(-len(at) % STACK, np.int64))  # whole stacks; what is added isn't told
+        w, back, d, chunk = self.w, WINDOW - STRIDE, WIDTH, -(-chunk // STACK) * STACK
+        joint, last, safe = np.concatenate([w["KV"], w["Q"], w["A"]], 1), np.vstack([w["C"], w["c"]]), _bounded(w)
+        ones, places, bias = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), np.tile(w["b"], STRIDE)
+        space, told, row = np.empty((chunk * STRIDE, CLASSES), np.float32), np.ones((chunk * STRIDE, d + 1), np.float32), np.arange(chunk * STRIDE)
+        own, total = np.empty(len(at) * STRIDE, np.float32), np.empty(len(at) * STRIDE, np.float32)
+        classes = np.append(self.classes, -1)[np.append(target, np.full(len(own) - len(target), -1))]
         for a in range(0, len(at), chunk):
-            z = at[a : a + chunk, None] + np.arange(WINDOW)
-            x = table[flat[z]] + w["P"]
-            n_w = len(z)
-            kv = x.reshape(-1, WIDTH) @ w["KV"]
-            kv = kv.reshape(n_w, WINDOW, 2 * WIDTH)
-            xs = np.ascontiguousarray(x[:, back:])
-            q = (xs.reshape(-1, WIDTH) @ w["Q"]).reshape(n_w, STRIDE, WIDTH)
-            s = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
-            np.minimum(s, 15, out=s)
+            e = w["E"].take(rows[at[a : a + chunk]], axis=0)
+            e += w["P"]
+            m = len(e)
+            r = m // STACK
+            z = np.matmul(e.reshape(r, -1, d), joint).reshape(m, WINDOW, 4 * d)
+            s = np.matmul(z[:, back:, 2 * d : 3 * d], np.ascontiguousarray(z[:, :, :d].transpose(0, 2, 1)))
+            if s.max() > 15:
+                np.minimum(s, 15, out=s)
             np.exp(s, out=s)
-            s *= mask
-            h = np.matmul(s, kv[:, :, WIDTH:]) / ((s @ ones)[..., None] + 1e-30)
-            y = np.tanh(xs.reshape(-1, WIDTH) @ w["A"] + h.reshape(-1, WIDTH) @ w["B"] + w["b"])
-            target = goal[z[:, back:]].ravel()
-            real = target >= 0
-            y, target = y[real], target[real]
-            logits = y @ w["C"] + w["c"]
-            own = logits[np.arange(len(target)), self.classes[target]]
-            got = own - np.log(np.exp(logits) @ places) + self.emission[target]
-            out[z[:, back:].ravel()[real]] = got
-        return out[goal >= 0] / math.log(10)
+            s *= MASK
+            h = np.matmul(s, z[:, :, d : 2 * d])
+            h *= (1 / (s.reshape(-1, WINDOW) @ ones + np.float32(1e-30))).reshape(m, STRIDE, 1)
+            h = np.matmul(h.reshape(r, -1, d), w["B"]).reshape(m, STRIDE, d)
+            h += z[:, back:, 3 * d :]
+            h.reshape(m, -1)[...] += bias
+            y, logits = told[: m * STRIDE], space[: m * STRIDE]
+            np.tanh(h.reshape(-1, d), out=y[:, :d])
+            np.matmul(y.reshape(r, -1, d + 1), last, out=logits.reshape(r, -1, CLASSES))
+            if not safe:
+                logits -= logits.max(1, keepdims=True)
+            here = slice(a * STRIDE, (a + m) * STRIDE)
+            own[here] = logits[row[: m * STRIDE], classes[here]]
+            np.exp(logits, out=logits)
+            total[here] = logits @ places
+        real = np.flatnonzero(target >= 0)
+        got = own[real] - np.log(total[real]) + self.emission[target[real]]
+        return got.astype(np.float64) / math.log(10)
+
+
+def _bounded(p: dict[str, np.ndarray]) -> bool:
+    """Whether no output can be so large that its exponential leaves the single precision."""
+    return float((np.abs(p["C"]).sum(0) + np.abs(p["c"])).max()) < 80
+
+
+def laid_out(x: np.ndarray, sizes: np.ndarray, inputs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input ids and ids to tell (-1: none) in one row, and where its windows begin.
+
+    Each sequence is pads, the start, its ids, then what its last window needs.
+    """
+    start, pad, back = int(inputs.max()) + 1, int(inputs.max()) + 2, WINDOW - STRIDE
+    rows = sizes // STRIDE + 1
+    width = back + rows * STRIDE
+    first = np.cumsum(width) - width
+    flat, goal = np.full(int(width.sum()), pad, np.int32), np.full(int(width.sum()), -1, np.int32)
+    place = np.arange(len(x)) + np.repeat(first + back - (np.cumsum(sizes) - sizes), sizes)
+    goal[place] = x
+    place += 1
+    flat[place] = inputs[x]
+    flat[first + back] = start
+    goal[first + back + sizes] = end
+    return flat, goal, np.repeat(first - (np.cumsum(rows) - rows) * STRIDE, rows) + np.arange(int(rows.sum())) * STRIDE
 
 
 MASK = np.tril(np.ones((STRIDE, WINDOW), np.float32), WINDOW - STRIDE)
@@ -135,13 +163,19 @@ def projection(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 def neighbours(flat: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Add to the rows of ``out`` the projected ids before and after each id of ``flat``."""
-    pairs, n = np.unique(flat[:-1].astype(np.int64) * len(basis) + flat[1:], return_counts=True)
-    a, b = pairs // len(basis), pairs % len(basis)
-    for own, other, half in ((b, a, slice(0, SPREAD)), (a, b, slice(SPREAD, None))):
-        order = np.argsort(own, kind="stable")
-        ids, first = np.unique(own[order], return_index=True)
-        if len(ids):
-            out[ids, half] += np.add.reduceat(basis[other[order]] * n[order, None].astype(np.float32), first)
+    height, kind = len(basis), np.uint32 if len(basis) <= 1 << 16 else np.int64  # narrow pairs sort faster
+    flat = flat.astype(kind)
+    for own, other, half in ((flat[1:], flat[:-1], slice(0, SPREAD)), (flat[:-1], flat[1:], slice(SPREAD, None))):
+        pairs = np.sort(own * kind(height) + other)
+        if not len(pairs):
+            return
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        n = np.diff(np.append(first, len(pairs))).astype(np.float32)
+        a, b = np.divmod(pairs[first], kind(height))
+        rows = basis[b]
+        rows *= n[:, None]
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        out[a[first], half] += np.add.reduceat(rows, first)
 
 
 def group_ids(sums: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -166,38 +200,43 @@ def group_ids(sums: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray
     return classes.astype(np.int64)
 
 
-def windows(ids: list[np.ndarray], inputs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Input ids and classes to tell of all windows of some sequences."""
-    start, pad, back = inputs.max() + 1, inputs.max() + 2, WINDOW - STRIDE
-    rows = np.array([len(x) // STRIDE + 1 for x in ids])
-    width = back + rows * STRIDE
-    first = np.cumsum(width) - width
-    flat, goal = np.full(int(width.sum()), pad, np.int64), np.full(int(width.sum()), -1, np.int64)
-    for a, x in zip(first + back, ids):
-        flat[a] = start
-        flat[a + 1 : a + len(x) + 1] = inputs[x]
-        goal[a : a + len(x)] = classes[x]
-        goal[a + len(x)] = classes[-1]
-    at = np.repeat(first, rows) + (np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)) * STRIDE
-    z = at[:, None] + np.arange(WINDOW)
-    return flat[z], goal[z[:, back:]]
+def windows(x: np.ndarray, sizes: np.ndarray, inputs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids and classes to tell of all windows of sequences that stand one after the other in ``x``."""
+    flat, goal, at = laid_out(x, sizes, inputs, len(classes) - 1)
+    told = np.append(classes, -1).astype(np.int16)[goal]  # -1 is the last place, and stays -1
+    every = np.lib.stride_tricks.sliding_window_view
+    return every(flat, WINDOW)[at], every(told, STRIDE)[at + WINDOW - STRIDE]
 
 
 class Adam:
-    """Steps on the weights ``p``, in place."""
+    """Steps on the weights ``p``, which become parts of one vector."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.steps = p, 0
-        self.m1 = {k: np.zeros_like(v) for k, v in p.items()}
-        self.m2 = {k: np.zeros_like(v) for k, v in p.items()}
+        self.all = np.concatenate([v.ravel() for v in p.values()])
+        self.m1, self.m2, self.g = (np.zeros_like(self.all) for _ in range(3))
+        self.parts, at = {}, 0
+        for k, v in p.items():
+            p[k], self.parts[k] = (x[at : at + v.size].reshape(v.shape) for x in (self.all, self.g))
+            at += v.size
 
     def step(self, xs: np.ndarray, ys: np.ndarray, rate: float) -> None:
         self.steps += 1
-        g = _gradients(self.p, xs, ys)
-        for k, v in self.p.items():
-            self.m1[k] += 0.1 * (g[k] - self.m1[k])
-            self.m2[k] += 0.01 * (g[k] ** 2 - self.m2[k])
-            v -= (rate * (self.m1[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.m2[k] / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
+        for k, v in _gradients(self.p, xs, ys).items():
+            self.parts[k][...] = v
+        g, d = self.g, self.g - self.m1
+        d *= 0.1
+        self.m1 += d
+        g *= g
+        g -= self.m2
+        g *= 0.01
+        self.m2 += g
+        np.sqrt(self.m2, out=d)
+        d *= 1 / math.sqrt(1 - 0.99**self.steps)
+        d += 1e-6
+        np.divide(self.m1, d, out=d)
+        d *= rate / (1 - 0.9**self.steps)
+        self.all -= d
 
 
 def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed: int = 5, counts: np.ndarray | None = None, sums: np.ndarray | None = None) -> Model:
@@ -225,7 +264,7 @@ def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed:
     p = {"E": r(pad + 1, d), "P": r(WINDOW, d) * 0.3, "Q": r(d, d), "KV": r(d, 2 * d), "A": r(d, d), "B": r(d, d), "b": np.zeros(d, np.float32), "C": r(d, CLASSES), "c": np.zeros(CLASSES, np.float32)}
     p["c"] = np.log(np.bincount(classes[np.concatenate(samples)], minlength=CLASSES) + 1.0).astype(np.float32)
     p["c"] -= p["c"].max()
-    xs, ys = windows(samples, inputs, classes)
+    xs, ys = windows(np.concatenate(samples), np.array([len(x) for x in samples]), inputs, classes)
     steps = min(steps, 50 + EPOCHS * len(xs) // BATCH)
     adam = Adam(p)
     for step in range(1, steps + 1):
@@ -235,58 +274,88 @@ def train(samples: list[np.ndarray], vocabulary: int, steps: int = STEPS, seed:
 
 
 def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the classes in ``goal`` (negative: none), in the precision of the weights."""
-    d, back = WIDTH, WINDOW - STRIDE
+    """Gradients of the mean loss over the classes in ``goal`` (negative: none), in the precision of the weights.
+
+    ``PART`` windows at a time, so that their outputs stay in the processor's cache;
+    products go by stacks of ``STACK`` windows, which the matrix library multiplies
+    without packing.  Exponentials of the output layer aren't divided by their sums,
+    as what they are multiplied with is narrower.
+    """
+    d, back, kind = WIDTH, WINDOW - STRIDE, p["C"].dtype
+    count, safe = max(1, int(np.count_nonzero(goal >= 0))), _bounded(p)
+    if len(x_ids) % STACK:  # whole stacks; what is added tells nothing
+        more = ((0, -len(x_ids) % STACK), (0, 0))
+        x_ids, goal = np.pad(x_ids, more), np.pad(goal, more, constant_values=-1)
     n = len(x_ids)
-    x = p["E"][x_ids]
-    x += p["P"]
-    flat = x.reshape(-1, d)
-    kv = (flat @ p["KV"]).reshape(n, WINDOW, 2 * d)
-    k, v = kv[..., :d], kv[..., d:]
-    xq = np.ascontiguousarray(x[:, back:]).reshape(-1, d)
-    q = (xq @ p["Q"]).reshape(n, STRIDE, d)
-    s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-    open_ = s < 15
-    a = np.minimum(s, 15, out=s)
-    np.exp(a, out=a)
-    a *= MASK
-    a /= a.sum(-1, keepdims=True) + 1e-30
-    h = np.matmul(a, v).reshape(-1, d)
-    y = np.tanh(xq @ p["A"] + h @ p["B"] + p["b"])
-    # the output layer over places that have something to tell
-    real = np.flatnonzero(goal.ravel() >= 0)
-    told, target = (y, goal.ravel()) if len(real) == goal.size else (y[real], goal.ravel()[real])
-    dl = told @ p["C"]
-    dl += p["c"]
-    dl -= dl.max(-1, keepdims=True)
-    np.exp(dl, out=dl)
-    dl /= dl.sum(-1, keepdims=True)
-    dl[np.arange(len(target)), target] -= 1
-    dl /= float(max(1, len(real)))
-    g = {"C": told.T @ dl, "c": dl.sum(0)}
-    back_ = (dl @ p["C"].T) * (1 - told * told)
-    if len(real) == goal.size:
-        dz = back_
-    else:
-        dz = np.zeros_like(y)
-        dz[real] = back_
-    g["A"], g["B"], g["b"] = xq.T @ dz, h.T @ dz, dz.sum(0)
-    dh = (dz @ p["B"].T).reshape(n, STRIDE, d)
-    ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
-    ds -= (ds * a).sum(-1, keepdims=True)
-    ds *= a
-    ds *= open_
-    dkv = np.empty_like(kv)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
-    np.matmul(a.transpose(0, 2, 1), dh, out=dkv[..., d:])
-    dq = np.matmul(ds, k).reshape(-1, d)
-    dkv = dkv.reshape(-1, 2 * d)
-    g["KV"], g["Q"] = flat.T @ dkv, xq.T @ dq
-    dx = (dkv @ p["KV"].T).reshape(n, WINDOW, d)
-    dx[:, back:] += (dz @ p["A"].T + dq @ p["Q"].T).reshape(n, STRIDE, d)
-    g["P"] = dx.sum(0)
-    columns, ids = np.ascontiguousarray(dx.reshape(-1, d).T), x_ids.ravel()
-    g["E"] = np.stack([np.bincount(ids, weights=c, minlength=len(p["E"])) for c in columns], 1).astype(p["E"].dtype)
+    joint, last = np.concatenate([p["KV"], p["Q"], p["A"]], 1), np.vstack([p["C"], p["c"]])
+    joint_t, last_t, b_t = (np.ascontiguousarray(w.T) for w in (joint, p["C"], p["B"]))
+    g = {k: np.zeros_like(p[k]) for k in ("E", "B", "b", "C", "c")}
+    g_joint, dx_all, size = np.zeros_like(joint), np.empty((n, WINDOW, d), kind), min(n, PART)
+    space, y_all, dz_all = np.empty((size * STRIDE, CLASSES), kind), np.ones((size * STRIDE, d + 1), kind), np.zeros((size, WINDOW, 4 * d), kind)
+    row, all_ones, bias = np.arange(size * STRIDE), np.ones(size * STRIDE, kind), np.tile(p["b"], STRIDE)
+    ones, places = np.ones(WINDOW, kind), np.ones(CLASSES, kind)
+    for a in range(0, n, PART):
+        m = min(PART, n - a)
+        r = m // STACK
+        x = p["E"].take(x_ids[a : a + m], axis=0)
+        x += p["P"]
+        x = x.reshape(r, -1, d)
+        z = np.matmul(x, joint).reshape(m, WINDOW, 4 * d)
+        k, v, q = z[:, :, :d], z[:, :, d : 2 * d], z[:, back:, 2 * d : 3 * d]
+        e = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        clipped = e.max() >= 15
+        if clipped:
+            open_ = e < 15
+            np.minimum(e, 15, out=e)
+        np.exp(e, out=e)
+        e *= MASK
+        e *= (1 / (e.reshape(-1, WINDOW) @ ones + 1e-30)).reshape(m, STRIDE, 1)
+        h = np.matmul(e, v)
+        pre = np.matmul(h.reshape(r, -1, d), p["B"]).reshape(m, STRIDE, d)
+        pre += z[:, back:, 3 * d :]
+        pre.reshape(m, -1)[...] += bias
+        y = y_all[: m * STRIDE]  # with a column of ones
+        np.tanh(pre.reshape(-1, d), out=y[:, :d])
+        # the output layer; places with nothing to tell have no weight
+        out = space[: m * STRIDE]
+        stack = out.reshape(r, -1, CLASSES)
+        np.matmul(y.reshape(r, -1, d + 1), last, out=stack)
+        if not safe:
+            out -= out.max(1, keepdims=True)
+        np.exp(out, out=out)
+        total = out @ places
+        target = goal[a : a + m].ravel()
+        out[row[: m * STRIDE], target] -= total
+        weight = ((target >= 0) / (total * count)).astype(kind)
+        scaled = y[:, :d] * weight[:, None]
+        g["C"] += np.matmul(scaled.reshape(r, -1, d).transpose(0, 2, 1), stack).sum(0)
+        g["c"] += weight @ out
+        dy = np.matmul(stack, last_t)
+        scaled *= y[:, :d]
+        dy *= np.subtract(weight[:, None], scaled, out=scaled).reshape(r, -1, d)  # with the slope of tanh, 1 - y * y
+        g["B"] += np.matmul(h.reshape(r, -1, d).transpose(0, 2, 1), dy).sum(0)
+        g["b"] += all_ones[: m * STRIDE] @ dy.reshape(-1, d)
+        # back through attention
+        dh = np.matmul(dy, b_t).reshape(m, STRIDE, d)
+        ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+        ds -= np.einsum("ij,ij->i", dh.reshape(-1, d), h.reshape(-1, d)).reshape(m, STRIDE, 1)
+        ds *= e
+        if clipped:
+            ds *= open_
+        dz = dz_all[:m]
+        np.matmul(ds.transpose(0, 2, 1), q, out=dz[:, :, :d])
+        np.matmul(e.transpose(0, 2, 1), dh, out=dz[:, :, d : 2 * d])
+        np.matmul(ds, k, out=dz[:, back:, 2 * d : 3 * d])
+        dz[:, back:, 3 * d :] = dy.reshape(m, STRIDE, d)
+        dz = dz.reshape(r, -1, 4 * d)
+        g_joint += np.matmul(x.transpose(0, 2, 1), dz).sum(0)
+        np.matmul(dz, joint_t, out=dx_all[a : a + m].reshape(r, -1, d))
+    g |= {"KV": g_joint[:, : 2 * d], "Q": g_joint[:, 2 * d : 3 * d], "A": g_joint[:, 3 * d :], "P": dx_all.sum(0)}
+    ids = x_ids.ravel()
+    order = np.argsort(ids)
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g["E"][ids[first]] = np.add.reduceat(dx_all.reshape(-1, d).take(order, axis=0), first, axis=0)
     return g
 
 
@@ -305,6 +374,40 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def word_hashes(words: Collection[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """Runs of texts of at most some ``SLICE_BYTES``, or of one text."""
+    for x in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        ends, a = np.cumsum(pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+            yield x.slice(a, b - a)
+            a = b
+
+
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the places among these of all words, and how many words each text has.
+
+    As ``words_of`` of each, without an object a word.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, many = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # spaces at the ends leave empty words
+    if not some.all():
+        many = np.bincount(np.repeat(np.arange(len(many)), many)[some], minlength=len(many))
+        flat = flat.filter(pa.array(some))
+    table = flat.dictionary_encode()
+    held = table.dictionary.cast(pa.large_binary())
+    if not len(held):
+        return [], NONE, many
+    _, ends, data = held.buffers()
+    ends, data = np.frombuffer(ends, np.int64)[held.offset : held.offset + len(held) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:])], table.indices.to_numpy(zero_copy_only=False).astype(np.int64), many
+
+
 def opening(path: str, vocabulary: int) -> np.ndarray:
     """For every id, and the end, whether it opens a word of a joined text."""
     from tokenizers import Tokenizer
@@ -317,11 +420,26 @@ def opening(path: str, vocabulary: int) -> np.ndarray:
     return out
 
 
+class Grown:
+    """An array that takes more at its end without a copy of the whole each time."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            old, self.held = self.held, np.empty(2 * (self.n + len(x)), self.held.dtype)
+            self.held[: self.n] = old[: self.n]
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Lexicon(dict):
     """Numbers of words in the order of their first use, with the ids of each word."""
 
     def __init__(self, path: str, opens: np.ndarray):
         self.encode, self.opens, self.new = encoder(path), opens, []
+        self.start, self.size, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
@@ -331,8 +449,8 @@ class Lexicon(dict):
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def ids_of_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes and numbers of ids of the words since the last call, and the ids of all of them."""
+    def learn(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words since the last call, their numbers of ids, and the ids of all of them, which are kept."""
         sizes, ids = [], []
         for a in range(0, len(self.new), 2000):  # many words in one text: no id spans two of them
             part = self.new[a : a + 2000]
@@ -345,61 +463,99 @@ class Lexicon(dict):
                 own = [self.encode(joined([w])).astype(np.int32) for w in part]
                 sizes.append(np.array([len(y) for y in own], np.int64))
                 ids += own
-        keys = np.fromiter(map(word_hash, self.new), np.int64, len(self.new))
-        self.new = []
-        return keys, np.concatenate(sizes or [NONE]), np.concatenate(ids or [NONE])
+        new, self.new = self.new, []
+        size, x = np.concatenate(sizes or [NONE]), np.concatenate(ids or [NONE])
+        self.start.add(self.ids.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(x)
+        return new, size, x
+
+    def ids_of_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and numbers of ids of the words since the last call, and the ids of all of them."""
+        new, size, x = self.learn()
+        return word_hashes(new), size, x
+
+    def ids_at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with these numbers, one after the other, and how many each has."""
+        m = self.size.held[numbers]
+        shift = self.start.held[numbers]
+        shift -= np.cumsum(m) - m
+        at = np.repeat(shift, m)
+        at += np.arange(len(at))
+        return self.ids.held[at], m
 
 
 NONE = np.zeros(0, np.int64)
 
 
+COUNTS = "kind int, key long, n long, ids binary"
+
+
+def id_type(vocabulary: int):
+    """What ids are kept as."""
+    return np.uint16 if vocabulary < 1 << 16 else np.uint32
+
+
 def _count(path: str, opens: np.ndarray, vocabulary: int):
-    """(kind, key, n) of a scan partition's training texts: 0 words by hash, 1 ids."""
+    """(kind, key, n, ids) of a scan partition's training texts: 0 counts of words by hash, 1 of ids, 2 a text's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-
-        def flush():
-            lexicon = Lexicon(path, opens)
-            lexicon.numbers(list(words))
-            n = np.fromiter(words.values(), np.int64, len(words))
-            keys, sizes, x = lexicon.ids_of_new()
-            total = np.bincount(x, weights=np.repeat(n, sizes), minlength=vocabulary + 1)
-            ids = np.flatnonzero(total)
-            out = pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([0, 1], np.int32), [len(keys), len(ids)])),
-                pa.array(np.concatenate([keys, ids])), pa.array(np.concatenate([n, total[ids].astype(np.int64)])),
-            ], names=["kind", "key", "n"])
-            words.clear()
-            return out
+        lexicon, keys, times, total = Lexicon(path, opens), Grown(np.int64), NONE, np.zeros(vocabulary + 1, np.int64)
+
+        def counted(kind, key, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], names=["kind", "key", "n", "ids"])
+
+        def kept(x, sizes):
+            ends = np.append(0, np.cumsum(sizes) * np.dtype(id_type(vocabulary)).itemsize).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(x.astype(id_type(vocabulary)))])
+            zeros = pa.array(np.zeros(len(sizes), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), 2, np.int32)), zeros, zeros, ids], names=["kind", "key", "n", "ids"])
 
         for b in batches:
-            for t in b.column(0):
-                words.update(words_of(t.as_py()))
-                if len(words) > 600_000:
-                    yield flush()
-        yield flush()
+            for texts in slices(b.column(0)):
+                words, at, many = split(texts)
+                numbers = lexicon.numbers(words)
+                keys.add(lexicon.ids_of_new()[0])
+                times = np.append(times, np.zeros(len(lexicon) - len(times), np.int64))
+                times[numbers] += np.bincount(at, minlength=len(words))
+                x, m = lexicon.ids_at(numbers[at])
+                total += np.bincount(x, minlength=len(total))
+                yield kept(x, split_sizes(many, m))
+                if len(lexicon) > 400_000:
+                    yield counted(0, keys.held[: keys.n], times)
+                    lexicon, keys, times = Lexicon(path, opens), Grown(np.int64), NONE
+        yield counted(0, keys.held[: keys.n], times)
+        ids = np.flatnonzero(total)
+        yield counted(1, ids, total[ids])
 
     return run
 
 
-def sequences(batches: Iterator[pa.RecordBatch], path: str, opens: np.ndarray) -> Iterator[list[np.ndarray]]:
-    """The ids of the texts in the first column, some texts at a time."""
-    lexicon = None
+def split_sizes(many: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many ids each text has, from how many words it has and the sizes of all words."""
+    return np.diff(np.append(0, np.cumsum(m))[np.append(0, np.cumsum(many))])
+
+
+def sequences(batches: Iterator[pa.RecordBatch], path: str, opens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of the texts in the first column, one after the other, and how many each has; some texts at a time.
+
+    A binary column holds the ids themselves.
+    """
+    lexicon, kind = None, np.dtype(id_type(len(opens) - 1))
     for b in batches:
-        for a in range(0, b.num_rows, 64):
+        if pa.types.is_binary(b.column(0).type) or pa.types.is_large_binary(b.column(0).type):
+            for a in range(0, b.num_rows, 64):
+                blobs = [x.as_buffer() for x in b.column(0).slice(a, 64)]
+                yield np.concatenate([np.frombuffer(x, kind) for x in blobs]).astype(np.int32), np.array([x.size // kind.itemsize for x in blobs])
+            continue
+        for texts in slices(b.column(0)):
             if lexicon is None or len(lexicon) > 400_000:
-                lexicon, start, size, ids = Lexicon(path, opens), NONE, NONE, np.zeros(0, np.int32)
-            words = [lexicon.numbers(words_of(t.as_py())) for t in b.column(0).slice(a, 64)]
-            _, sizes, x = lexicon.ids_of_new()
-            if len(sizes):
-                start = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes])
-                size, ids = np.concatenate([size, sizes]), np.concatenate([ids, x])
-            flat = np.concatenate(words)
-            m = size[flat]
-            before = np.cumsum(m) - m
-            x = ids[np.repeat(start[flat] - before, m) + np.arange(int(m.sum()))]
-            yield np.split(x, np.append(before, len(x))[np.cumsum([len(w) for w in words])[:-1]])
+                lexicon = Lexicon(path, opens)
+            words, at, many = split(texts)
+            numbers = lexicon.numbers(words)
+            lexicon.learn()
+            x, m = lexicon.ids_at(numbers[at])
+            yield x, split_sizes(many, m)
 
 
 ROWS = "slot int, at binary, x binary"
@@ -437,10 +593,10 @@ def _neighbour_rows(path: str, opens: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, end = projection(counts), len(counts) - 1
         out, held, n = np.zeros((len(counts), 2 * SPREAD), np.float32), [], 0
-        for texts in sequences(batches, path, opens):
-            held += [np.append(x, end) for x in texts]
-            n += sum(len(x) + 1 for x in texts)
-            if n > 500_000:
+        for x, sizes in sequences(batches, path, opens):
+            held.append(np.insert(x, np.cumsum(sizes), end))
+            n += len(held[-1])
+            if n > 1_000_000:
                 neighbours(np.concatenate(held), basis, out)
                 held, n = [], 0
         if held:
@@ -484,8 +640,8 @@ def _fit_rows(path: str, opens: np.ndarray, model: Model):
                 adam.step(xs[pick], ys[pick], RATE * min(1.0, (adam.steps + 1) / 30) / math.sqrt(1 + adam.steps / 200) * len(pick) / POOL_BATCH)
             return len(xs)
 
-        for texts in sequences(batches, path, opens):
-            held.append(windows(texts, model.inputs, model.classes))
+        for x, sizes in sequences(batches, path, opens):
+            held.append(windows(x, sizes, model.inputs, model.classes))
             n += len(held[-1][0])
             if n >= POOL:
                 total, held, n = total + spend(), [], 0
@@ -499,7 +655,7 @@ def _fit_rows(path: str, opens: np.ndarray, model: Model):
 
 
 def fit_all(texts: DataFrame, path: str, opens: np.ndarray, model: Model) -> dict[str, np.ndarray]:
-    """The weights of the model after steps on every window of ``texts(text)``, averaged over partitions."""
+    """The weights of the model after steps on every window of ``texts(text)`` or ``(ids)``, averaged over partitions."""
     height = len(_pack(model.w, np.zeros(len(model.w["E"])), 0))
     return _unpack(_sum_rows(texts.mapInArrow(_fit_rows(path, opens, model), ROWS), height, WIDTH, "float64"), model.w)
 
@@ -509,15 +665,17 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, set[bytes]] = {}
 
     def out(block, words):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(np.fromiter(map(word_hash, words), np.int64, len(words)))], names=["block", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(word_hashes(words))], names=["block", "key"])
 
     for b in batches:
-        for block, text in zip(b.column(0).to_pylist(), b.column(1)):
+        blocks = b.column("block").to_numpy()
+        for block in np.unique(blocks).tolist():
             words = seen.setdefault(block, set())
-            words.update(words_of(text.as_py()))
-            if len(words) > 400_000:
-                yield out(block, words)
-                words.clear()
+            for texts in slices(b.column("text").take(pa.array(np.flatnonzero(blocks == block)))):
+                words.update(split(texts)[0])
+                if len(words) > 400_000:
+                    yield out(block, words)
+                    words.clear()
     for block, words in seen.items():
         yield out(block, words)
 
@@ -535,36 +693,29 @@ def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: f
         order = np.argsort(asked)
         asked, n = np.append(asked[order], 2**63 - 1), np.append(np.log10(n[order] + ALPHA), ZERO)
         end = math.log10(ends + ALPHA)
-        # by the number of a word: log10(count + ALPHA), where its ids start, how many they are; then all ids
-        logs, start, size, ids = np.zeros(0), NONE, NONE, np.zeros(0, np.int32)
+        logs = Grown(np.float64)  # by the number of a word: log10(count + ALPHA)
         total, known, sums, scores = [], [], [], []
-        for a in range(0, texts.num_rows, 256):
-            words = [lexicon.numbers(words_of(t.as_py())) for t in texts.column("text").slice(a, 256)]
-            keys, sizes, x = lexicon.ids_of_new()
+        for part in slices(texts.column("text")):
+            words, place, count = split(part)
+            place = lexicon.numbers(words)[place]
+            keys, _, _ = lexicon.ids_of_new()
             at = np.searchsorted(asked, keys)
-            logs = np.concatenate([logs, np.where(asked[at] == keys, n[at], ZERO)])
-            start = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes])
-            size, ids = np.concatenate([size, sizes]), np.concatenate([ids, x])
-            for b in range(0, len(words), 64):
-                part = words[b : b + 64]
-                flat = np.concatenate(part)
-                s, many = start[flat], np.array([len(w) for w in part])
-                m = size[flat]
-                before = np.cumsum(m) - m
-                x = ids[np.repeat(s - before, m) + np.arange(int(m.sum()))]
-                cuts = np.append(before, len(x))[np.cumsum(many)[:-1]]
-                own = model.score(np.split(x, cuts))
+            logs.add(np.where(asked[at] == keys, n[at], ZERO))
+            first = np.append(0, np.cumsum(count))
+            for a in range(0, len(count), 64):
+                many, flat = count[a : a + 64], place[first[a] : first[min(a + 64, len(count))]]
+                stop = np.cumsum(many)
+                x, m = lexicon.ids_at(flat)
+                before = np.append(0, np.cumsum(m))
+                own = model.score_flat(x, split_sizes(many, m))
                 # a word's ids, then one end a text
-                text = np.repeat(np.arange(len(part)), many)
-                begin = np.concatenate([before + text, np.append(cuts, len(x)) + np.arange(len(part))])
-                log = np.concatenate([logs[flat], np.full(len(part), end)])
-                of = np.concatenate([text, np.arange(len(part))])
-                order = np.argsort(begin, kind="stable")
-                got = blend(log[order] - floor, np.add.reduceat(own, begin[order]), share)
+                log = np.insert(logs.held[flat], stop, end)
+                text = np.repeat(np.arange(len(many)), many + 1)
+                begin = np.insert(before[:-1], stop, before[stop]) + text
                 total.append(many + 1)
-                known.append(np.bincount(text, weights=logs[flat] > ZERO, minlength=len(part)).astype(np.int64) + (ends > 0))
-                sums.append(np.bincount(of, weights=log, minlength=len(part)))
-                scores.append(np.bincount(of[order], weights=got, minlength=len(part)))
+                known.append(np.bincount(text, weights=log > ZERO, minlength=len(many)).astype(np.int64))
+                sums.append(np.bincount(text, weights=log, minlength=len(many)))
+                scores.append(np.bincount(text, weights=blend(log - floor, np.add.reduceat(own, begin), share), minlength=len(many)))
         flat = lambda parts, kind: pa.array(np.concatenate(parts or [NONE]).astype(kind))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": flat(total, np.int64), "n_known": flat(known, np.int64), "base_sum": flat(sums, np.float64), "score": flat(scores, np.float64)})
 
@@ -574,8 +725,8 @@ def _score_block(path: str, model: Model, opens: np.ndarray, ends: int, floor: f
 def blend(unigram: np.ndarray, attention: np.ndarray, share: float) -> np.ndarray:
     """log10 of the interpolation of two probabilities given as log10."""
     x, y = unigram + math.log10(share), attention + math.log10(1 - share)
-    high = np.maximum(x, y)
-    return high + np.log10(10.0 ** (x - high) + 10.0 ** (y - high))
+    low = np.exp(-math.log(10) * np.abs(x - y))
+    return np.maximum(x, y) + np.log1p(low) / math.log(10)
 
 
 def best_share(unigram: np.ndarray, attention: np.ndarray, steps: int = 40) -> float:
@@ -637,6 +788,16 @@ def _sample(train_rows: DataFrame, n: int) -> list[str]:
         share *= 4
 
 
+def apart(spark: SparkSession, blocks: int, parts: int) -> list[int]:
+    """Numbers for so many blocks of which no two are dealt to one of ``parts`` partitions by their hash."""
+    tried = 20 * parts
+    while True:
+        found = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(parts))).agg(F.min("id").alias("id")).orderBy("id").limit(blocks).collect()
+        if len(found) == blocks:
+            return [r["id"] for r in found]
+        tried *= 2
+
+
 def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
@@ -648,7 +809,11 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     ends = ends or 0
     # counts over all training texts
     opens = opening(tokenizer, vocabulary)
-    counts = materialize(train_rows.select("text").mapInArrow(_count(tokenizer, opens, vocabulary), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    kept = shared_folder(spark, "lm-ids")
+    train_rows.select("text").mapInArrow(_count(tokenizer, opens, vocabulary), COUNTS).write.option("compression", "zstd").parquet(kept)
+    read = spark.read.schema(COUNTS).parquet(kept)
+    texts = read.filter("kind = 2").select("ids")
+    counts = materialize(read.filter("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     ids = np.zeros(vocabulary + 1)
     for r in counts.filter("kind = 1").collect():  # at most one row for each id of the vocabulary
         ids[r["key"]] = r["n"]
@@ -656,17 +821,20 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 50257, folds: int =
     distinct, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     ids[vocabulary] = ends
     # attention weights: a start from a sample, then steps on all training texts
-    sums = _sum_rows(train_rows.select("text").mapInArrow(_neighbour_rows(tokenizer, opens, ids), ROWS), vocabulary + 1, 2 * SPREAD, "float32")
+    sums = _sum_rows(texts.mapInArrow(_neighbour_rows(tokenizer, opens, ids), ROWS), vocabulary + 1, 2 * SPREAD, "float32")
     encode = encoder(tokenizer)
     samples = _sample(train_rows, ends)
     model = train([encode(joined(words_of(t))) for t in samples], vocabulary, counts=ids, sums=sums)
-    model.w = fit_all(train_rows.select("text"), tokenizer, opens, model)
+    model.w = fit_all(texts, tokenizer, opens, model)
+    discard(spark, kept)
     model.set_counts(ids)
     n, v = (total or 0) + ends, distinct + (ends > 0)
     blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(max(parts, blocks), "block")
-    wanted = dealt.select("block", "text").mapInArrow(_wanted, "block long, key long").join(words, "key").select("block", "key", "n")
+    parts = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int") + 1
+    dealt = base.withColumn("block", F.element_at(F.lit(apart(spark, blocks, parts)).cast("array<long>"), place)).repartition(parts, "block")
+    # of whole rows, so that both sides read what was dealt once
+    wanted = dealt.mapInArrow(_wanted, "block long, key long").join(words, "key").select("block", "key", "n")
     floor = math.log10(n + ALPHA * (v + 1))
     share = estimate_share(samples, words, tokenizer, opens, model, ids, ends, n, v)
     run = _score_block(tokenizer, model, opens, ends, floor, share)

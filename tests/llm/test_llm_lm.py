@@ -199,3 +199,73 @@ def test_lexicon_numbers_and_ids():
     for w, k in lexicon.items():
         assert ids[at[k] : at[k] + sizes[k]].tolist() == encode(lm.joined([w])).tolist() and keys[k] == lm.word_hash(w)
     assert [len(x) for x in lexicon.ids_of_new()] == [0, 0, 0]
+
+
+def test_texts_are_split_once_for_training():
+    """The first pass keeps the ids of every text; what is learned from these is learned from the texts."""
+    import pyarrow as pa
+
+    opens, encode = lm.opening(PATH, V), encoder(PATH)
+    texts = ["the house", "", "odd space 　 here <|endoftext|> éß", *(f"river {'stone ' * (k % 9)} zebra {k}" for k in range(150))]
+    out = list(lm._count(PATH, opens, V)(iter(pa.table({"text": texts}).to_batches(max_chunksize=70))))
+    kept = [r["ids"] for b in out for r in b.to_pylist() if r["kind"] == 2]
+    want = [encode(lm.joined(lm.words_of(t))).tolist() for t in texts]
+    assert [np.frombuffer(x, lm.id_type(V)).tolist() for x in kept] == want
+    words, ids = Counter(), Counter()
+    for b in out:
+        for r in b.to_pylist():
+            (words if r["kind"] == 0 else ids if r["kind"] == 1 else Counter())[r["key"]] += r["n"]
+    assert words == Counter(lm.word_hash(w) for t in texts for w in lm.words_of(t)) and ids == Counter(k for x in want for k in x)
+    for column in (pa.array(texts), pa.array(kept, pa.binary())):
+        got = list(lm.sequences(iter(pa.table({"x": column}).to_batches(max_chunksize=70)), PATH, opens))
+        assert np.concatenate([x for x, _ in got]).tolist() == [k for x in want for k in x]
+        assert np.concatenate([n for _, n in got]).tolist() == [len(x) for x in want]
+    assert lm.id_type(1 << 16) == np.uint32
+
+
+def test_texts_are_dealt_once(spark):
+    """Asking for counts and scoring read the same shuffled texts."""
+    out = lm.score(documents(spark), PATH)
+    out.collect()
+    assert "Reused" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scale", [0.3, 4.0])
+def test_gradients_of_many_windows(scale):
+    """More windows than one part holds, single ones, and weights that reach the bounds of the exponentials."""
+    rng = np.random.default_rng(1)
+    d, rows, n = lm.WIDTH, 30, lm.PART + 5
+    r = lambda *s: rng.standard_normal(s) * scale
+    p = {"E": r(rows, d), "P": r(lm.WINDOW, d), "Q": r(d, d), "KV": r(d, 2 * d), "A": r(d, d), "B": r(d, d), "b": r(d), "C": r(d, lm.CLASSES), "c": r(lm.CLASSES) * 20}
+    x, goal = rng.integers(0, rows, (n, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (n, lm.STRIDE))
+    told = (goal >= 0).sum(1)
+    all_, single = lm._gradients(p, x, goal), [lm._gradients(p, x[k : k + 1], goal[k : k + 1]) for k in range(n)]
+    assert lm._bounded(p) == (scale < 1) and set(all_) == set(p)
+    for k in p:
+        want = sum(g[k] * (m / told.sum()) for g, m in zip(single, told))
+        assert all_[k].shape == p[k].shape and np.abs(all_[k] - want).max() < 1e-9 * max(1, np.abs(want).max()), k
+    assert not any(v.any() for v in lm._gradients(p, x[:3], np.full((3, lm.STRIDE), -1)).values())
+
+
+def test_neighbours_of_pairs():
+    rng = np.random.default_rng(2)
+    for height in (50, 70_000):
+        flat, basis = rng.integers(0, height, 400), rng.standard_normal((height, lm.SPREAD)).astype(np.float32)
+        out, want = np.zeros((height, 2 * lm.SPREAD), np.float32), np.zeros((height, 2 * lm.SPREAD))
+        lm.neighbours(flat, basis, out)
+        for a, b in zip(flat[:-1], flat[1:]):
+            want[a, lm.SPREAD :] += basis[b]
+            want[b, : lm.SPREAD] += basis[a]
+        assert np.abs(out - want).max() < 1e-4
+    lm.neighbours(flat[:1], basis, out)
+    lm.neighbours(flat[:0], basis, out)
+    assert np.abs(out - want).max() < 1e-4
+
+
+def test_blocks_go_to_different_partitions(spark):
+    from pyspark.sql import functions as F
+
+    for blocks, parts in ((1, 1), (11, 12), (300, 300)):
+        numbers = lm.apart(spark, blocks, parts)
+        rows = spark.createDataFrame([(k,) for k in numbers], "block long").repartition(parts, "block").select(F.spark_partition_id().alias("p")).distinct()
+        assert len(set(numbers)) == blocks == rows.count()
