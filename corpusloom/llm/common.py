@@ -55,6 +55,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files, and of checkpoints where the cluster cleans them, that nothing refers to any more.
+
+    Spark deletes them once the driver has collected its garbage, which a driver with memory to spare puts off.
+    """
+    spark._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that an operator writes."""
     return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,8 @@ Shape of the plan, none of whose steps gathers a group in one task:
    multiset overlaps at once, and only links leave a block.  Buckets with the same
    members, compared member by member, are read once.
 4. Components come from minimum labels over links with pointer jumping,
-   checkpointed each round.
+   checkpointed each round; at most ``FEW`` links are joined up by one task, as
+   the rounds would write many more small files than rows.
 
 With ``m = 80`` a pair at exactly 0.8 shares no band with probability 2.6e-5.
 
@@ -45,13 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bagminhash import jaccard, mix, shingle_counts, signatures
-from corpusloom.llm.common import fresh, materialize, quoted, ship, text_of
+from corpusloom.llm.common import fresh, materialize, quoted, ship, text_of, tidy
 
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SCREEN = 0.55
 CHUNK = 384  # texts of a side that a block holds
 SIGNS = 256  # signatures of a side that a block holds
+FEW = 1 << 15  # links whose components one task finds
 
 
 class _Words(dict):
@@ -237,8 +239,30 @@ def _block(threshold: float, k: int):
     return run
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node of some links can reach through them."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while top.setdefault(root, root) != root:
+            root = top[root]
+        while top[x] != root:
+            top[x], x = root, top[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    nodes = list(top)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links(a, b)``: the smallest node that it can reach."""
+    if links.count() <= FEW:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined_up, "node long, label long"))
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
@@ -282,11 +306,14 @@ def _classes(docs: DataFrame, threshold: float, k: int, id_col: str, text_col: s
     fame = materialize(state.groupBy("node").agg(F.sum("n").alias("fame")))
     state = materialize(_elect(materialize(state.join(fame, "node"))))
     texts = _texts(base, nodes.join(fame.select("node"), "node").select("node", "digest"))
+    tidy(docs.sparkSession)
     pairs = state.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = _linked(pairs, nodes, texts, threshold, k)
+    tidy(docs.sparkSession)
     labels = None if links.isEmpty() else components(links)
     of = fame.select("node", F.col("node").alias("label")) if labels is None else fame.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     apart = materialize(_apart(materialize(state.join(materialize(of), "node")), nodes))
+    tidy(docs.sparkSession)
     if not apart.isEmpty():
         held = apart.join(texts, "node").groupBy("bucket", "kind", "i", "j")
         more = materialize(held.applyInArrow(_block(threshold, k), "a long, b long"))

@@ -143,6 +143,28 @@ def test_texts_do_not_move_where_signatures_tell(spark):
     assert {r["node"] for r in left.collect()} == {0, 1, n - 1}
 
 
+def jobs(spark, name, act):
+    """What ``act`` returns, and how many jobs it takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return act(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """Rounds over a few links write more small files, and more of the event log, than a small table may take."""
+    rng = random.Random(9)
+    links = [(k, k + 1) for k in range(100, 140)] + [(300, 7), (7, 300), (8, 8)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(130)]
+    rng.shuffle(links)
+    table_ = nd.materialize(spark.createDataFrame(links, "a long, b long").repartition(5))
+    few, n = jobs(spark, "few links", lambda: sorted(map(tuple, nd.components(table_).collect())))
+    assert n <= 6
+    monkeypatch.setattr(nd, "FEW", 0)
+    assert few == sorted(map(tuple, nd.components(table_).collect()))
+    assert {r[1] for r in few if r[0] < 1000} == {7, 8, 100}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300, dtype=np.uint64)
