@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Collection, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -289,8 +290,8 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     n = len(x_ids)
     joint, last = np.concatenate([p["KV"], p["Q"], p["A"]], 1), np.vstack([p["C"], p["c"]])
     joint_t, last_t, b_t = (np.ascontiguousarray(w.T) for w in (joint, p["C"], p["B"]))
-    g = {k: np.zeros_like(p[k]) for k in ("E", "B", "b", "C", "c")}
-    g_joint, dx_all, size = np.zeros_like(joint), np.empty((n, WINDOW, d), kind), min(n, PART)
+    g = {k: np.zeros_like(p[k]) for k in ("E", "B", "b")}
+    g_last, g_joint, dx_all, size = np.zeros_like(last), np.zeros_like(joint), np.empty((n, WINDOW, d), kind), min(n, PART)
     space, y_all, dz_all = np.empty((size * STRIDE, CLASSES), kind), np.ones((size * STRIDE, d + 1), kind), np.zeros((size, WINDOW, 4 * d), kind)
     row, all_ones, bias = np.arange(size * STRIDE), np.ones(size * STRIDE, kind), np.tile(p["b"], STRIDE)
     ones, places = np.ones(WINDOW, kind), np.ones(CLASSES, kind)
@@ -327,12 +328,11 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
         target = goal[a : a + m].ravel()
         out[row[: m * STRIDE], target] -= total
         weight = ((target >= 0) / (total * count)).astype(kind)
-        scaled = y[:, :d] * weight[:, None]
-        g["C"] += np.matmul(scaled.reshape(r, -1, d).transpose(0, 2, 1), stack).sum(0)
-        g["c"] += weight @ out
+        scaled = y * weight[:, None]
+        g_last += np.matmul(scaled.reshape(r, -1, d + 1).transpose(0, 2, 1), stack).sum(0)
         dy = np.matmul(stack, last_t)
-        scaled *= y[:, :d]
-        dy *= np.subtract(weight[:, None], scaled, out=scaled).reshape(r, -1, d)  # with the slope of tanh, 1 - y * y
+        scaled *= y
+        dy *= np.subtract(weight[:, None], scaled[:, :d]).reshape(r, -1, d)  # with the slope of tanh, 1 - y * y
         g["B"] += np.matmul(h.reshape(r, -1, d).transpose(0, 2, 1), dy).sum(0)
         g["b"] += all_ones[: m * STRIDE] @ dy.reshape(-1, d)
         # back through attention
@@ -350,7 +350,7 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
         dz = dz.reshape(r, -1, 4 * d)
         g_joint += np.matmul(x.transpose(0, 2, 1), dz).sum(0)
         np.matmul(dz, joint_t, out=dx_all[a : a + m].reshape(r, -1, d))
-    g |= {"KV": g_joint[:, : 2 * d], "Q": g_joint[:, 2 * d : 3 * d], "A": g_joint[:, 3 * d :], "P": dx_all.sum(0)}
+    g |= {"C": g_last[:d], "c": g_last[d], "KV": g_joint[:, : 2 * d], "Q": g_joint[:, 2 * d : 3 * d], "A": g_joint[:, 3 * d :], "P": dx_all.sum(0)}
     ids = x_ids.ravel()
     order = np.argsort(ids)
     ids = ids[order]
@@ -367,7 +367,7 @@ def words_of(text: str) -> list[bytes]:
 
 def joined(words: list[bytes]) -> str:
     """The text that the model reads: every word with one space before it."""
-    return b"".join(b" " + w for w in words).decode("utf-8", "replace")
+    return b" ".join([b"", *words]).decode("utf-8", "replace")
 
 
 def word_hash(word: bytes) -> int:
@@ -441,13 +441,17 @@ class Lexicon(dict):
         self.encode, self.opens, self.new = encoder(path), opens, []
         self.start, self.size, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.new.append(word)
-        return k
-
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = list(dict.fromkeys(map(words.__getitem__, at.tolist())))
+            first = len(self)
+            self.update(zip(new, range(first, first + len(new))))
+            self.new += new
+            # words that stand here more than once are looked up
+            out[at] = np.arange(first, len(self)) if len(new) == len(at) else [self[words[k]] for k in at.tolist()]
+        return out
 
     def learn(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The words since the last call, their numbers of ids, and the ids of all of them, which are kept."""

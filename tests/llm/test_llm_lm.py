@@ -201,6 +201,22 @@ def test_lexicon_numbers_and_ids():
     assert [len(x) for x in lexicon.ids_of_new()] == [0, 0, 0]
 
 
+def test_new_words_are_numbered_together():
+    """In the order of their first use, without a call of Python code for each word."""
+    import sys
+
+    lexicon, calls = lm.Lexicon(PATH, lm.opening(PATH, V)), Counter()
+    words = [b"w%d" % (k * k % 5003) for k in range(9000)]
+    distinct = list(dict.fromkeys(words))
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        first, again = lexicon.numbers(distinct[:1000]), lexicon.numbers(words)
+    finally:
+        sys.setprofile(None)
+    assert first.tolist() == list(range(1000)) and again.tolist() == [distinct.index(w) for w in words]
+    assert lexicon.new == distinct == list(lexicon) and calls["call"] < 100
+
+
 def test_texts_are_split_once_for_training():
     """The first pass keeps the ids of every text; what is learned from these is learned from the texts."""
     import pyarrow as pa
