@@ -53,7 +53,7 @@ M = BANDS * ROWS
 SCREEN = 0.55
 CHUNK = 384  # texts of a side that a block holds
 SIGNS = 256  # signatures of a side that a block holds
-FEW = 1 << 15  # links whose components one task finds
+FEW = 1 << 13  # links whose components one task finds
 
 
 class _Words(dict):
