@@ -3,7 +3,8 @@
 Texts are read as lower-cased words and one end.  The *base* score is an
 add-0.1 unigram over words, counted in all training texts.  The *score* is the
 log10 probability under an interpolation, word by word, of that unigram and of
-a causal attention layer over subword ids, trained in numpy:
+a causal attention layer over subword ids, whose steps and scores run as the graphs
+of ``graphs``, or in numpy:
 
     x = embedding(id) + position,   h = masked softmax(q k') v,
     y = tanh(x A + h B + b),        P(next) = P(class | y) P(id | class)
@@ -55,6 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import graphs
 from corpusloom.llm.common import discard, materialize, shared_folder, ship, text_of
 from corpusloom.llm.packing import encoder
 
@@ -93,13 +95,28 @@ class Model:
         flat, goal, at = laid_out(x, sizes, self.inputs, self.vocabulary)
         every = np.lib.stride_tricks.sliding_window_view
         rows, target = every(flat, WINDOW), every(goal, STRIDE)[at + WINDOW - STRIDE].ravel()
+        real = np.flatnonzero(target >= 0)
+        got = (self._told if graphs.runtime() else self._told_plainly)(rows, at, self.classes[target], chunk)[real]
+        got += self.emission[target[real]]
+        return got.astype(np.float64) / math.log(10)
+
+    def _told(self, rows: np.ndarray, at: np.ndarray, classes: np.ndarray, chunk: int) -> np.ndarray:
+        """ln P(class) at all places of the windows that begin ``at``."""
+        run, goal, out = graphs.scorer(WINDOW, STRIDE, WIDTH).run, classes.astype(np.int64).reshape(-1, 1), np.empty(len(classes), np.float32)
+        for a in range(0, len(at), chunk):
+            here = slice(a * STRIDE, (a + chunk) * STRIDE)
+            out[here] = run(None, {**self.w, "ids": rows[at[a : a + chunk]], "goal": goal[here]})[0][:, 0]
+        return out
+
+    def _told_plainly(self, rows: np.ndarray, at: np.ndarray, classes: np.ndarray, chunk: int) -> np.ndarray:
+        """The same in numpy."""
         at = np.append(at, np.zeros(-len(at) % STACK, np.int64))  # whole stacks; what is added isn't told
-        w, back, d, chunk = self.w, WINDOW - STRIDE, WIDTH, -(-chunk // STACK) * STACK
+        w, back, d, chunk, places = self.w, WINDOW - STRIDE, WIDTH, -(-chunk // STACK) * STACK, len(classes)
         joint, last, safe = np.concatenate([w["KV"], w["Q"], w["A"]], 1), np.vstack([w["C"], w["c"]]), _bounded(w)
-        ones, places, bias = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), np.tile(w["b"], STRIDE)
+        ones, every, bias = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), np.tile(w["b"], STRIDE)
         space, told, row = np.empty((chunk * STRIDE, CLASSES), np.float32), np.ones((chunk * STRIDE, d + 1), np.float32), np.arange(chunk * STRIDE)
         own, total = np.empty(len(at) * STRIDE, np.float32), np.empty(len(at) * STRIDE, np.float32)
-        classes = np.append(self.classes, -1)[np.append(target, np.full(len(own) - len(target), -1))]
+        classes = np.append(classes, np.zeros(len(own) - places, np.int64))
         for a in range(0, len(at), chunk):
             e = w["E"].take(rows[at[a : a + chunk]], axis=0)
             e += w["P"]
@@ -124,10 +141,8 @@ class Model:
             here = slice(a * STRIDE, (a + m) * STRIDE)
             own[here] = logits[row[: m * STRIDE], classes[here]]
             np.exp(logits, out=logits)
-            total[here] = logits @ places
-        real = np.flatnonzero(target >= 0)
-        got = own[real] - np.log(total[real]) + self.emission[target[real]]
-        return got.astype(np.float64) / math.log(10)
+            total[here] = logits @ every
+        return (own - np.log(total))[:places]
 
 
 def _bounded(p: dict[str, np.ndarray]) -> bool:
@@ -154,6 +169,7 @@ def laid_out(x: np.ndarray, sizes: np.ndarray, inputs: np.ndarray, end: int) ->
     return flat, goal, np.repeat(first - (np.cumsum(rows) - rows) * STRIDE, rows) + np.arange(int(rows.sum())) * STRIDE
 
 
+LESS = np.full((PART * STRIDE, 1), -1, np.float32)
 MASK = np.tril(np.ones((STRIDE, WINDOW), np.float32), WINDOW - STRIDE)
 
 
@@ -223,7 +239,7 @@ class Adam:
 
     def step(self, xs: np.ndarray, ys: np.ndarray, rate: float) -> None:
         self.steps += 1
-        for k, v in _gradients(self.p, xs, ys).items():
+        for k, v in gradients(self.p, xs, ys).items():
             self.parts[k][...] = v
         g, d = self.g, self.g - self.m1
         d *= 0.1
@@ -359,6 +375,23 @@ def _gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
     return g
 
 
+def gradients(p, x_ids, goal) -> dict[str, np.ndarray]:
+    """The same from weights of single precision by a graph, where there is what runs it."""
+    if graphs.runtime() is None or not len(x_ids):
+        return _gradients(p, x_ids, goal)
+    run, count, total, rows = graphs.gradients(WINDOW, STRIDE, WIDTH).run, max(1, int(np.count_nonzero(goal >= 0))), None, []
+    for a in range(0, len(x_ids), PART):
+        told = goal[a : a + PART].reshape(-1, 1).astype(np.int64)
+        weight = (told >= 0).astype(np.float32)
+        weight /= count
+        *got, dx = run(None, {**p, "ids": x_ids[a : a + PART], "goal": np.maximum(told, 0), "weight": weight, "less": LESS[: len(told)]})
+        total = [x + y for x, y in zip(total, got)] if total else got
+        rows.append(dx.reshape(-1, WIDTH))
+    g = dict(zip(graphs.ORDER, total))
+    g["E"] = graphs.spread().run(None, {"table": np.zeros_like(p["E"]), "at": x_ids.reshape(-1, 1).astype(np.int64), "rows": np.concatenate(rows)})[0]
+    return g
+
+
 # -- counts ------------------------------------------------------------------
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words; the end is added where they are counted."""

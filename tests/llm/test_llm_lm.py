@@ -285,3 +285,38 @@ def test_blocks_go_to_different_partitions(spark):
         numbers = lm.apart(spark, blocks, parts)
         rows = spark.createDataFrame([(k,) for k in numbers], "block long").repartition(parts, "block").select(F.spark_partition_id().alias("p")).distinct()
         assert len(set(numbers)) == blocks == rows.count()
+
+
+@pytest.mark.parametrize("scale", [0.3, 1.0])
+def test_steps_run_as_a_graph(scale, monkeypatch):
+    """The same gradients as numpy's, also where exponentials are bounded and places tell nothing, and none of numpy's are asked for."""
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(4)
+    d, rows, n = lm.WIDTH, 30, 2 * lm.PART + 5
+    r = lambda *s: (rng.standard_normal(s) * scale).astype(np.float32)
+    p = {"E": r(rows, d), "P": r(lm.WINDOW, d), "Q": r(d, d), "KV": r(d, 2 * d), "A": r(d, d), "B": r(d, d), "b": r(d), "C": r(d, lm.CLASSES), "c": r(lm.CLASSES)}
+    x, goal = rng.integers(0, rows, (n, lm.WINDOW)).astype(np.int32), rng.integers(-1, lm.CLASSES, (n, lm.STRIDE)).astype(np.int16)
+    x[:3], goal[:3] = x[0], -1
+    want = lm._gradients({k: v.astype(np.float64) for k, v in p.items()}, x, goal)
+    monkeypatch.setattr(lm, "_gradients", None)
+    got = lm.gradients(p, x, goal)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k].shape == p[k].shape and got[k].dtype == np.float32 and np.abs(got[k] - want[k]).max() < 2e-4 * max(1, np.abs(want[k]).max()), k
+    before = p["E"].copy()
+    lm.Adam(p).step(x[:40], goal[:40], 0.01)
+    assert not np.array_equal(p["E"], before)
+
+
+def test_scores_run_as_a_graph(model, monkeypatch):
+    """The same scores as numpy's, with and without the package."""
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, V, n) for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 3000, 17)]
+    with monkeypatch.context() as m:
+        m.setattr(lm.Model, "_told_plainly", None)
+        got = model.score(ids)
+    monkeypatch.setattr(lm.graphs, "runtime", lambda: None)
+    monkeypatch.setattr(lm.Model, "_told", None)
+    plain = model.score(ids)
+    assert len(got) == len(plain) == sum(len(x) + 1 for x in ids) and np.abs(got - plain).max() < 1e-4
