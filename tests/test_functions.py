@@ -63,6 +63,12 @@ def test_page_attributes():
     assert web.parse_page("<html lang='EN_us'><meta name='language' content='fr'>")["html_language"] == "en"
 
 
+def test_page_entities_without_semicolon():
+    page = web.parse_page("<title>cut &amp</title><p>a &amp;amp b &amp;&ampx; &notit; &copyright; &#38; &#38<a href='/?a=1&amp;b&amp=2&lt'>c</a>d & e &copy; &amp;lt; \ue000</p>tail &amp")
+    assert page["title"] == "cut &amp" and page["links"] == ["/?a=1&b&=2<"]
+    assert page["text"] == "cut &amp a &amp b &&ampx; &notit; &copyright; & &#38 c d & e © < \ue000"
+
+
 def test_records(spark):
     lines = ['{"doc_id": 1, "title": "a"}', "", "{oops", '{"doc_id": "12", "title": "b"}', '{"doc_id": 12.7}', '{"doc_id": "web_ab"}', '{"title": "none"}', '{"doc_id": 1, "title": "c"}']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "at int, value string")
