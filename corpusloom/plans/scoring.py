@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import blank, tokenize
 from corpusloom.functions.web import canonical_url, html_text, html_title
 from corpusloom.operators import index, ranking, serving
+from corpusloom.operators.counting import flat_counts, flat_vectors
 from corpusloom.plans import sqlkit as k
 from corpusloom.plans.kit import indexed, one_query, registry
 from corpusloom.plans.sqlkit import Q3, sql
@@ -59,7 +60,7 @@ def gvsm_idf(spark, d):
 
 @query(sql("SELECT doc_id, term, round(w, 6) AS w FROM w", "w"))
 def tfidf_vectors(spark, d):
-    return ranking.document_weights(_post(spark, d)).select("doc_id", "term", F.round("w", R).alias("w"))
+    return ranking.document_weights(flat_counts(corpus(spark, d), "doc_id", "text")).select("doc_id", "term", F.round("w", R).alias("w"))
 
 
 @query(sql("SELECT term, round(w, 6) AS w FROM qw", "qw"))
@@ -100,7 +101,7 @@ def gvsm_scores(spark, d):
 
 @query(sql("SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(v, 6) AS v FROM emb", "emb"))
 def hashed_embeddings(spark, d):
-    return ranking.hashed(ranking.record_terms(corpus(spark, d)), "doc_id").select("doc_id", "idx", F.round("v", R).alias("v"))
+    return flat_vectors(ranking.record_text(corpus(spark, d)), "doc_id", "text").select("doc_id", "idx", F.round("v", R).alias("v"))
 
 
 def _near(spark, d, k=3000):

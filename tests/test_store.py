@@ -91,3 +91,18 @@ def test_blocks_of_postings(spark):
     post = spark.createDataFrame([(d, "a") for d in range(10)] + [(5, "b")], "doc_id long, term string")
     got = {(r["term"], r["block"]): r["doc_ids"] for r in index.block_postings(post, 4).collect()}
     assert got == {("a", 0): [0, 1, 2, 3], ("a", 1): [4, 5, 6, 7], ("a", 2): [8, 9], ("b", 1): [5]}
+
+
+def test_rows_of_the_index_are_made_where_they_are(spark, tmp_path):
+    """Vectors and norms were made by shuffles and windows of every posting, counts by lambdas."""
+    s = store.build(table(spark), str(tmp_path / "index"))
+    assert set(store.TABLES) == {"forward", "postings", "terms", "stats"} and not (tmp_path / "index/vectors").exists()
+    rows = {r["doc_id"]: r for r in s.forward.collect()}
+    assert dict(zip(rows[1]["terms"], zip(rows[1]["tf"], rows[1]["title_tf"]))) == {"apple": (2, 1), "banana": (1, 0)}
+    assert dict(zip(rows[1]["more_terms"], rows[1]["more_tf"])) == {"pie": 1} and rows[3]["more_terms"] == ["cherry"]
+    assert [(rows[k]["recorded"], rows[k]["filled"], rows[k]["dl"], rows[k]["top"]) for k in (1, 3, 5)] == [(True, True, 3, 2), (True, True, 0, 1), (False, False, 0, 1)]
+    spaces = spark.createDataFrame([(1, " ", "\t\u2003", ""), (2, "", "  ", "http://x.org/apple"), (3, None, None, None), (4, "", "12", "")], "doc_id long, title string, text string, url string")
+    got = {r["doc_id"]: r for r in store.build(spaces, str(tmp_path / "odd")).forward.collect()}
+    assert [got[k]["filled"] for k in (1, 2, 3, 4)] == [False, True, False, True]
+    want = {(r["doc_id"], r["idx"]): round(r["v"], 9) for r in ranking.hashed(ranking.record_terms(spaces), "doc_id").collect()}
+    assert {(k, i): round(v, 9) for k, r in got.items() for i, v in zip(r["places"], r["values"])} == want and any(k == 2 for k, _ in want)
