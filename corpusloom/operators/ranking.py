@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from corpusloom.functions.constants import ALPHA, BM25_B, BM25_K1, DIMENSION, MAX_CANDIDATES, MIN_COOC, TITLE_WEIGHT, VECTOR_WEIGHT
 from corpusloom.functions.text import blank, tokenize
 from corpusloom.operators.common import kept, settled, top_k
-from corpusloom.operators.counting import pair_table
+from corpusloom.operators.counting import matrix, nearest_of, pair_table
 from corpusloom.operators.index import bucket_of, candidates, document_frequency, matches, pair_counts
 from corpusloom.operators.store import Store, build, idf
+from corpusloom.sources.deploy import ship
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -191,21 +192,26 @@ def dense_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``qid, vec_id, s``: by cosine the ``k`` nearest others of ``vectors(vec_id, embedding)`` for each of ``queries``, ties by id.
 
     The stated queries meet all vectors in blocks of ``KNN_BLOCK``, each of which is
-    small enough to be broadcast; within a block a row of vectors keeps only what
-    can be among the nearest of its slice.
+    small enough to be sent to every task; a task of vectors keeps what can be among the
+    nearest of its own, by products of matrices.  The work is the number of queries times that
+    of vectors.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    wide = lambda df: df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", norm(F.col("v")))
-    e, q = wide(vectors), wide(queries).select(F.col("vec_id").alias("qid"), F.col("v").alias("u"), F.col("n").alias("m"))
+    spark = vectors.sparkSession
+    ship(spark)
+    numbered = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    e, q = numbered(vectors), numbered(queries)
     blocks = max(1, -(-q.count() // KNN_BLOCK))
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     out = None
     for b in range(blocks):
-        part = F.broadcast(q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
-        sims = e.join(part, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", (dot / (F.col("m") * F.col("n"))).alias("s"))
-        best = top_k(sims, ["qid"], [F.desc(F.round("s", 9)), F.col("vec_id")], k, "vec_id", "place")
-        out = best if out is None else out.unionByName(best)
-    return out
+        part = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()  # some KNN_BLOCK rows
+        if not part.num_rows:
+            continue
+        block = spark.sparkContext.broadcast((part.column("vec_id").to_numpy(), matrix(part.to_batches()[0], 1)))
+        sims = e.mapInArrow(lambda batches, block=block: nearest_of(batches, *block.value, k), "qid long, vec_id long, s double")
+        out = sims if out is None else out.unionByName(sims)
+    if out is None:
+        out = spark.createDataFrame([], "qid long, vec_id long, s double")
+    return top_k(out, ["qid"], [F.desc(F.round("s", 9)), F.col("vec_id")], k, "vec_id", "place")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
